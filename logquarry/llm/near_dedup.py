@@ -257,6 +257,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the near-copies: the smallest id of each component stays, and of repeated rows of one id the first text by order."""
+    """docs without the near-copies: the smallest id of each component stays. Rows of one id stay or go together."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
