@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Texts, arrow_map, slices
 
-SAMPLE = 4000
+SAMPLE = 2000
 BUCKETS = 1 << 13
 DIMENSION = 16
 GRAMS = (2, 3, 4)
@@ -77,10 +77,10 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple]:
     def run(batch: pa.RecordBatch):
         for t in slices(batch.column(1)):
             rows = [_counts(t, i) for i in range(t.n)]
-            yield {"lang": batch.column(0).slice(t.rows[0], t.n), "k": [r[0].astype(np.int32) for r in rows], "v": [(r[1] / max(r[1].sum(), 1)).astype(np.float32) for r in rows]}
+            yield {"lang": batch.column(0).slice(t.rows[0], t.n), "k": [r[0].astype(np.uint16).tobytes() for r in rows], "v": [(r[1] / max(r[1].sum(), 1)).astype(np.float32).tobytes() for r in rows]}
 
     chosen = docs.orderBy("order_", "text").limit(most).select("lang", "text")
-    return [(r.lang, np.array(r.k, np.int64), np.array(r.v)) for r in arrow_map(chosen, run, "lang string, k array<int>, v array<float>").collect()]
+    return [(r.lang, np.frombuffer(r.k, np.uint16), np.frombuffer(r.v, np.float32)) for r in arrow_map(chosen, run, "lang string, k binary, v binary").collect()]
 
 
 def train(rows: list[tuple], epochs: int = 12, rate: float = 20.0, seed: int = 4) -> Model:
