@@ -68,15 +68,16 @@ _COMMENT = rf"/\*(?:[^*/]++|{_INNER}|\*(?!/)|/(?!\*))*+\*/"
 
 def keyword(query: Column) -> Column:
     """The statement keyword after comments (nested once at most); empty if it is none of those known."""
-    bare = F.upper(F.regexp_replace(query, rf"^(?:[ \t\r\n]+|{_COMMENT}|--[^\n]*(?:\n|$))+", ""))
-    out = F.lit("")
-    for word, _ in reversed(QUERY_PREFIXES):
-        out = F.when(bare.startswith(word), word).otherwise(out)
-    return out
+    words = "|".join(w for w, _ in QUERY_PREFIXES)
+    return F.upper(F.regexp_extract(query, rf"^(?:[ \t\r\n]+|{_COMMENT}|--[^\n]*(?:\n|$))*+((?i:{words}))", 1))
+
+
+def prefix_of_keyword(word: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in QUERY_PREFIXES for x in p]), word), F.lit("xx-"))
 
 
 def query_prefix(query: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in QUERY_PREFIXES for x in p]), F.nullif(keyword(query), F.lit(""))), F.lit("xx-"))
+    return prefix_of_keyword(keyword(query))
 
 
 def full_hash(normalized: Column) -> Column:
@@ -85,8 +86,12 @@ def full_hash(normalized: Column) -> Column:
 
 def query_id(raw: Column, normalized: Column) -> Column:
     """Prefix of the statement keyword and six characters of the digest of the normalised form."""
-    digest = F.regexp_replace(F.base64(F.unhex(F.md5(normalized))), "[+/=]", "")
-    return F.concat(query_prefix(raw), F.substring(digest, 1, 6))
+    return F.concat(query_prefix(raw), short_hash(full_hash(normalized)))
+
+
+def short_hash(digest: Column) -> Column:
+    """Six characters of a hexadecimal digest in base 64, without its special characters."""
+    return F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), 1, 6)
 
 
 def query_type(raw: Column) -> Column:
@@ -102,10 +107,8 @@ def query_type_from_id(id_: Column, compat: bool = True) -> Column:
 
 
 def query_category(type_: Column) -> Column:
-    out = F.lit("OTHER")
-    for name, types in QUERY_CATEGORIES.items():
-        out = F.when(type_.isin(types), name).otherwise(out)
-    return out
+    pairs = [F.lit(x) for name, types in QUERY_CATEGORIES.items() for t in types for x in (t, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), type_), F.lit("OTHER"))
 
 
 def is_transaction_command(query: Column) -> Column:

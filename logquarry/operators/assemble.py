@@ -31,8 +31,9 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     tab = F.locate("#011", F.col("line"))
     raw = lines.where("line is not null").select("file_idx", "split_start", "line_no", F.when(tab > 0, F.concat(F.lit(" "), F.substring(F.col("line"), tab + 4, F.length("line")))).otherwise(F.col("line")).alias("line"))
     indented = F.col("line").rlike(r"^[ \t]")
-    parsed = raw.withColumn("p", F.when(~indented, dialects.parse_line(F.col("line"), year)))
-    parsed = parsed.withColumn("is_new", F.col("p.ts").isNotNull() & F.col("p.message").isNotNull())
+    # inline: the parse is evaluated once for each line, however many columns are made of it
+    parsed = raw.select("*", F.inline(F.array(F.when(~indented, dialects.parse_line(F.col("line"), year)))).alias("ts", "head", "own_pid"))
+    parsed = parsed.withColumn("is_new", F.col("ts").isNotNull() & F.col("head").isNotNull())
     if foreign == "drop":
         parsed = parsed.where(F.col("is_new") | ~F.col("line").rlike("^[0-9]"))
     if syslog:
@@ -43,7 +44,7 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     before = Window.partitionBy("file_idx").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file_idx", "split_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = numbered.join(offsets, ["file_idx", "split_start"]).withColumn("entry_no", F.col("local_no") + F.col("base"))
-    first = placed.where("is_new").select("file_idx", "entry_no", F.col("p.ts").alias("ts"), F.col("p.message").alias("head"), F.col("p.pid").alias("own_pid"))
+    first = placed.where("is_new").select("file_idx", "entry_no", "ts", "head", "own_pid")
     # most entries are one line: only the lines that continue one are grouped
     rest = (
         placed.where("not is_new and entry_no > 0")
@@ -61,8 +62,8 @@ def _join_chunks(parsed: DataFrame) -> DataFrame:
     new = parsed.where("is_new").withColumn("chunk", dialects.is_syslog_chunk(F.col("line"))).withColumn("sp", dialects.syslog_pid(F.col("line")))
     order = Window.partitionBy("file_idx", "sp").orderBy("line_no")
     new = new.withColumn("no", F.sum((~F.col("chunk")).cast("long")).over(order)).where("no > 0")
-    text = F.when(F.col("chunk"), dialects.syslog_content(F.col("line"))).otherwise(F.col("p.message"))
-    parts = new.groupBy("file_idx", "sp", "no").agg(F.min("line_no").alias("line_no"), F.min_by("p.ts", "line_no").alias("ts"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("c"))
+    text = F.when(F.col("chunk"), dialects.syslog_content(F.col("line"))).otherwise(F.col("head"))
+    parts = new.groupBy("file_idx", "sp", "no").agg(F.min("line_no").alias("line_no"), F.min_by("ts", "line_no").alias("ts"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("c"))
     message = F.array_join(F.transform("c", lambda x: x.t), " ")
     seq = F.col("file_idx") * F.lit(FILE_SHIFT) + F.col("line_no")
     return canonical(parts.select(seq.alias("seq"), "ts", message.alias("message"), F.nullif("sp", F.lit("")).alias("own_pid")), order="ts")

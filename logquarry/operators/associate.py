@@ -28,7 +28,7 @@ def plan_of_execution(executions: DataFrame, plans: DataFrame) -> DataFrame:
     both = executions.withColumn("plan", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).unionByName(
         plans.select("seq", "pid", "plan", F.lit(0).alias("kind")), allowMissingColumns=True
     )
-    both = both.withColumn("no", F.sum("kind").over(_by().rowsBetween(*BEFORE)))
+    both = both.withColumn("no", F.coalesce(F.sum("kind").over(_by().rowsBetween(*BEFORE)), F.lit(0)))
     own = Window.partitionBy("pid", "no").orderBy("seq").rowsBetween(*BEFORE)
     out = both.withColumn("plan", F.when(F.col("pid") != "", F.last("plan", ignorenulls=True).over(own)))
     return out.where("kind = 1").drop("kind", "no")

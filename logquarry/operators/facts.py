@@ -10,7 +10,10 @@ from logquarry.functions import server as V
 from logquarry.functions import sql as Q
 from logquarry.functions import text as T
 
-M = F.col("message")
+
+
+def m():
+    return F.col("message")
 
 
 def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
@@ -19,9 +22,9 @@ def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
     memo normalises each distinct text once and joins the result back: worth a shuffle where texts repeat a lot.
     """
     # the flag: statements of a split syslog message are no executions of their own
-    e = entries.where(M.contains("duration:") & (M.contains("execute") | M.contains("statement")))
-    e = e.withColumn("q", Q.executed_query(M)).where("q is not null").withColumn("duration_ms", Q.duration_ms(M))
-    e = e.select("seq", "ts", "duration_ms", Q.normalize_ws(F.col("q")).alias("raw_query"), "pid", *[T.prefix_field(M, k).alias(k) for k in ("db", "user", "host", "app")])
+    e = entries.where(m().contains("duration:") & (m().contains("execute") | m().contains("statement")))
+    e = e.withColumn("q", Q.executed_query(m())).where("q is not null").withColumn("duration_ms", Q.duration_ms(m()))
+    e = e.select("seq", "ts", "duration_ms", Q.normalize_ws(F.col("q")).alias("raw_query"), "pid", *[T.prefix_field(m(), k).alias(k) for k in ("db", "user", "host", "app")])
     if memo:
         unique = identified(e.select("raw_query").distinct())
         return e.join(unique, "raw_query")
@@ -30,57 +33,58 @@ def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
 
 def identified(df: DataFrame, raw: str = "raw_query") -> DataFrame:
     """Adds norm_query, query_id, full_hash, query_type and category of a raw text."""
-    df = df.withColumn("norm_query", Q.normalize_query(F.col(raw)))
-    df = df.withColumns({"query_id": Q.query_id(F.col(raw), F.col("norm_query")), "full_hash": Q.full_hash(F.col("norm_query")), "query_type": Q.query_type(F.col(raw))})
-    return df.withColumn("category", Q.query_category(F.col("query_type")))
+    df = df.withColumns({"norm_query": Q.normalize_query(F.col(raw)), "word_": Q.keyword(F.col(raw))})
+    df = df.withColumn("full_hash", Q.full_hash(F.col("norm_query")))
+    df = df.withColumns({"query_id": F.concat(Q.prefix_of_keyword(F.col("word_")), Q.short_hash(F.col("full_hash"))), "query_type": F.when(F.col("word_") != "", F.col("word_")).otherwise(F.when(F.col(raw).isNotNull(), "OTHER"))})
+    return df.withColumn("category", Q.query_category(F.col("query_type"))).drop("word_")
 
 
 def plans(entries: DataFrame) -> DataFrame:
     """seq, pid, plan of auto_explain messages."""
-    return entries.where(M.contains("plan:") & Q.is_plan(M)).select("seq", "pid", Q.plan_text(M).alias("plan"))
+    return entries.where(m().contains("plan:") & Q.is_plan(m())).select("seq", "pid", Q.plan_text(m()).alias("plan"))
 
 
 def statements(entries: DataFrame, lower: bool = True) -> DataFrame:
     """seq, pid, query: every message that carries a statement (upper-case markers alone if not lower)."""
-    has = M.contains("STATEMENT:") | M.contains("QUERY:")
+    has = m().contains("STATEMENT:") | m().contains("QUERY:")
     if lower:
-        has = has | M.contains("statement:") | (M.contains("duration:") & M.contains("execute"))
-    return entries.where(has).select("seq", "pid", Q.normalize_ws(Q.statement_text(M)).alias("query")).where("query <> ''")
+        has = has | m().contains("statement:") | (m().contains("duration:") & m().contains("execute"))
+    return entries.where(has).select("seq", "pid", Q.normalize_ws(Q.statement_text(m())).alias("query")).where("query <> ''")
 
 
 def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
     """seq, ts, size, pid, own_query of temporary files; in compat also of messages about them without a path."""
-    e = entries.where(M.contains("temporary file") & (F.lit(True) if compat else M.contains("path")))
-    return e.select("seq", "ts", V.temp_size(M).alias("size"), "pid", Q.normalize_ws(Q.statement_text(M)).alias("own_query"))
+    e = entries.where(m().contains("temporary file") & (F.lit(True) if compat else m().contains("path")))
+    return e.select("seq", "ts", V.temp_size(m()).alias("size"), "pid", Q.normalize_ws(Q.statement_text(m())).alias("own_query"))
 
 
 def lock_messages(entries: DataFrame) -> DataFrame:
     """seq, ts, event_type, log_pid, pid, lock_type, resource, resource_type, wait_ms, lock_key, relation, blocking_pid."""
-    e = entries.where(M.contains("process ") & (M.contains("still waiting for ") | M.contains("acquired ")))
-    e = e.withColumn("l", V.lock_event(M)).where("l.wait_ms is not null")
+    e = entries.where(m().contains("process ") & (m().contains("still waiting for ") | m().contains("acquired ")))
+    e = e.withColumn("l", V.lock_event(m())).where("l.wait_ms is not null")
     return e.select(
         "seq", "ts", "l.event_type", F.col("pid").alias("log_pid"), "l.pid", "l.lock_type", "l.resource", V.resource_type(F.col("l.resource")).alias("resource_type"), "l.wait_ms",
-        F.concat_ws("-", "l.pid", "l.lock_type", "l.resource").alias("lock_key"), V.relation(M).alias("relation"), V.blocking_pid(M).alias("blocking_pid"),
+        F.concat_ws("-", "l.pid", "l.lock_type", "l.resource").alias("lock_key"), V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid"),
     )
 
 
 def lock_details(entries: DataFrame) -> DataFrame:
     """seq, pid, blocking_pid, relation of DETAIL and CONTEXT lines about a wait."""
-    e = entries.where((M.contains("Process holding the lock: ") | M.contains('in relation "')) & ~M.contains("still waiting for ") & ~M.contains("acquired "))
-    return e.select("seq", "pid", V.blocking_pid(M).alias("blocking_pid"), V.relation(M).alias("relation")).where("pid <> '' and (blocking_pid <> '' or relation <> '')")
+    e = entries.where((m().contains("Process holding the lock: ") | m().contains('in relation "')) & ~m().contains("still waiting for ") & ~m().contains("acquired "))
+    return e.select("seq", "pid", V.blocking_pid(m()).alias("blocking_pid"), V.relation(m()).alias("relation")).where("pid <> '' and (blocking_pid <> '' or relation <> '')")
 
 
 def deadlocks(entries: DataFrame) -> DataFrame:
-    return entries.where(M.contains("deadlock detected") & M.contains("ERROR:")).select("seq", "ts", "pid")
+    return entries.where(m().contains("deadlock detected") & m().contains("ERROR:")).select("seq", "ts", "pid")
 
 
 def connection_events(entries: DataFrame) -> DataFrame:
     """seq, ts, pid, kind (received, disconnected), dur_us and entities of a disconnection."""
-    e = entries.where(M.contains("connection") & (F.length(M) >= 12))
-    at = F.locate("connection", M)
-    gone = (at > 3) & (F.substring(M, at - 3, F.lit(3)) == "dis")
-    kind = F.when(gone, "disconnected").when(F.substring(M, at, F.lit(19)) == "connection received", "received")
-    return e.select("seq", "ts", "pid", kind.alias("kind"), F.when(gone, V.session_us(M)).alias("dur_us"), *[F.when(gone, T.session_entity(M, k)).alias(k) for k in ("user", "db", "host")]).where("kind is not null")
+    e = entries.where(m().contains("connection") & (F.length(m()) >= 12))
+    at = F.locate("connection", m())
+    gone = (at > 3) & (F.substring(m(), at - 3, F.lit(3)) == "dis")
+    kind = F.when(gone, "disconnected").when(F.substring(m(), at, F.lit(19)) == "connection received", "received")
+    return e.select("seq", "ts", "pid", kind.alias("kind"), F.when(gone, V.session_us(m())).alias("dur_us"), *[F.when(gone, T.session_entity(m(), k)).alias(k) for k in ("user", "db", "host")]).where("kind is not null")
 
 
 def sessions(connections: DataFrame) -> DataFrame:
@@ -91,31 +95,31 @@ def sessions(connections: DataFrame) -> DataFrame:
 
 def checkpoints(entries: DataFrame) -> DataFrame:
     """seq, ts, start_type (of a start), done, write_s, buffers, distance_kb, estimate_kb."""
-    e = entries.where(M.contains("checkpoint starting:") | M.contains("checkpoint complete"))
-    return e.select("seq", "ts", V.checkpoint_type(M).alias("start_type"), M.contains("checkpoint complete").alias("done"), V.checkpoint_fields(M).alias("f")).select("seq", "ts", "start_type", "done", "f.*")
+    e = entries.where(m().contains("checkpoint starting:") | m().contains("checkpoint complete"))
+    return e.select("seq", "ts", V.checkpoint_type(m()).alias("start_type"), m().contains("checkpoint complete").alias("done"), V.checkpoint_fields(m()).alias("f")).select("seq", "ts", "start_type", "done", "f.*")
 
 
 def checkpoint_warnings(entries: DataFrame) -> DataFrame:
-    e = entries.where(M.contains("checkpoints are occurring too frequently"))
-    return e.select("seq", "ts", V.warning_interval(M).alias("interval_s")).where("interval_s is not null")
+    e = entries.where(m().contains("checkpoints are occurring too frequently"))
+    return e.select("seq", "ts", V.warning_interval(m()).alias("interval_s")).where("interval_s is not null")
 
 
 def maintenance(entries: DataFrame) -> DataFrame:
     """seq, ts, op (vacuum, analyze), table, pages_removed of automatic runs."""
-    e = entries.where(M.contains("automatic") & (F.length(M) >= 18))
-    op = F.regexp_extract(T.after(M, "automatic "), "^(?:aggressive )?(vacuum|analyze)", 1)
-    return e.select("seq", "ts", op.alias("op"), V.vacuum_table(M).alias("table"), V.removed_pages(M).alias("pages_removed")).where("op <> ''")
+    e = entries.where(m().contains("automatic") & (F.length(m()) >= 18))
+    op = F.regexp_extract(T.after(m(), "automatic "), "^(?:aggressive )?(vacuum|analyze)", 1)
+    return e.select("seq", "ts", op.alias("op"), V.vacuum_table(m()).alias("table"), V.removed_pages(m()).alias("pages_removed")).where("op <> ''")
 
 
 def events(entries: DataFrame, compat: bool = True) -> DataFrame:
     """seq, ts, severity, pattern, sqlstate, sqlstate_class, message of classified entries; a pattern for warnings and worse."""
-    e = entries.where("not is_continuation").withColumn("severity", E.severity(M, compat)).where("severity is not null")
-    code = E.sqlstate(M)
-    pattern = F.when(F.col("severity").isin("PANIC", "FATAL", "ERROR", "WARNING"), E.normalize_event(M))
+    e = entries.where("not is_continuation").withColumn("severity", E.severity(m(), compat)).where("severity is not null")
+    code = E.sqlstate(m())
+    pattern = F.when(F.col("severity").isin("PANIC", "FATAL", "ERROR", "WARNING"), E.normalize_event(m()))
     return e.select("seq", "ts", "severity", F.nullif(pattern, F.lit("")).alias("pattern"), code.alias("sqlstate"), E.sqlstate_class(code).alias("sqlstate_class"), "message")
 
 
 def entities(entries: DataFrame) -> DataFrame:
     """seq and user, db, host, app of entries that name any."""
-    e = entries.where("not is_continuation").where(M.contains("="))
-    return e.select("seq", *[F.nullif(T.entity(M, k), F.lit("")).alias(k) for k in ("user", "db", "host", "app")])
+    e = entries.where("not is_continuation").where(m().contains("="))
+    return e.select("seq", *[F.nullif(T.entity(m(), k), F.lit("")).alias(k) for k in ("user", "db", "host", "app")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sql import COUNT
+from .sql import count_rows
 
 MOST_BINS = 200
 MINUTE = 60_000_000
@@ -22,7 +22,7 @@ def interval(x: DataFrame, ts: str = "ts") -> DataFrame:
 def binned(x: DataFrame, *measures: Column, ts: str = "ts") -> DataFrame:
     """Count and measures of each bin that has rows."""
     at = F.expr(f"(unix_micros({ts}) - lo_us) div width_us")
-    return x.crossJoin(F.broadcast(interval(x, ts))).groupBy(at.alias("bin")).agg(COUNT.alias("count"), *measures)
+    return x.crossJoin(F.broadcast(interval(x, ts))).groupBy(at.alias("bin")).agg(count_rows().alias("count"), *measures)
 
 
 def upper_median(binned_: DataFrame, column: str = "count") -> DataFrame:

@@ -9,9 +9,11 @@ from logquarry.constants import PAGE_BYTES, SESSION_BUCKETS, SEVERITIES
 from logquarry.functions.events import class_description
 from logquarry.operators import associate as A
 
-from .sql import COUNT, bucketed, zero_filled
+from .sql import count_rows, bucketed, zero_filled
 
-ALL = Window.partitionBy()
+
+def everything():
+    return Window.partitionBy()
 
 
 def summary(entries: DataFrame) -> DataFrame:
@@ -22,15 +24,15 @@ def summary(entries: DataFrame) -> DataFrame:
 
 
 def severities(events: DataFrame) -> DataFrame:
-    g = events.groupBy("severity").agg(COUNT.alias("count"))
+    g = events.groupBy("severity").agg(count_rows().alias("count"))
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return g.select("severity", "count", (100.0 * F.col("count") / F.sum("count").over(ALL)).alias("percent"), rank.cast("int").alias("rank"))
+    return g.select("severity", "count", (100.0 * F.col("count") / F.sum("count").over(everything())).alias("percent"), rank.cast("int").alias("rank"))
 
 
 def event_patterns(events: DataFrame, first: int | None = 1000) -> DataFrame:
     """Per fingerprint: count, and severity, example and SQLSTATE class of its first event; only the first-seen fingerprints are kept."""
     g = events.where("pattern is not null").groupBy("pattern").agg(
-        COUNT.alias("count"), F.min("seq").alias("first_seq"), F.min_by("severity", "seq").alias("severity"), F.min_by("message", "seq").alias("example"), F.min_by("sqlstate_class", "seq").alias("sqlstate_class")
+        count_rows().alias("count"), F.min("seq").alias("first_seq"), F.min_by("severity", "seq").alias("severity"), F.min_by("message", "seq").alias("example"), F.min_by("sqlstate_class", "seq").alias("sqlstate_class")
     )
     return g if first is None else g.orderBy("first_seq").limit(first)
 
@@ -41,7 +43,7 @@ def top_events(events: DataFrame, n: int = 100) -> DataFrame:
 
 def error_classes(patterns: DataFrame) -> DataFrame:
     """severity, class, description, count and share within the severity."""
-    g = patterns.groupBy("severity", F.coalesce("sqlstate_class", F.lit("")).alias("sqlstate_class")).agg(F.sum("count").alias("count"), COUNT.alias("patterns"))
+    g = patterns.groupBy("severity", F.coalesce("sqlstate_class", F.lit("")).alias("sqlstate_class")).agg(F.sum("count").alias("count"), count_rows().alias("patterns"))
     share = 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy("severity"))
     return g.select("severity", "sqlstate_class", F.when(F.col("sqlstate_class") != "", class_description(F.col("sqlstate_class"))).otherwise("").alias("description"), "count", "patterns", share.alias("percent"))
 
@@ -62,7 +64,7 @@ def peak(c: DataFrame) -> DataFrame:
 
 def _session_measures():
     d = F.col("dur_us")
-    return [COUNT.alias("count"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.avg(d).alias("avg_us"), F.percentile(d, F.lit(0.5)).alias("median_us"), F.sum(d).alias("sum_us")]
+    return [count_rows().alias("count"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.avg(d).alias("avg_us"), F.percentile(d, F.lit(0.5)).alias("median_us"), F.sum(d).alias("sum_us")]
 
 
 def session_stats(s: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def session_distribution(s: DataFrame) -> DataFrame:
     out = F.lit(SESSION_BUCKETS[-1][0])
     for name, below in reversed(SESSION_BUCKETS[:-1]):
         out = F.when(F.col("dur_us") < below, name).otherwise(out)
-    return zero_filled(s.groupBy(out.alias("bucket")).agg(COUNT.alias("count")), [b for b, _ in SESSION_BUCKETS])
+    return zero_filled(s.groupBy(out.alias("bucket")).agg(count_rows().alias("count")), [b for b, _ in SESSION_BUCKETS])
 
 
 def concurrent_hist(s: DataFrame, n: int = 6) -> DataFrame:
@@ -102,17 +104,17 @@ def average_concurrent(s: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def connection_hist(c: DataFrame, span: DataFrame | None = None, n: int = 6) -> DataFrame:
-    return bucketed(c.where("kind = 'received'"), n=n, span=span).groupBy("bucket_index").agg(COUNT.alias("count"))
+    return bucketed(c.where("kind = 'received'"), n=n, span=span).groupBy("bucket_index").agg(count_rows().alias("count"))
 
 
 def temp_stats(t: DataFrame) -> DataFrame:
-    return t.agg(COUNT.alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.expr("coalesce(sum(size) div count(1), 0)").alias("avg_size"))
+    return t.agg(count_rows().alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.expr("coalesce(sum(size) div count(1), 0)").alias("avg_size"))
 
 
 def temp_queries(associated: DataFrame) -> DataFrame:
     """Per query hash: files and bytes. associated: temporary files with their query."""
     x = A.with_query_id(associated.where("query is not null and size > 0"))
-    return x.groupBy("full_hash").agg(F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), COUNT.alias("count"), F.sum("size").alias("total_size"), F.min("query").alias("raw_query"))
+    return x.groupBy("full_hash").agg(F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), count_rows().alias("count"), F.sum("size").alias("total_size"), F.min("query").alias("raw_query"))
 
 
 def top_temp_queries(stats: DataFrame, n: int = 10) -> DataFrame:
@@ -121,7 +123,7 @@ def top_temp_queries(stats: DataFrame, n: int = 10) -> DataFrame:
 
 def temp_hist(t: DataFrame, n: int = 6) -> DataFrame:
     """Bytes and files in each of n equal parts of the time between the first and the last, a second at least."""
-    return bucketed(t, n=n, least_us=1_000_000).groupBy("bucket_index").agg(F.sum("size").alias("bytes"), COUNT.alias("count"))
+    return bucketed(t, n=n, least_us=1_000_000).groupBy("bucket_index").agg(F.sum("size").alias("bytes"), count_rows().alias("count"))
 
 
 def lock_totals(messages: DataFrame, deadlocks: DataFrame) -> DataFrame:
@@ -131,12 +133,12 @@ def lock_totals(messages: DataFrame, deadlocks: DataFrame) -> DataFrame:
     )
     m = m.withColumn("waiting", F.greatest(F.col("locks") - F.col("acquired"), F.lit(0)))
     m = m.withColumn("avg_wait_ms", F.coalesce(F.try_divide(F.col("total_wait_ms"), F.col("waiting") + F.col("acquired")), F.lit(0.0)))
-    return m.crossJoin(F.broadcast(deadlocks.agg(COUNT.alias("deadlocks"))))
+    return m.crossJoin(F.broadcast(deadlocks.agg(count_rows().alias("deadlocks"))))
 
 
 def lock_dimension(locks: DataFrame, key: str) -> DataFrame:
     """Distinct lock keys of each lock_type, resource_type or relation."""
-    return locks.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(COUNT.alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(ALL))
+    return locks.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(count_rows().alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(everything()))
 
 
 def lock_queries(locks: DataFrame) -> DataFrame:
@@ -168,14 +170,14 @@ def frequent_waiters(stats: DataFrame, n: int = 10) -> DataFrame:
 def blockers(waits: DataFrame) -> DataFrame:
     """Per blocking query: waits, time and mean; deadlocks are left out."""
     x = A.with_query_id(waits.where("event_type = 'waiting' and blocking_query is not null"), "blocking_query")
-    return x.groupBy("query_id").agg(COUNT.alias("blocked"), F.sum("wait_ms").alias("total_ms"), F.avg("wait_ms").alias("avg_ms"))
+    return x.groupBy("query_id").agg(count_rows().alias("blocked"), F.sum("wait_ms").alias("total_ms"), F.avg("wait_ms").alias("avg_ms"))
 
 
 def checkpoint_stats(done: DataFrame, span: DataFrame | None = None) -> DataFrame:
     """Counts and sums over completed checkpoints, with WAL and flush rates (bytes per second of log and of writing)."""
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
     out = done.agg(
-        COUNT.alias("count"), F.coalesce(F.sum(pos("write_s")), F.lit(0.0)).alias("write_s"), F.coalesce(F.max(pos("write_s")), F.lit(0.0)).alias("max_write_s"),
+        count_rows().alias("count"), F.coalesce(F.sum(pos("write_s")), F.lit(0.0)).alias("write_s"), F.coalesce(F.max(pos("write_s")), F.lit(0.0)).alias("max_write_s"),
         F.coalesce(F.sum(pos("buffers")), F.lit(0)).alias("buffers"), F.coalesce(F.sum("distance_kb"), F.lit(0)).alias("distance_kb"), F.coalesce(F.max("distance_kb"), F.lit(0)).alias("max_distance_kb"),
     )
     out = out.withColumn("flush_rate", F.try_divide(F.col("buffers") * float(PAGE_BYTES), "write_s"))
@@ -185,7 +187,7 @@ def checkpoint_stats(done: DataFrame, span: DataFrame | None = None) -> DataFram
 
 
 def checkpoint_types(done: DataFrame, span: DataFrame | None = None) -> DataFrame:
-    g = done.groupBy("kind").agg(COUNT.alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(ALL))
+    g = done.groupBy("kind").agg(count_rows().alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(everything()))
     return g if span is None else g.crossJoin(F.broadcast(span)).withColumn("per_hour", F.try_divide(F.col("count") * 3_600_000_000.0, "span_us")).drop("span_us")
 
 
@@ -196,7 +198,7 @@ def wal_series(done: DataFrame) -> DataFrame:
 
 def checkpoint_hist(done: DataFrame) -> DataFrame:
     """Checkpoints in six parts of the day, all days together."""
-    return done.groupBy(F.floor(F.hour("ts") / 4).cast("int").alias("bucket_index")).agg(COUNT.alias("count"))
+    return done.groupBy(F.floor(F.hour("ts") / 4).cast("int").alias("bucket_index")).agg(count_rows().alias("count"))
 
 
 def wal_hist(done: DataFrame) -> DataFrame:
@@ -204,30 +206,30 @@ def wal_hist(done: DataFrame) -> DataFrame:
 
 
 def warning_stats(w: DataFrame) -> DataFrame:
-    return w.agg(COUNT.alias("count"), F.min("interval_s").alias("min_s"), F.max("interval_s").alias("max_s"))
+    return w.agg(count_rows().alias("count"), F.min("interval_s").alias("min_s"), F.max("interval_s").alias("max_s"))
 
 
 def vacuum(m: DataFrame) -> DataFrame:
-    return m.where("op = 'vacuum'").groupBy("table").agg(COUNT.alias("count"), F.sum(F.when(F.col("pages_removed") > 0, F.col("pages_removed") * PAGE_BYTES).otherwise(0)).alias("bytes"))
+    return m.where("op = 'vacuum'").groupBy("table").agg(count_rows().alias("count"), F.sum(F.when(F.col("pages_removed") > 0, F.col("pages_removed") * PAGE_BYTES).otherwise(0)).alias("bytes"))
 
 
 def analyze(m: DataFrame) -> DataFrame:
-    return m.where("op = 'analyze'").groupBy("table").agg(COUNT.alias("count"))
+    return m.where("op = 'analyze'").groupBy("table").agg(count_rows().alias("count"))
 
 
 def head_of_total(counts: DataFrame, name: str = "table", share: float = 0.8, n: int = 10) -> DataFrame:
     """The rows that make up a share of the whole, the one that crosses it included, n at most."""
     w = Window.orderBy(F.desc("count"), name)
-    c = counts.withColumns({"rn": F.row_number().over(w), "before": F.coalesce(F.sum("count").over(w.rowsBetween(*A.BEFORE)), F.lit(0)), "whole": F.sum("count").over(ALL)})
+    c = counts.withColumns({"rn": F.row_number().over(w), "before": F.coalesce(F.sum("count").over(w.rowsBetween(*A.BEFORE)), F.lit(0)), "whole": F.sum("count").over(everything())})
     return c.where((F.col("rn") <= n) & (F.col("before") < share * F.col("whole"))).drop("before", "whole")
 
 
 def entity_counts(entities: DataFrame, kind: str) -> DataFrame:
-    return entities.where(F.col(kind).isNotNull()).groupBy(kind).agg(COUNT.alias("count"))
+    return entities.where(F.col(kind).isNotNull()).groupBy(kind).agg(count_rows().alias("count"))
 
 
 def entity_pairs(entities: DataFrame, a: str, b: str) -> DataFrame:
-    return entities.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(COUNT.alias("count"))
+    return entities.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(count_rows().alias("count"))
 
 
 def entity_top(counts: DataFrame, kind: str, n: int | None = 10) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from logquarry.constants import DURATION_BUCKETS
 
-COUNT = F.count(F.lit(1))
+
+def count_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def totals(x: DataFrame) -> DataFrame:
-    return x.agg(COUNT.alias("count"), F.count_distinct("norm_query").alias("unique_queries"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.sum("duration_ms").alias("sum_ms"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return x.agg(count_rows().alias("count"), F.count_distinct("norm_query").alias("unique_queries"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.sum("duration_ms").alias("sum_ms"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def median(x: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def median(x: DataFrame) -> DataFrame:
 
 def p99(x: DataFrame, share: float = 0.99) -> DataFrame:
     """The element at index floor(share * n) in ascending order. Distinct durations are counted first, so the ordered pass is over values."""
-    by = x.groupBy("duration_ms").agg(COUNT.alias("c"))
+    by = x.groupBy("duration_ms").agg(count_rows().alias("c"))
     w = Window.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
     n = by.agg(F.sum("c").alias("n"))
     at = by.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(n), F.col("upto") > F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1))
@@ -29,7 +31,7 @@ def p99(x: DataFrame, share: float = 0.99) -> DataFrame:
 
 def top_share(x: DataFrame) -> DataFrame:
     """How many executions reach the 99th percentile."""
-    return x.join(F.broadcast(p99(x)), F.col("duration_ms") >= F.col("p99_ms")).agg(COUNT.alias("slow_count"))
+    return x.join(F.broadcast(p99(x)), F.col("duration_ms") >= F.col("p99_ms")).agg(count_rows().alias("slow_count"))
 
 
 def query_stats(x: DataFrame) -> DataFrame:
@@ -37,13 +39,13 @@ def query_stats(x: DataFrame) -> DataFrame:
     more = [F.max_by("plan", F.when(F.col("plan").isNotNull(), F.col("seq"))).alias("plan")] if "plan" in x.columns else []
     g = x.groupBy("norm_query").agg(
         F.min_by("query_id", "seq").alias("query_id"), F.min("full_hash").alias("full_hash"), F.min_by("query_type", "seq").alias("query_type"), F.min_by("category", "seq").alias("category"),
-        COUNT.alias("count"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.min("raw_query").alias("raw_query"), *more,
+        count_rows().alias("count"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.min("raw_query").alias("raw_query"), *more,
     )
     return g
 
 
 def type_stats(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("query_type").agg(COUNT.alias("unique_queries"), F.sum("count").alias("count"), F.sum("total_ms").alias("total_ms"), (F.sum("total_ms") / F.sum("count")).alias("avg_ms"), F.max("max_ms").alias("max_ms"))
+    return stats.groupBy("query_type").agg(count_rows().alias("unique_queries"), F.sum("count").alias("count"), F.sum("total_ms").alias("total_ms"), (F.sum("total_ms") / F.sum("count")).alias("avg_ms"), F.max("max_ms").alias("max_ms"))
 
 
 def category_stats(stats: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def by_dimension(x: DataFrame) -> DataFrame:
     """(dimension, value, query_type) with count and total for database, user, host and application, in one pass."""
     dims = ["db", "user", "host", "app"]
     long = x.select("query_type", "duration_ms", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])).alias("d"))
-    return long.select("d.*", "query_type", "duration_ms").where("value <> ''").groupBy("dimension", "value", "query_type").agg(COUNT.alias("count"), F.sum("duration_ms").alias("total_ms"))
+    return long.select("d.*", "query_type", "duration_ms").where("value <> ''").groupBy("dimension", "value", "query_type").agg(count_rows().alias("count"), F.sum("duration_ms").alias("total_ms"))
 
 
 def dimension_totals(by: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def duration_label(ms: Column) -> Column:
 
 def duration_hist(x: DataFrame, weight: str | None = None, value: str = "duration_ms", keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts of six duration buckets, empty ones included when there are no keys."""
-    n = F.sum(weight) if weight else COUNT
+    n = F.sum(weight) if weight else count_rows()
     got = x.groupBy(*keys, duration_label(F.col(value)).alias("bucket")).agg(n.cast("long").alias("count"))
     if keys:
         return got
@@ -117,7 +119,7 @@ def bucketed(x: DataFrame, ts: str = "ts", n: int = 6, keys: tuple[str, ...] = (
 
 def load_hist(x: DataFrame, n: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
     """Whole milliseconds of execution in each of n equal parts of the time between the first and the last."""
-    return bucketed(x, n=n, keys=keys).groupBy(*keys, "bucket_index").agg(F.sum(F.floor("duration_ms")).cast("long").alias("load_ms"), COUNT.alias("count"))
+    return bucketed(x, n=n, keys=keys).groupBy(*keys, "bucket_index").agg(F.sum(F.floor("duration_ms")).cast("long").alias("load_ms"), count_rows().alias("count"))
 
 
 def load_unit(peak_ms: float) -> tuple[str, int]:
@@ -126,7 +128,7 @@ def load_unit(peak_ms: float) -> tuple[str, int]:
 
 
 def detail_minmax(x: DataFrame) -> DataFrame:
-    return x.groupBy("query_id").agg(COUNT.alias("count"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"))
+    return x.groupBy("query_id").agg(count_rows().alias("count"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"))
 
 
 def detail(stats: DataFrame, temp: DataFrame, locks: DataFrame, ids: list[str] | None = None) -> DataFrame:

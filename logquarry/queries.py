@@ -23,7 +23,11 @@ from logquarry.plans import bins, server, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-M = F.col("message")
+
+
+def m():
+    return F.col("message")
+
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ _x("normalize_query", lambda x: x.select("ts", "norm_query"), "SELECT ts, norm A
 _x("query_id", lambda x: x.select("ts", "query_id", "full_hash"), "SELECT ts, id AS query_id, hash AS full_hash FROM x")
 _x("query_type", lambda x: x.select("ts", "query_type", "category", Q.query_type_from_id(F.col("query_id")).alias("id_type")), "SELECT ts, kind AS query_type, cat AS category, kind AS id_type FROM x")
 _x("query_prefix", lambda x: x.select("ts", Q.query_prefix(F.col("raw_query")).alias("prefix")), "SELECT ts, id[1:3] AS prefix FROM x")
-_x("normalize_ws", lambda x: x.groupBy(F.length(Q.normalize_ws(F.col("raw_query"))).alias("n")).agg(sql.COUNT.alias("count")), "SELECT len(raw) AS n, count(*) AS count FROM x GROUP BY 1")
+_x("normalize_ws", lambda x: x.groupBy(F.length(Q.normalize_ws(F.col("raw_query"))).alias("n")).agg(sql.count_rows().alias("count")), "SELECT len(raw) AS n, count(*) AS count FROM x GROUP BY 1")
 _x("truncate_query", lambda x: x.select("ts", T.truncate(F.col("raw_query"), 30).alias("short")), "SELECT ts, CASE WHEN len(raw) > 30 THEN raw[1:27] || '...' ELSE raw END AS short FROM x")
 _x("prefix_fields", lambda x: x.select("ts", "db", "user", "host", "app"), 'SELECT ts, db, usr AS "user", host, app FROM x')
 _x("sql_global", sql.totals, "SELECT count(*) AS count, count(DISTINCT norm) AS unique_queries, min(ms) AS min_ms, max(ms) AS max_ms, round(sum(ms), 3) AS sum_ms, min(ts) AS first_ts, max(ts) AS last_ts FROM x")
@@ -145,8 +149,8 @@ def _e(name: str, plan: Callable[[DataFrame], DataFrame], oracle: str | None) ->
 _ENTRY = "SELECT ts, message, is_continuation, (user_id + 1000)::VARCHAR AS pid FROM entries"
 _show = lambda e: e.select("ts", "message", "is_continuation", "pid")
 _e("entry_assembly", _show, _ENTRY)
-_e("extract_pid", lambda e: e.groupBy(T.pid(M).alias("pid")).agg(sql.COUNT.alias("count")), "SELECT (user_id + 1000)::VARCHAR AS pid, count(*) AS count FROM entries GROUP BY 1")
-_e("filter_value", lambda e: e.groupBy(*[T.filter_value(M, k).alias(k) for k in ("db", "user", "app")]).agg(sql.COUNT.alias("count")), "SELECT 'db' || user_id % 4 AS db, 'u' || user_id % 10 AS \"user\", 'svc' || user_id % 3 AS app, count(*) AS count FROM entries GROUP BY ALL")
+_e("extract_pid", lambda e: e.groupBy(T.pid(m()).alias("pid")).agg(sql.count_rows().alias("count")), "SELECT (user_id + 1000)::VARCHAR AS pid, count(*) AS count FROM entries GROUP BY 1")
+_e("filter_value", lambda e: e.groupBy(*[T.filter_value(m(), k).alias(k) for k in ("db", "user", "app")]).agg(sql.count_rows().alias("count")), "SELECT 'db' || user_id % 4 AS db, 'u' || user_id % 10 AS \"user\", 'svc' || user_id % 3 AS app, count(*) AS count FROM entries GROUP BY ALL")
 _e("time_filter", lambda e: _show(Filters(TimeRange("2024-01-05 00:00:00", "2024-01-08 12:00:00")).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-05' AND '2024-01-08 12:00:00'")
 _e("window_filter", lambda e: _show(Filters(TimeRange(begin="2024-01-05 00:00:00", window="2d12h")).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-05' AND '2024-01-07 12:00:00'")
 _e("db_filter", lambda e: _show(Filters(db=["db1", "db3"]).apply(e)), _ENTRY + " WHERE user_id % 4 IN (1, 3)")
@@ -170,7 +174,7 @@ _e("user_host", lambda e: server.entity_pairs(facts.entities(e), "user", "host")
 _FULL_S = ", s AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM x), w AS (SELECT lo, hi, CASE WHEN hi - lo < 3600000000 THEN 60000000 WHEN hi - lo < 21600000000 THEN 300000000 WHEN hi - lo < 86400000000 THEN 900000000 ELSE 3600000000 END AS w0 FROM s), b AS (SELECT lo, greatest(w0, ((hi - lo) // 200 + 1)) AS width FROM w)"
 _x("bin_combined", lambda x: bins.binned(x, F.sum("duration_ms").alias("total_ms")), _FULL_S + " SELECT (epoch_us(ts) - lo) // width AS bin, count(*) AS count, round(sum(ms), 3) AS total_ms FROM x, b GROUP BY 1")
 _x("bin_ts", bins.binned, _FULL_S + " SELECT (epoch_us(ts) - lo) // width AS bin, count(*) AS count FROM x, b GROUP BY 1")
-_x("bin_durations", lambda x: bins.binned(x, (F.sum("duration_ms") / 1000).alias("seconds")).drop("count"), _FULL_S + " SELECT (epoch_us(ts) - lo) // width AS bin, round(sum(ms) / 1000, 3) AS seconds FROM x, b GROUP BY 1")
+_x("bin_durations", lambda x: bins.binned(x, (F.sum("duration_ms").cast("decimal(38,3)") / 1000).cast("double").alias("seconds")).drop("count"), _FULL_S + " SELECT (epoch_us(ts) - lo) // width AS bin, round(sum(ms::DECIMAL(18,3))::DECIMAL(38,3) / 1000, 3) AS seconds FROM x, b GROUP BY 1")
 _x("auto_interval", lambda x: bins.interval(x), _FULL_S + " SELECT lo AS lo_us, width AS width_us FROM b")
 _x("refilter_sql", lambda x: sql.query_stats(bins.refilter(x, "2024-01-04 00:00:00", "2024-01-09 00:00:00")).select("norm_query", "count", "total_ms"), " SELECT norm AS norm_query, count(*) AS count, round(sum(ms), 3) AS total_ms FROM x WHERE ts BETWEEN '2024-01-04' AND '2024-01-09' GROUP BY 1")
 
@@ -178,11 +182,11 @@ _x("refilter_sql", lambda x: sql.query_stats(bins.refilter(x, "2024-01-04 00:00:
 
 _C = """
     WITH o AS (
-        SELECT o_orderkey AS key, o_custkey AS cust, epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS at, round(o_totalprice * 100)::BIGINT * 1000 AS us, o_orderstatus <> 'O' AS closed FROM orders
+        SELECT o_orderkey AS key, o_custkey AS cust, epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS at0, round(o_totalprice * 100)::BIGINT * 1000 AS us, o_orderstatus <> 'O' AS closed FROM orders
     ), s AS (
-        SELECT at AS a, at + us AS z, us, 'u' || cust % 7 AS usr, 'db' || cust % 3 AS db, '10.1.0.' || cust % 5 AS host FROM o WHERE closed AND us > 0
+        SELECT at0 AS a, at0 + us AS z, us, 'u' || cust % 7 AS usr, 'db' || cust % 3 AS db, '10.1.0.' || cust % 5 AS host FROM o WHERE closed AND us > 0
     ), points AS (
-        SELECT at AS t, 1 AS d, key FROM o UNION ALL SELECT at + us, -1, key FROM o WHERE closed
+        SELECT at0 AS t, 1 AS d, key FROM o UNION ALL SELECT at0 + us, -1, key FROM o WHERE closed
     ), running AS (
         SELECT t, d, sum(d) OVER (ORDER BY t, key % 256 ROWS UNBOUNDED PRECEDING) AS n FROM points
     ), sweep AS (
@@ -208,7 +212,7 @@ for _k, _v in (("user", "usr"), ("db", "db"), ("host", "host")):
     _s(f"session_by_{_k}", lambda s, k=_k: server.session_by(s, k), f'SELECT {_v} AS "{_k}", {_M6} FROM s GROUP BY 1')
 _s("session_dist", server.session_distribution, "SELECT i::BIGINT AS bucket_index, ['< 1s', '1s - 1min', '1min - 30min', '30min - 2h', '2h - 5h', '> 5h'][i + 1] AS bucket, count(us) AS count FROM range(6) r(i) LEFT JOIN s ON CASE WHEN us < 1e6 THEN 0 WHEN us < 6e7 THEN 1 WHEN us < 18e8 THEN 2 WHEN us < 72e8 THEN 3 WHEN us < 18e9 THEN 4 ELSE 5 END = i GROUP BY i")
 _c("peak_concurrent", server.peak, "SELECT max(n)::BIGINT AS peak, make_timestamp(min(t) FILTER (n = (SELECT max(n) FROM running WHERE d = 1))) AS peak_ts FROM running WHERE d = 1")
-_c("conn_hist", lambda c: server.connection_hist(c, n=6), "SELECT least((at - lo) // greatest((hi - lo) // 6, 1), 5) AS bucket_index, count(*) AS count FROM o, (SELECT min(at) AS lo, max(at) AS hi FROM o) GROUP BY 1")
+_c("conn_hist", lambda c: server.connection_hist(c, n=6), "SELECT least((at0 - lo) // greatest((hi - lo) // 6, 1), 5) AS bucket_index, count(*) AS count FROM o, (SELECT min(at0) AS lo, max(at0) AS hi FROM o) GROUP BY 1")
 _s("concurrent_hist", server.concurrent_hist, """
     , g AS (SELECT min(a) AS lo, max(z) AS hi FROM s), p AS (SELECT least((t - lo) // greatest((hi - lo) // 6, 1), 5) AS i, n, t, d FROM sweep, g),
     b AS (SELECT i, max(n) AS most FROM p GROUP BY 1), c AS (SELECT k.i AS i, (SELECT last(n ORDER BY t, d DESC) FROM p WHERE p.i < k.i) AS carried FROM range(6) k(i))
@@ -222,12 +226,13 @@ _s("refilter_sessions", lambda s: server.session_stats(bins.overlapping(s, "1996
 _W = """
     WITH l0 AS (
         SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_returnflag AS rf, l_quantity::BIGINT AS q, round(l_extendedprice * 100)::BIGINT AS price,
-               epoch_us(l_shipdate) + l_orderkey % 86400 * 1000000 + l_linenumber * 1000 AS t, l_orderkey * 10 + l_linenumber AS pid FROM lineitem
+               epoch_us(l_shipdate) + l_orderkey % 86400 * 1000000 + l_linenumber * 1000 + l_partkey % 1000 AS t,
+               ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS pid FROM lineitem
     ), l AS (
         SELECT *, 'select ? from part_' || pk % 8 || ' where k = ?' AS norm, 'SELECT ' || q % 5 || ' FROM part_' || pk % 8 || ' WHERE k = ' || pk AS raw, q % 4 = 0 AS locked, q % 8 = 0 AS got,
                CASE WHEN ln % 2 = 0 THEN 'ShareLock' ELSE 'ExclusiveLock' END AS mode, CASE rf WHEN 'R' THEN 'relation' WHEN 'A' THEN 'transaction' ELSE 'tuple' END AS kind,
                CASE rf WHEN 'R' THEN 'relation ' || pk || ' of database 5' WHEN 'A' THEN 'transaction ' || pk ELSE 'tuple (0,1) of relation 7' END AS res,
-               t * 256 + ok % 16 * 6 AS line FROM l0
+               t * 256 + ok % 16 * 7 AS line FROM l0
     ), h AS (
         SELECT *, md5(norm) AS hash, 'se-' || substr(regexp_replace(base64(unhex(md5(norm))), '[+/=]', '', 'g'), 1, 6) AS id, CASE WHEN got THEN price / 50 ELSE price / 100 END AS wait,
                line > (SELECT min(line) FROM l WHERE locked) AS seen FROM l
@@ -252,7 +257,7 @@ def _waits(e: DataFrame) -> DataFrame:
 
 _temps = lambda e: A.temp_file_query(facts.temp_events(e), facts.statements(e))
 _w("temp_size", lambda e: facts.temp_events(e).select("ts", "pid", "size"), "SELECT make_timestamp(t) AS ts, pid::VARCHAR AS pid, price AS size FROM l")
-_w("stmt_text", lambda e: facts.statements(e).select("pid", "query"), "SELECT pid::VARCHAR AS pid, raw AS query FROM l")
+_w("stmt_text", lambda e: facts.statements(e).select("pid", "query"), "SELECT pid::VARCHAR AS pid, raw AS query FROM l UNION ALL SELECT (ok % 50 + 1)::VARCHAR, 'SELECT 7 FROM holder_' || pk % 3 FROM l WHERE locked AND ln > 1")
 _w("tempfile_stats", lambda e: server.temp_stats(facts.temp_events(e)), "SELECT count(*) AS count, sum(price)::BIGINT AS total_size, (sum(price) // count(*))::BIGINT AS avg_size FROM l")
 _w("tempfile_assoc", lambda e: _temps(e).select("pid", "size", "query"), "SELECT pid::VARCHAR AS pid, price AS size, raw AS query FROM l")
 _TQ = "SELECT hash AS full_hash, min(id) AS query_id, min(norm) AS norm_query, count(*) AS count, sum(price)::BIGINT AS total_size, min(raw) AS raw_query FROM h GROUP BY 1"
@@ -272,8 +277,8 @@ _w("waiting_queries", lambda e: server.waiting_queries(_lq(e), 3), f"SELECT {_KR
 _w("acquired_queries", lambda e: server.acquired_queries(_lq(e), 3).drop("avg_ms"), f"SELECT {_KR} FROM k WHERE acquired_count > 0 ORDER BY k.acquired_ms DESC, id LIMIT 3")
 _w("still_waiting_queries", lambda e: server.still_waiting_queries(_lq(e), 3), f"SELECT {_KR} FROM k WHERE waiting_count > 0 ORDER BY k.waiting_ms DESC, id LIMIT 3")
 _w("frequent_waiters", lambda e: server.frequent_waiters(_lq(e), 3).select("query_id", "locks"), "SELECT id AS query_id, acquired_count + waiting_count AS locks FROM k ORDER BY 2 DESC, 1 LIMIT 3")
-_w("blocking_pid", lambda e: _waits(e).select("pid", "blocking_pid", "event_type"), "SELECT pid::VARCHAR AS pid, CASE WHEN ln > 1 THEN (ok * 10 + 1)::VARCHAR ELSE '' END AS blocking_pid, 'waiting' AS event_type FROM l WHERE locked")
-_w("blockers", lambda e: server.blockers(_waits(e)), "SELECT b.id AS query_id, count(*) AS blocked, round(sum(h.price / 100), 3) AS total_ms, round(avg(h.price / 100), 3) AS avg_ms FROM h JOIN h b ON b.pid = h.ok * 10 + 1 WHERE h.locked AND h.ln > 1 GROUP BY 1")
+_w("blocking_pid", lambda e: _waits(e).select("pid", "blocking_pid", "event_type"), "SELECT pid::VARCHAR AS pid, CASE WHEN ln > 1 THEN (ok % 50 + 1)::VARCHAR ELSE '' END AS blocking_pid, 'waiting' AS event_type FROM l WHERE locked")
+_w("blockers", lambda e: server.blockers(_waits(e)), "SELECT 'se-' || substr(regexp_replace(base64(unhex(md5('select ? from holder_' || pk % 3))), '[+/=]', '', 'g'), 1, 6) AS query_id, count(*) AS blocked, round(sum(price / 100), 3) AS total_ms, round(avg(price / 100), 3) AS avg_ms FROM l WHERE locked AND ln > 1 GROUP BY 1")
 
 # --- maintenance and checkpoints ----------------------------------------------------------------------------------
 
@@ -337,6 +342,6 @@ ORACLE_SQL |= {
                k.acquired_count, k.waiting_count, round(k.total_wait_ms, 3) AS total_wait_ms FROM stats s FULL JOIN tq t ON s.hash = t.hash FULL JOIN k ON coalesce(s.hash, t.hash) = k.hash""",
     "no_duration": _WX + " SELECT DISTINCT hash AS full_hash, id AS query_id FROM h WHERE hash NOT IN (SELECT hash FROM stats)",
     "union_inputs": _X + _E.replace("entries AS", "e1 AS") + ", " + _W.strip().removeprefix("WITH ") + """, u AS (SELECT is_continuation, epoch_us(ts) AS t FROM e1
-        UNION ALL SELECT false, t FROM l UNION ALL SELECT true, t FROM l UNION ALL SELECT false, t FROM l WHERE locked UNION ALL SELECT true, t FROM l WHERE locked AND ln > 1 UNION ALL SELECT false, t FROM l WHERE got UNION ALL SELECT false, t FROM l WHERE q = 49)
+        UNION ALL SELECT false, t FROM l UNION ALL SELECT true, t FROM l UNION ALL SELECT false, t FROM l WHERE locked UNION ALL SELECT true, t FROM l WHERE locked AND ln > 1 UNION ALL SELECT false, t FROM l WHERE locked AND ln > 1 UNION ALL SELECT false, t FROM l WHERE got UNION ALL SELECT false, t FROM l WHERE q = 49)
         SELECT count(*) FILTER (NOT is_continuation) AS entries, make_timestamp(min(t)) AS first_ts, make_timestamp(max(t)) AS last_ts, max(t) - min(t) AS duration_us, round(count(*) FILTER (NOT is_continuation) * 1000000.0 / (max(t) - min(t)), 3) AS entries_per_s FROM u""",
 }

@@ -69,10 +69,11 @@ def connection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem: a temporary file and its statement (order as process), and for some lines a lock wait with its details."""
+    """lineitem: a temporary file and its statement, and for some lines a statement of another process and a lock wait on it."""
     x = table(spark, sf_dir, "lineitem")
-    x = x.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.timestamp_micros(F.unix_micros("l_shipdate") + (F.col("l_orderkey") % 86400) * 1_000_000 + F.col("l_linenumber") * 1000).alias("ts"))
-    pid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    x = x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.timestamp_micros(F.unix_micros("l_shipdate") + (F.col("l_orderkey") % 86400) * 1_000_000 + F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("ts"))
+    pid = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).cast("string")
+    other = (F.col("l_orderkey") % 50 + 1).cast("string")
     head = _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u LOG:  ")
     temp = _s(head, 'temporary file: path "base/pgsql_tmp/t', pid, '.0", size ', F.col("price").cast("string"))
     statement = _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u STATEMENT:  SELECT ", (F.col("q") % 5).cast("string"), " FROM part_", (F.col("l_partkey") % 8).cast("string"), " WHERE k = ", F.col("l_partkey").cast("string"))
@@ -80,11 +81,12 @@ def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("l_linenumber") % 2 == 0, "ShareLock").otherwise("ExclusiveLock")
     resource = F.when(F.col("l_returnflag") == "R", _s("relation ", F.col("l_partkey").cast("string"), " of database 5")).when(F.col("l_returnflag") == "A", _s("transaction ", F.col("l_partkey").cast("string"))).otherwise(F.lit("tuple (0,1) of relation 7"))
     wait = F.when(locked, _s(head, "process ", pid, " still waiting for ", mode, " on ", resource, " after ", F.format_string("%.2f", F.col("price") / 100), " ms"))
-    holder = _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u DETAIL:  Process holding the lock: ", (F.col("l_orderkey") * 10 + 1).cast("string"), ". Wait queue: ", pid, ".")
-    detail = F.when(locked & (F.col("l_linenumber") > 1), holder)
+    blocked = locked & (F.col("l_linenumber") > 1)
+    busy = F.when(blocked, _s(_clock(F.col("ts")), " UTC [", other, "]: db=d,user=h LOG:  duration: 1.000 ms  statement: SELECT 7 FROM holder_", (F.col("l_partkey") % 3).cast("string")))
+    detail = F.when(blocked, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u DETAIL:  Process holding the lock: ", other, ". Wait queue: ", pid, "."))
     got = F.when(locked & (F.col("q") % 8 == 0), _s(head, "process ", pid, " acquired ", mode, " on ", resource, " after ", F.format_string("%.2f", F.col("price") / 50), " ms"))
     dead = F.when(F.col("q") == 49, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u ERROR:  deadlock detected"))
-    return _lines(x, "ts", F.pmod(F.col("l_orderkey"), F.lit(16)), [temp, statement, wait, detail, got, dead])
+    return _lines(x, "ts", F.pmod(F.col("l_orderkey"), F.lit(16)), [temp, statement, busy, wait, detail, got, dead])
 
 
 def upkeep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
