@@ -8,9 +8,10 @@
    paired with one centre only (a star), never with all others. The joint likelihood of a pair's
    registers estimates its Jaccard similarity; pairs far below the threshold are dropped.
 4. Pairs are verified on full shingle sets, grouped by centre in salted groups of bounded size.
-5. Components are found over verified links. A bucket that still holds several components gets new
-   centres (the member nearest to the registers' consensus); at last the pairs that cross its
-   components and were not yet tested are tested, so that a star cannot hide a link.
+5. Components are found over verified links. A bucket that still holds several components gets a new
+   centre (the member nearest to the registers' consensus); at last all members outside its largest
+   component are compared with the whole bucket on full sets, inside tasks of bounded size that
+   return links and no pairs, so that a star cannot hide a link.
 """
 
 from __future__ import annotations
@@ -171,33 +172,59 @@ def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
     return table.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _proposer(last: bool, cut: float):
-    """Pairs within one bucket: a centre with the members of other components, or at last all that cross components."""
+def _propose(cut: float):
+    """Pairs of one bucket: the member nearest to the registers' consensus with the members of other components."""
 
     def propose(table: pa.Table) -> pa.Table:
         rep, comp = np.asarray(table.column("rep")), np.asarray(table.column("component"))
         n, regs = np.asarray(table.column("n"), float), _regs(table.column("regs").to_pylist())
         order = np.argsort(rep)
         rep, comp, n, regs = rep[order], comp[order], n[order], regs[order]
-        at = range(len(rep))
-        if not last:
-            consensus = np.sort(regs, axis=0)[len(regs) // 2]  # the median register
-            at = [int((regs == consensus).sum(1).argmax())]
-        us, vs = [rep[:0]], [rep[:0]]
-        for i in at:
-            others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i]) if last else np.flatnonzero(comp != comp[i])
-            if len(others):
-                j = estimate(np.broadcast_to(regs[i], regs[others].shape), regs[others], np.full(len(others), n[i]), n[others])
-                others = others[j >= cut]
-                us.append(np.full(len(others), rep[i]))
-                vs.append(rep[others])
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        consensus = np.sort(regs, axis=0)[len(regs) // 2]  # the median register
+        i = int((regs == consensus).sum(1).argmax())
+        others = np.flatnonzero(comp != comp[i])
+        if len(others):
+            j = estimate(np.broadcast_to(regs[i], regs[others].shape), regs[others], np.full(len(others), n[i]), n[others])
+            others = others[j >= cut]
+        return pa.table({"u": np.full(len(others), rep[i]), "v": rep[others]})
 
     return propose
 
 
-def link_classes(classes: DataFrame, texts_of, words: int, percent: int, m: int, rounds: int = 3) -> DataFrame | None:
-    """(node, component) over classes (rep, n, regs); texts_of(reps) gives their texts. None where nothing is linked."""
+def _cross(words: int, percent: int):
+    """Links between components of one bucket: each member asked for (role 0) against the others (role 1), one link to a component."""
+
+    def cross(table: pa.Table) -> pa.Table:
+        role, rep, comp = (np.asarray(table.column(c)) for c in ("role", "rep", "component"))
+        sets: list[np.ndarray] = [None] * len(rep)
+        for t in slices(table.column("text").combine_chunks()):
+            value, off = shingles(t, words)
+            for i in range(t.n):
+                sets[t.rows[0] + i] = value[off[i] : off[i + 1]]
+        known = np.flatnonzero(role == 1)
+        size = np.array([len(sets[i]) for i in known])
+        every = np.concatenate([sets[i] for i in known])
+        start = np.cumsum(size) - size
+        distinct, code = np.unique(every, return_inverse=True)
+        us, vs = [], []
+        for i in np.flatnonzero(role == 0):
+            own = sets[i]
+            has = np.zeros(len(distinct), np.int64)
+            at = np.searchsorted(distinct, own)
+            at = at[at < len(distinct)]
+            has[at[np.isin(distinct[at], own)]] = 1
+            both = np.add.reduceat(has[code], start)
+            near = np.flatnonzero((100 * both >= percent * (len(own) + size - both)) & (comp[known] != comp[i]))
+            _, first = np.unique(comp[known[near]], return_index=True)
+            us += [rep[i]] * len(first)
+            vs += rep[known[near[first]]].tolist()
+        return pa.table({"u": np.array(us, rep.dtype), "v": np.array(vs, rep.dtype)})
+
+    return cross
+
+
+def link_classes(classes: DataFrame, texts_of, words: int, percent: int, m: int, rounds: int = 1) -> DataFrame:
+    """(node, component) over classes (rep, n, regs); texts_of(reps) gives their texts."""
     from .components import components
 
     threshold = percent / 100
@@ -207,31 +234,36 @@ def link_classes(classes: DataFrame, texts_of, words: int, percent: int, m: int,
     centres = stage(banded.groupBy("band", "key").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u < w").drop("w"), "centres")
     members = stage(banded.join(centres, ["band", "key"]).select("band", "key", "rep", "u"), "members")
     texts = stage(texts_of(members.select("rep").distinct()), "texts")
-    near = stage(_near(members.where("rep <> u").select("u", F.col("rep").alias("v")).distinct(), classes, threshold - MARGIN), "near")
-    tested = near
-    links = stage(verify(near, texts, words, percent), "verified")
+    tested = stage(_near(members.where("rep <> u").select("u", F.col("rep").alias("v")).distinct(), classes, threshold - MARGIN), "near")
+    links = stage(verify(tested, texts, words, percent), "verified")
     kind = classes.schema["rep"].dataType.simpleString()
-    sketch = classes.select("rep", "n", "regs")
     ship(classes.sparkSession)
-    for turn in range(rounds + 1):
-        labels = components(links)
-        open_ = _labelled(members.select("band", "key", "rep"), labels)
-        many = stage(open_.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y").drop("x", "y"), "open")
-        if not many.limit(1).count():
-            break
-        inside = open_.join(many, ["band", "key"]).join(sketch, "rep")
-        last = turn == rounds
-
-        salt = F.when(F.lit(last), F.lit(0)).otherwise(F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("c") / BUCKET)).cast("int"))
-        proposed = inside.select("band", "key", salt.alias("salt"), "rep", "component", "n", "regs").groupBy("band", "key", "salt").applyInArrow(_proposer(last, threshold - MARGIN), f"u {kind}, v {kind}")
-        fresh = proposed.where("u <> v").distinct().join(tested.union(tested.select("v", "u")), ["u", "v"], "left_anti")
-        fresh = stage(fresh, "fresh")
-        if not fresh.limit(1).count():
-            if last:
-                break
-            continue
+
+    def still_open() -> tuple[DataFrame, DataFrame]:
+        """Members of buckets that hold several components, and for each bucket its size and largest component."""
+        every = _labelled(members.select("band", "key", "rep"), components(links))
+        by = every.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+        many = by.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.max("c").alias("most"), F.max_by("component", "c").alias("main")).where("k > 1").drop("k")
+        many = stage(many, "open")
+        return stage(every.join(many.select("band", "key"), ["band", "key"]), "inside"), many
+
+    for turn in range(rounds):
+        inside, many = still_open()
+        salt = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("c") / BUCKET)).cast("int")
+        wide = inside.join(many, ["band", "key"]).join(classes.select("rep", "n", "regs"), "rep").select("band", "key", salt.alias("salt"), "rep", "component", "n", "regs")
+        proposed = wide.groupBy("band", "key", "salt").applyInArrow(_propose(threshold - MARGIN), f"u {kind}, v {kind}")
+        fresh = stage(proposed.where("u <> v").distinct().join(tested.union(tested.select("v", "u")), ["u", "v"], "left_anti"), "fresh")
         tested = tested.union(fresh)
         links = links.union(stage(verify(fresh, texts, words, percent), "verified"))
+    # exact: all that is not in a bucket's largest component against the whole bucket, in blocks of bounded size
+    inside, many = still_open()
+    blocks = many.select("band", "key", "main", F.ceil((F.col("c") - F.col("most")) / GROUP).cast("int").alias("nu"), F.ceil(F.col("c") / GROUP).cast("int").alias("nv"))
+    rows_ = inside.join(blocks, ["band", "key"])
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    asked = rows_.where("component <> main").select("band", "key", block("nu").alias("iu"), F.explode(F.expr("sequence(0, nv - 1)")).alias("iv"), "rep", "component", F.lit(0).alias("role"))
+    others = rows_.select("band", "key", F.explode(F.expr("sequence(0, nu - 1)")).alias("iu"), block("nv").alias("iv"), "rep", "component", F.lit(1).alias("role"))
+    grouped = asked.unionByName(others).join(texts, "rep").groupBy("band", "key", "iu", "iv")
+    links = links.union(stage(grouped.applyInArrow(_cross(words, percent), f"u {kind}, v {kind}"), "crossing"))
     return components(links)
 
 
