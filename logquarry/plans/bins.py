@@ -45,3 +45,11 @@ def checkpoint_series(done: DataFrame) -> DataFrame:
     """Checkpoints of each hour by what started them: time, wal, other."""
     k = F.col("kind")
     return done.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(k == "time").alias("by_time"), F.count_if(k == "wal").alias("by_wal"), F.count_if(~k.isin("time", "wal")).alias("other"))
+
+
+def concurrent_bins(sessions: DataFrame) -> DataFrame:
+    """The most sessions at once in each bin that has a start or an end."""
+    from logquarry.operators.associate import concurrency
+
+    points = concurrency(sessions).withColumn("at", F.timestamp_micros("ts_us"))
+    return binned(points, F.max("running").alias("most"), ts="at").drop("count")

@@ -121,9 +121,9 @@ def top_temp_queries(stats: DataFrame, n: int = 10) -> DataFrame:
     return stats.orderBy(F.desc("total_size"), "query_id").limit(n)
 
 
-def temp_hist(t: DataFrame, n: int = 6) -> DataFrame:
-    """Bytes and files in each of n equal parts of the time between the first and the last, a second at least."""
-    return bucketed(t, n=n, least_us=1_000_000).groupBy("bucket_index").agg(F.sum("size").alias("bytes"), count_rows().alias("count"))
+def temp_hist(t: DataFrame, n: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes and files in each of n equal parts of the time between the first and the last (of each key), a second at least."""
+    return bucketed(t, n=n, least_us=1_000_000, keys=keys).groupBy(*keys, "bucket_index").agg(F.sum("size").alias("bytes"), count_rows().alias("count"))
 
 
 def lock_totals(messages: DataFrame, deadlocks: DataFrame) -> DataFrame:

@@ -218,6 +218,7 @@ _s("concurrent_hist", server.concurrent_hist, """
     b AS (SELECT i, max(n) AS most FROM p GROUP BY 1), c AS (SELECT k.i AS i, (SELECT last(n ORDER BY t, d DESC) FROM p WHERE p.i < k.i) AS carried FROM range(6) k(i))
     SELECT c.i::BIGINT AS bucket_index, greatest(coalesce(most, 0), coalesce(carried, 0))::BIGINT AS most FROM c LEFT JOIN b ON b.i = c.i""")
 _s("concurrent_peak", lambda s: A.concurrency(s).agg(F.max("running").alias("peak")), "SELECT max(n)::BIGINT AS peak FROM sweep")
+_s("bin_concurrent", bins.concurrent_bins, ", g AS (SELECT min(t) AS lo, max(t) AS hi FROM sweep) SELECT (t - lo) // greatest(3600000000, (hi - lo) // 200 + 1) AS bin, max(n)::BIGINT AS most FROM sweep, g GROUP BY 1")
 _register("avg_concurrent", lambda e: server.average_concurrent(facts.sessions(facts.connection_events(e)), e), samples.connection_log, _C + "SELECT round((SELECT sum(us) FROM s) * 1.0 / (max(t) - min(t)), 3) AS avg_concurrent FROM points")
 _s("refilter_sessions", lambda s: server.session_stats(bins.overlapping(s, "1996-01-01 00:00:00", "1996-06-01 00:00:00")), f"SELECT {_M6} FROM s WHERE a <= epoch_us(TIMESTAMP '1996-06-01') AND z >= epoch_us(TIMESTAMP '1996-01-01')")
 
@@ -265,6 +266,8 @@ _w("tempfile_queries", lambda e: server.temp_queries(_temps(e)), _TQ)
 _w("top_temp_queries", lambda e: server.top_temp_queries(server.temp_queries(_temps(e)), 3), _TQ + " ORDER BY total_size DESC, query_id LIMIT 3")
 _TH = ", s AS (SELECT min(t) AS lo, max(t) AS hi FROM l)"
 _w("temp_hist", lambda e: server.temp_hist(facts.temp_events(e)), _TH + " SELECT least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM l, s GROUP BY 1")
+_w("q_temp_hist", lambda e: server.temp_hist(A.with_query_id(_temps(e)), keys=("query_id",)), ", s AS (SELECT id AS sid, min(t) AS lo, max(t) AS hi FROM h GROUP BY 1) SELECT id AS query_id, least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM h JOIN s ON id = sid GROUP BY 1, 2")
+_w("bin_temp", lambda e: bins.binned(facts.temp_events(e), F.sum("size").alias("bytes")), _TH + ", b AS (SELECT lo, greatest(CASE WHEN hi - lo < 3600000000 THEN 60000000 WHEN hi - lo < 21600000000 THEN 300000000 WHEN hi - lo < 86400000000 THEN 900000000 ELSE 3600000000 END, (hi - lo) // 200 + 1) AS width FROM s) SELECT (t - lo) // width AS bin, count(*) AS count, sum(price)::BIGINT AS bytes FROM l, b GROUP BY 1")
 _w("lock_parse", lambda e: facts.lock_messages(e).select("ts", "event_type", "pid", "lock_type", "resource", "resource_type", "wait_ms"), "SELECT make_timestamp(t) AS ts, 'waiting' AS event_type, pid::VARCHAR AS pid, mode AS lock_type, res AS resource, kind AS resource_type, round(price / 100, 3) AS wait_ms FROM l WHERE locked UNION ALL SELECT make_timestamp(t), 'acquired', pid::VARCHAR, mode, res, kind, round(price / 50, 3) FROM l WHERE got")
 _w("lock_totals", lambda e: server.lock_totals(facts.lock_messages(e), facts.deadlocks(e)), "SELECT count(*) FILTER (locked) AS locks, count(*) FILTER (got) AS acquired, round(sum(price / 50) FILTER (got), 3) AS total_wait_ms, count(*) FILTER (locked) - count(*) FILTER (got) AS waiting, round(sum(price / 50) FILTER (got) / count(*) FILTER (locked), 3) AS avg_wait_ms, count(*) FILTER (q = 49) AS deadlocks FROM l")
 for _k, _v, _n in (("lock_type", "mode", "lock_types"), ("resource_type", "kind", "resource_types")):
