@@ -40,7 +40,8 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
         return _join_chunks(parsed)
     local = Window.partitionBy("file_idx", "split_start").orderBy("line_no")
     numbered = parsed.withColumn("local_no", F.sum(F.col("is_new").cast("long")).over(local))
-    totals = parsed.groupBy("file_idx", "split_start").agg(F.sum(F.col("is_new").cast("long")).alias("n"))
+    # from the numbered lines, so that the lines are parsed and shuffled once for both
+    totals = numbered.groupBy("file_idx", "split_start").agg(F.max("local_no").alias("n"))
     before = Window.partitionBy("file_idx").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file_idx", "split_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = numbered.join(offsets, ["file_idx", "split_start"]).withColumn("entry_no", F.col("local_no") + F.col("base"))
