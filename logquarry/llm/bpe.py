@@ -15,7 +15,7 @@ import pandas as pd
 from .common import Texts, hash64
 
 SEED = 801
-CACHE = 800_000
+CACHE = 400_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points with the White_Space property.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
@@ -98,10 +98,10 @@ class Encoder:
             tok = Tokenizer.from_file(path)
             self.special = {t["content"]: t["id"] for t in json.load(open(path)).get("added_tokens", [])}
             self._encode = lambda pieces: [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids as packed int32
 
-    def pieces(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For byte ranges of buf: the code of each, and the ids by code."""
+    def pieces(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """For byte ranges of buf: the code of each, and the packed ids by code."""
         h = hash64(SEED)
         codes, uniques = pd.factorize(h.ranges(h.prefix(buf), s, e))
         at = np.empty(len(uniques), np.int64)
@@ -113,7 +113,7 @@ class Encoder:
             self.cache.clear()
             new = words
         for w, ids in zip(new, self._encode([w.decode("utf-8") for w in new]), strict=True):
-            self.cache[w] = np.array(ids, np.int32)
+            self.cache[w] = np.array(ids, np.int32).tobytes()
         return codes, [self.cache[w] for w in words]
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +128,8 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
         s = at[start]
         codes, ids = self.pieces(buf, s, np.append(s[1:], len(buf)))
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, base = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, base = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(size)])
         n = size[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
         index = np.arange(upto[-1]) + np.repeat(base[codes] - upto[:-1], n)
@@ -145,7 +145,7 @@ class Encoder:
             return np.zeros(t.n, np.int64)
         s = at[start]
         codes, ids = self.pieces(buf, s, np.append(s[1:], len(buf)))
-        upto = np.concatenate([[0], np.cumsum(np.array([len(x) for x in ids], np.int64)[codes])])
+        upto = np.concatenate([[0], np.cumsum(np.array([len(x) // 4 for x in ids], np.int64)[codes])])
         own = np.searchsorted(s, t.off)
         return upto[own[1:]] - upto[own[:-1]]
 

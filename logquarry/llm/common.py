@@ -7,6 +7,7 @@ slices of bounded bytes so that memory does not grow with the batch; one documen
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch, where the session has no setting of its own: whole texts are long rows.
+BATCH_ROWS = 1000
 
 _scratch: dict[str, str] = {}
 
@@ -54,12 +57,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give freed memory back at the end of a partition: Python workers live on, beside each other, in one executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and bound the batches of texts that Python gets."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if app not in _shipped:
         _shipped.add(app)
         package = Path(__file__).resolve().parent
@@ -82,6 +96,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
         for batch in batches:
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in target], schema=target)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -213,7 +228,3 @@ def per_doc(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of values over the item range of each document."""
     c = np.concatenate([[0], np.cumsum(values)])
     return c[off[1:]] - c[off[:-1]]
-
-
-def offsets_to_list(off: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)

@@ -9,14 +9,12 @@ what a worker holds never grows with the benchmark. The documents are not shuffl
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTE, LOWER, Texts, arrow_map, covered, hash64, per_doc, runs, slices, within
+from .common import ALNUM_BYTE, LOWER, Texts, arrow_map, covered, hash64, runs, slices, within
 
 BLOCK_BYTES = 16_000_000
 SEED = 501
@@ -132,10 +130,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     cut = F.udf(clean_text, "string")
     text = F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))
     return found.select(*[text.alias(c) if c == text_col else F.col("doc_id")[c].alias(c) for c in names])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-__all__ = ["clean_text", "contamination", "decontaminate", "items_digest", "per_doc", "scan"]

@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     labelled; repeated rows are scored alike, and count as often in training as they occur.
     """
     vectors = stage(describe(docs, id_col, text_col), "statistics")
-    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(f"doc_id is not null and {label_col} in (0, 1)" if label_col == "label" else "doc_id is not null and label in (0, 1)")
+    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     train = vectors.join(y, "doc_id").where(~held_out(F.col("doc_id"), buckets, out)).select("x", "label")
     model = docs.sparkSession.sparkContext.broadcast(fit(train))
     kind = docs.schema[id_col].dataType.simpleString()

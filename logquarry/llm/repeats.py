@@ -22,13 +22,18 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, Texts, hash64, runs, ship, slices, stage
+from .common import WORD_BYTE, Texts, hash64, runs, ship, slices, stage, tidy
 
 SEED = 201
+#: Bytes of text whose anchors are packed together.
+GATHER = 24_000_000
+#: Anchor hashes are sent without their lowest bits: a chance collision only makes a context be compared for nothing.
+KEEP = np.uint64(16)
 #: Bytes of input files for each block; a block holds the contexts of one part of the hash space.
 BLOCK_INPUT = 2_000_000
 
@@ -118,10 +123,29 @@ def unpack(blob: bytes) -> tuple:
     return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
 
 
+def pack_texts(batches):
+    """(doc_id, dk, text) to (doc_id, dk, z): each text compressed, as it is shuffled twice."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+        z = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["doc_id", "dk", "z"])
+
+
+def unpacked(batches, most: int = 512):
+    """Batches of at most ``most`` rows with the packed texts in the third column as they were."""
+    codec = pa.Codec("zstd")
+    for whole in batches:
+        for lo in range(0, whole.num_rows, most):
+            batch = whole.slice(lo, most)
+            texts = [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.large_binary()).cast(pa.large_string()), *batch.columns[3:]], names=batch.schema.names), batch.column(2)
+
+
 def _ids(batch: pa.RecordBatch, rows: tuple[int, int]) -> np.ndarray:
     """(doc_id, digest) of the documents of a slice."""
-    part = [np.asarray(batch.column(i).slice(rows[0], rows[1] - rows[0]).fill_null(-(2**63)), np.int64) for i in (0, 1)]
-    return np.column_stack(part)
+    doc_id, dk = (batch.column(i).slice(rows[0], rows[1] - rows[0]) for i in (0, 1))
+    return np.column_stack([np.asarray(doc_id.fill_null(-(2**63)), np.int64), np.asarray(dk, np.int64)])
 
 
 def _by_bucket(key: np.ndarray, buckets: int):
@@ -133,34 +157,41 @@ def _by_bucket(key: np.ndarray, buckets: int):
         yield int(b[part[0]]), part
 
 
-def _docs_of(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _docs_of(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (as differences) and digests of the documents that occur, and a code for each occurrence."""
     seen, code = np.unique(doc, return_inverse=True)
-    return ids[seen], code.astype(np.uint32)
+    return np.diff(ids[seen, 0], prepend=0), ids[seen, 1].astype(np.int32), code.astype(np.uint32)
+
+
+def _ids_of(difference: np.ndarray, dk: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.cumsum(difference), dk.astype(np.int64)])
 
 
 def _anchors(spec: Spec, buckets: int):
     """Packed anchors of each partition, a blob for each bucket and some megabytes of text."""
 
+    def packed(held, table) -> pa.RecordBatch:
+        key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, out = np.concatenate(table), []
+        for b, part in _by_bucket(key, buckets):
+            k = key[part] >> KEEP
+            out.append((b, pack(np.diff(k, prepend=np.uint64(0)), *_docs_of(doc[part], ids), at[part])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
     def run(batches):
+        held, table, base, size = [], [], 0, 0
         for batch in batches:
-            held: list[tuple[np.ndarray, ...]] = []
-            base, table = 0, []
             for t in slices(batch.column(2)):
                 r = find_runs(t, spec)
                 held.append((r.key, r.doc + base, r.anchor.astype(np.uint32)))
                 table.append(_ids(batch, t.rows))
-                base += t.n
-            if not held:
-                continue
-            key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids = np.concatenate(table)
-            out = []
-            for b, part in _by_bucket(key, buckets):
-                own, code = _docs_of(doc[part], ids)
-                k = key[part]
-                out.append((b, pack(k[:1], np.diff(k), own, code, at[part])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+                base, size = base + t.n, size + len(t.buf)
+                if size > GATHER:
+                    yield packed(held, table)
+                    held, table, base, size = [], [], 0, 0
+        if held:
+            yield packed(held, table)
+        tidy()
 
     return run
 
@@ -171,16 +202,16 @@ def _answers(doc: np.ndarray, ids: np.ndarray, *values: np.ndarray) -> pa.Table:
     cut = np.flatnonzero(np.diff(doc[order])) + 1
     parts = np.split(order, cut) if len(order) else []
     own = ids[[doc[p[0]] for p in parts]] if parts else ids[:0]
-    return pa.table({"doc_id": pa.array(own[:, 0], pa.int64()), "dk": pa.array(own[:, 1], pa.int64()), "found": pa.array([pickle.dumps([v[p] for v in values], protocol=5) for p in parts], pa.binary())})
+    return pa.table({"doc_id": pa.array(own[:, 0], pa.int64()), "dk": pa.array(own[:, 1], pa.int32()), "found": pa.array([pickle.dumps([v[p] for v in values], protocol=5) for p in parts], pa.binary())})
 
 
 def _gather(table: pa.Table) -> list[tuple]:
     """The blobs of a bucket, with document codes made to run on."""
     out, base = [], 0
     for blob in table.column("blob").to_pylist():
-        *rest, ids, code, tail = unpack(blob)
-        out.append((*rest, ids, code.astype(np.int64) + base, tail))
-        base += len(ids)
+        key, *rest, difference, dk, code, tail = unpack(blob)
+        out.append((np.cumsum(key, dtype=np.uint64), *rest, _ids_of(difference, dk), code.astype(np.int64) + base, tail))
+        base += len(dk)
     return out
 
 
@@ -189,10 +220,7 @@ def _repeated(other_documents: bool):
 
     def run(table: pa.Table) -> pa.Table:
         parts = _gather(table)
-        key = np.concatenate([np.concatenate([p[0], p[1]]).cumsum(dtype=np.uint64) for p in parts])
-        ids = np.concatenate([p[2] for p in parts])
-        doc = np.concatenate([p[3] for p in parts])
-        at = np.concatenate([p[4] for p in parts])
+        key, ids, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.argsort(key)
         k = key[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -208,11 +236,9 @@ def _repeated(other_documents: bool):
     return run
 
 
-def _same_context(r: Run, part: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _same_context(r: Run, part: np.ndarray) -> np.ndarray:
     """For runs of a slice, a code for equal (anchor, place of the anchor, context)."""
     h1, h2 = hash64(SEED + 1), hash64(SEED + 2)
-    import pandas as pd
-
     a = h1.ranges(h1.prefix(r.buf), r.lo[part], r.hi[part]) ^ (r.key[part] * np.uint64(3))
     b = h2.ranges(h2.prefix(r.buf), r.lo[part], r.hi[part]) ^ (r.anchor[part] - r.first[part]).astype(np.uint64)
     return pd.MultiIndex.from_arrays([a, b]).factorize()[0]
@@ -220,21 +246,21 @@ def _same_context(r: Run, part: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _contexts(spec: Spec, buckets: int, later_only: bool, digest: Callable[[Texts, Spec, int, np.ndarray], tuple]):
     """For each document: its row if nothing can repeat, else its text, and the contexts of its repeated anchors by bucket."""
-    names = ["kind", "bucket", "blob", "doc_id", "dk", "text", "n_items", "sha"]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    names = ["kind", "bucket", "blob", "doc_id", "dk", "z", "n_items", "sha"]
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
 
     def table(n, **cols):
         return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, ty) for c, ty in zip(names, types, strict=True)], names=names)
 
     def run(batches):
-        for batch in batches:
+        for batch, z in unpacked(batches):
             for t in slices(batch.column(2)):
                 n, rows = t.n, slice(t.rows[0], t.rows[1])
                 ids, found = _ids(batch, t.rows), batch.column(3).slice(rows.start, n).to_pylist()
                 has = np.array([f is not None for f in found])
                 done = [digest(t, spec, i, np.zeros((0, 2), np.int64)) for i in np.flatnonzero(~has)]
                 plain = pa.array(~has)
-                own = [batch.column(i).slice(rows.start, n) for i in (0, 1, 2)]
+                own = [batch.column(i).slice(rows.start, n) for i in (0, 1)]
                 if done:
                     yield table(len(done), kind=pa.array([0] * len(done), pa.int32()), doc_id=own[0].filter(plain), dk=own[1].filter(plain), n_items=pa.array([d[0] for d in done], pa.int64()), sha=pa.array([d[3] for d in done], pa.string()))
                 if not has.any():
@@ -248,7 +274,7 @@ def _contexts(spec: Spec, buckets: int, later_only: bool, digest: Callable[[Text
                 part = np.flatnonzero(wanted)
                 local: dict[int, list] = {}
                 if len(part):
-                    code = _same_context(r, part, ids)
+                    code = _same_context(r, part)
                     owner = ids[r.doc[part], 0]
                     order = np.lexsort((r.first[part], owner, code))
                     lead = order[np.concatenate([[True], np.diff(code[order]) != 0])]  # of equal contexts, the first by id and place
@@ -267,13 +293,13 @@ def _contexts(spec: Spec, buckets: int, later_only: bool, digest: Callable[[Text
                     out = []
                     for b, sub in _by_bucket(r.key[send], buckets):
                         p = send[sub]
-                        table_, c = _docs_of(r.doc[p], ids)
                         text = b"".join(r.buf[i:j].tobytes() for i, j in zip(r.lo[p].tolist(), r.hi[p].tolist(), strict=True))
-                        out.append((b, pack(r.key[p], r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), twice[sub], table_, c, np.frombuffer(text, np.uint8))))
+                        out.append((b, pack(np.diff(r.key[p] >> KEEP, prepend=np.uint64(0)), r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), twice[sub], *_docs_of(r.doc[p], ids), np.frombuffer(text, np.uint8))))
                     yield table(len(out), kind=pa.array([1] * len(out), pa.int32()), bucket=pa.array([x[0] for x in out], pa.int32()), blob=pa.array([x[1] for x in out], pa.binary()))
                 keep = pa.array(has)
                 told = [pickle.dumps(np.array(local.get(i, []), np.int64).reshape(-1, 2), protocol=5) for i in np.flatnonzero(has)]
-                yield table(len(told), kind=pa.array([2] * len(told), pa.int32()), doc_id=own[0].filter(keep), dk=own[1].filter(keep), text=own[2].filter(keep).cast(pa.string()), blob=pa.array(told, pa.binary()))
+                yield table(len(told), kind=pa.array([2] * len(told), pa.int32()), doc_id=own[0].filter(keep), dk=own[1].filter(keep), z=z.slice(rows.start, n).filter(keep), blob=pa.array(told, pa.binary()))
+        tidy()
 
     return run
 
@@ -310,7 +336,7 @@ def _block(compare: Callable[[Block, Spec], tuple[np.ndarray, np.ndarray, np.nda
 
 def _finish(spec: Spec, digest):
     def run(batches):
-        for batch in batches:
+        for batch, _ in unpacked(batches):
             for t in slices(batch.column(2)):
                 sub = {name: batch.column(i).slice(t.rows[0], t.n) for i, name in ((3, "local"), (4, "found"))}
                 rows = []
@@ -318,6 +344,7 @@ def _finish(spec: Spec, digest):
                     spans = [pickle.loads(local)] + [np.column_stack(pickle.loads(x)).astype(np.int64) for x in found or []]
                     rows.append(digest(t, spec, i, np.concatenate(spans)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.rows[0], t.n), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256"])
+        tidy()
 
     return run
 
@@ -337,18 +364,19 @@ def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: boo
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
+    base = base.select("doc_id", F.hash("doc_id", "text").alias("dk"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, input_bytes(docs) // BLOCK_INPUT))
     packed = base.mapInArrow(_anchors(spec, buckets), "bucket int, blob binary")
-    repeated = packed.groupBy("bucket").applyInArrow(_repeated(later_only), "doc_id long, dk long, found binary")
+    repeated = packed.groupBy("bucket").applyInArrow(_repeated(later_only), "doc_id long, dk int, found binary")
     places = stage(repeated.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found"), "places")
     known = F.coalesce("doc_id", F.lit(-(2**63)))
-    joined = base.join(places, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "text", "found")
-    made = stage(joined.mapInArrow(_contexts(spec, buckets, later_only, digest), "kind int, bucket int, blob binary, doc_id long, dk long, text string, n_items long, sha string"), "contexts")
-    answers = made.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk long, found binary")
+    packed_texts = base.mapInArrow(pack_texts, "doc_id long, dk int, z binary")
+    joined = packed_texts.join(places, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "found")
+    made = stage(joined.mapInArrow(_contexts(spec, buckets, later_only, digest), "kind int, bucket int, blob binary, doc_id long, dk int, z binary, n_items long, sha string"), "contexts")
+    answers = made.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk int, found binary")
     spans = answers.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found")
-    open_ = made.where("kind = 2").select("doc_id", "dk", "text", "blob")
-    open_ = open_.join(spans, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "text", "blob", "found")
+    open_ = made.where("kind = 2").select("doc_id", "dk", "z", "blob")
+    open_ = open_.join(spans, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "blob", "found")
     finished = open_.mapInArrow(_finish(spec, digest), "doc_id long, n_items long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     settled = made.where("kind = 0").select("doc_id", "n_items", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))

@@ -56,7 +56,7 @@ def _long(enc: Encoder, raw: bytes, chunk: int) -> int:
         at = np.flatnonzero((buf & 0xC0) != 0x80)
         s = at[starts - lo]
         codes, ids = enc.pieces(buf, s, np.append(s[1:], len(buf)))
-        total += int(np.array([len(x) for x in ids], np.int64)[codes].sum())
+        total += int(np.array([len(x) // 4 for x in ids], np.int64)[codes].sum())
     return total
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import mix, ship, slices, stage
+from .common import mix, ship, slices, stage, tidy
 
 PARTITION_BYTES = 32_000_000
 
@@ -66,6 +66,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end: int, width: int
                     names=["doc_id", "part", "n_tokens", "tokens", "pid", "ordinal"],
                 )
                 made += len(own)
+        tidy()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, part int, n_tokens int, tokens binary, pid int, ordinal long")
 
