@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTE, Texts, hash64, runs, ship, slices, stage, tidy
@@ -244,7 +244,27 @@ def _same_context(r: Run, part: np.ndarray) -> np.ndarray:
     return pd.MultiIndex.from_arrays([a, b]).factorize()[0]
 
 
-def _contexts(spec: Spec, buckets: int, later_only: bool, digest: Callable[[Texts, Spec, int, np.ndarray], tuple]):
+def positions(ids: np.ndarray, first: np.ndarray, ties: bool) -> np.ndarray:
+    """Ranks by (doc_id, digest, place); repeated rows share theirs if ``ties``, else the one that comes first is first."""
+    order = np.lexsort((first, ids[:, 1], ids[:, 0]))
+    new = np.ones(len(order), np.int64)
+    if ties:
+        new[1:] = (np.diff(ids[order], axis=0) != 0).any(axis=1) | (np.diff(first[order]) != 0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def equal_contexts(code: np.ndarray, position: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts have an equal one at a smaller position (or, if no copy stays, at a larger one), and the first of each code."""
+    order = np.lexsort((position, code))
+    head = np.concatenate([np.ones(min(1, len(order)), bool), np.diff(code[order]) != 0])
+    lead, last = order[head], order[np.append(head[1:], True)] if len(order) else order
+    gone = position > position[lead][code]
+    return gone if keep_first else gone | (position < position[last][code]), lead
+
+
+def _contexts(spec: Spec, buckets: int, later_only: bool, keep_first: bool, digest: Callable[[Texts, Spec, int, np.ndarray], tuple]):
     """For each document: its row if nothing can repeat, else its text, and the contexts of its repeated anchors by bucket."""
     names = ["kind", "bucket", "blob", "doc_id", "dk", "z", "n_items", "sha"]
     types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
@@ -275,26 +295,20 @@ def _contexts(spec: Spec, buckets: int, later_only: bool, digest: Callable[[Text
                 local: dict[int, list] = {}
                 if len(part):
                     code = _same_context(r, part)
-                    owner = ids[r.doc[part], 0]
-                    order = np.lexsort((r.first[part], owner, code))
-                    lead = order[np.concatenate([[True], np.diff(code[order]) != 0])]  # of equal contexts, the first by id and place
-                    front = np.empty(code.max() + 1, np.int64)
-                    front[code[lead]] = lead
-                    counted = np.bincount(code)
                     # what a slice can tell by itself
-                    sure = owner > owner[front[code]] if later_only else counted[code] > 1
+                    position = ids[r.doc[part], 0] if later_only else positions(ids[r.doc[part]], r.first[part], keep_first)
+                    sure, lead = equal_contexts(code, position, later_only or keep_first)
                     for j in np.flatnonzero(sure):
                         p = part[j]
                         local.setdefault(int(r.doc[p]), []).append((r.first[p], r.n[p]))
-                    # the rest of one document's equal contexts need an answer of their own
+                    # the rest of one document's equal contexts need an answer of their own; else the first stands for all
                     left = np.flatnonzero(~sure) if later_only else np.sort(lead)
                     send = part[left]
-                    twice = (counted[code[left]] > 1).astype(np.uint8)
                     out = []
                     for b, sub in _by_bucket(r.key[send], buckets):
                         p = send[sub]
                         text = b"".join(r.buf[i:j].tobytes() for i, j in zip(r.lo[p].tolist(), r.hi[p].tolist(), strict=True))
-                        out.append((b, pack(np.diff(r.key[p] >> KEEP, prepend=np.uint64(0)), r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), twice[sub], *_docs_of(r.doc[p], ids), np.frombuffer(text, np.uint8))))
+                        out.append((b, pack(np.diff(r.key[p] >> KEEP, prepend=np.uint64(0)), r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), *_docs_of(r.doc[p], ids), np.frombuffer(text, np.uint8))))
                     yield table(len(out), kind=pa.array([1] * len(out), pa.int32()), bucket=pa.array([x[0] for x in out], pa.int32()), blob=pa.array([x[1] for x in out], pa.binary()))
                 keep = pa.array(has)
                 told = [pickle.dumps(np.array(local.get(i, []), np.int64).reshape(-1, 2), protocol=5) for i in np.flatnonzero(has)]
@@ -313,7 +327,6 @@ class Block:
     n: np.ndarray
     shift: np.ndarray
     size: np.ndarray
-    twice: np.ndarray
     doc: np.ndarray
     ids: np.ndarray
     buf: np.ndarray
@@ -326,8 +339,8 @@ class Block:
 def _block(compare: Callable[[Block, Spec], tuple[np.ndarray, np.ndarray, np.ndarray]], spec: Spec):
     def run(table: pa.Table) -> pa.Table:
         parts = _gather(table)
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(9)]
-        b = Block(cols[0], *(c.astype(np.int64) for c in cols[1:5]), cols[5], cols[7], cols[6], cols[8])
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(8)]
+        b = Block(cols[0], *(c.astype(np.int64) for c in cols[1:5]), cols[6], cols[5], cols[7])
         context, start, n = compare(b, spec)
         return _answers(b.doc[context], b.ids, b.first[context] + start, n)
 
@@ -343,7 +356,7 @@ def _finish(spec: Spec, digest):
                 for i, (local, found) in enumerate(zip(sub["local"].to_pylist(), sub["found"].to_pylist(), strict=True)):
                     spans = [pickle.loads(local)] + [np.column_stack(pickle.loads(x)).astype(np.int64) for x in found or []]
                     rows.append(digest(t, spec, i, np.concatenate(spans)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.rows[0], t.n), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(t.rows[0], t.n) for i in (0, 1)), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "dk", "n_items", "n_removed", "n_spans", "kept_sha256"])
         tidy()
 
     return run
@@ -354,7 +367,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: bool, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_items, n_removed, n_spans, kept_sha256 of every row.
 
     compare(block, spec) returns (context, first window, windows) of what is to go; digest(texts,
@@ -372,15 +385,19 @@ def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: boo
     known = F.coalesce("doc_id", F.lit(-(2**63)))
     packed_texts = base.mapInArrow(pack_texts, "doc_id long, dk int, z binary")
     joined = packed_texts.join(places, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "found")
-    made = stage(joined.mapInArrow(_contexts(spec, buckets, later_only, digest), "kind int, bucket int, blob binary, doc_id long, dk int, z binary, n_items long, sha string"), "contexts")
+    made = stage(joined.mapInArrow(_contexts(spec, buckets, later_only, keep_first, digest), "kind int, bucket int, blob binary, doc_id long, dk int, z binary, n_items long, sha string"), "contexts")
     answers = made.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk int, found binary")
     spans = answers.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found")
     open_ = made.where("kind = 2").select("doc_id", "dk", "z", "blob")
     open_ = open_.join(spans, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "blob", "found")
-    finished = open_.mapInArrow(_finish(spec, digest), "doc_id long, n_items long, n_removed long, n_spans long, kept_sha256 string")
+    finished = open_.mapInArrow(_finish(spec, digest), "doc_id long, dk int, n_items long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
-    settled = made.where("kind = 0").select("doc_id", "n_items", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    return settled.unionByName(finished)
+    settled = made.where("kind = 0").select("doc_id", "dk", "n_items", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    out = settled.unionByName(finished)
+    if keep_first:  # repeated rows were judged as one text: all but one of them are whole copies
+        again = (F.row_number().over(Window.partitionBy("doc_id", "dk").orderBy("n_items")) > 1) & (F.col("n_items") >= spec.length)
+        out = out.withColumn("again", again).select("doc_id", "dk", "n_items", F.when(F.col("again"), F.col("n_items")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(F.col("again"), 1).otherwise(F.col("n_spans")).alias("n_spans"), F.when(F.col("again"), sha256(b"")).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    return out.drop("dk")
 
 
 def sha256(raw: bytes) -> str:

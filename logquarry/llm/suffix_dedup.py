@@ -2,49 +2,60 @@
 
 repeats.py narrows the corpus to contexts that may repeat, and brings together in a block all
 contexts in which a string can occur. A block sorts the suffixes that start a string, cut at the
-length asked for, by prefix doubling. In this order neighbours with a common prefix of the whole
-length form intervals; within one, the previous and the next smaller position of a suffix are its
-earlier matches. The longest-previous-factor value reaches the length for all but the smallest
-position of an interval, and the longest-next-factor value for all but the largest: with both,
-every copy goes; with the first alone, the first copy stays.
+length asked for, by prefix doubling, equal ones by position: doc_id, digest, place. Over this order
+the previous and the next smaller position of a suffix, with the least common prefix on the way, give
+its longest previous factor; the larger positions give its longest next factor. The previous factor
+reaches the length for all but the first of equal strings, the next factor for all but the last: with
+both, every copy goes; with the first alone, the first copy stays. Of contexts that are equal as a
+whole, all but the first have a previous factor and all but the last a next one; the first alone is
+sorted against other contexts.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import Texts, covered, hash64
-from .repeats import SEED, Block, Spec, remove_repeats, sha256
+from .repeats import SEED, Block, Spec, equal_contexts, positions, remove_repeats, sha256
 
 KEY = 8
+#: Rounds of jumps over all open places at once, before the rest is walked one by one.
+JUMPS = 40
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1].astype(np.int64)
 
 
-def window_order(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at ``at`` by their first ``length`` bytes, and whether each in that order equals the one before."""
+def _levels(buf: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The first bytes at each place as a number, and ranks of the places by their first h bytes, h doubling."""
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(KEY, np.uint8)]).astype(np.uint64)
     step = min(KEY, length)
     first = np.zeros(n, np.uint64)
     for k in range(step):
         first = (first << np.uint64(8)) | padded[k : k + n]
-    rank, offset, keys = _ranks(first), 0, []
-    levels = [(step, rank)]
+    levels = [(step, _ranks(first))]
     while levels[-1][0] * 2 <= length:
         h, r = levels[-1]
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - h)] = r[h:] + 1
         levels.append((2 * h, _ranks(r * (n + 2) + nxt)))
+    return first, levels
+
+
+def _order(levels: list[tuple[int, np.ndarray]], at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    n, offset, keys = len(levels[0][1]), 0, []
     for h, r in reversed(levels):
         while offset + h <= length:
             keys.append(r[np.minimum(at + offset, n - 1)])
             offset += h
     if offset < length:
+        step, rank = levels[0]
         keys.append(rank[at + length - step])
     order = np.lexsort(keys[::-1])
     same = np.zeros(len(at), bool)
@@ -53,43 +64,99 @@ def window_order(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
     return order, same
 
 
-def copies(b: Block, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first string, strings) of what occurs elsewhere."""
+def window_order(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``at`` by their first ``length`` bytes, and whether each in that order equals the one before."""
+    return _order(_levels(buf, length)[1], at, length)
+
+
+def _common(first: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, cut at ``length``."""
+    n, out = len(first), np.zeros(len(a), np.int64)
+    for h, r in reversed(levels):
+        go = (out + h <= length) & (r[np.minimum(a + out, n - 1)] == r[np.minimum(b + out, n - 1)])
+        out += h * go
+    step = levels[0][0]
+    differ = first[np.minimum(a + out, n - 1)] ^ first[np.minimum(b + out, n - 1)]
+    for k in range(1, step):  # the bytes before the first that differs
+        out += differ < np.uint64(1 << 8 * k)
+    return np.minimum(out, length)
+
+
+def smaller_before(value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before with a smaller value (-1: none), and the least of ``common`` on the way.
+
+    common[i] belongs to the step from i - 1 to i; common[0] is 0.
+    """
+    at, low = np.arange(-1, len(value) - 1), common.copy()
+    todo = np.arange(1, len(value))
+    for _ in range(JUMPS):
+        todo = todo[at[todo] >= 0]
+        todo = todo[value[at[todo]] >= value[todo]]
+        if not len(todo):
+            return at, low
+        over = at[todo]
+        low[todo] = np.minimum(low[todo], low[over])
+        at[todo] = at[over]
+    values, ats, lows = value.tolist(), at.tolist(), low.tolist()
+    for i in todo.tolist():  # long chains: from left to right, over settled places only
+        j, least, own = ats[i], lows[i], values[i]
+        while j >= 0 and values[j] >= own:
+            least = min(least, lows[j])
+            j = ats[j]
+        ats[i], lows[i] = j, least
+    return np.array(ats, np.int64), np.array(lows, np.int64)
+
+
+def _longest(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longer common prefix with the previous and the next smaller value."""
+    back = np.concatenate([common[:1], common[:0:-1]])
+    return np.maximum(smaller_before(value, common)[1], smaller_before(value[::-1], back)[1][::-1])
+
+
+def factors(buf: np.ndarray, at: np.ndarray, length: int, following: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Longest previous and, if asked for, longest next factor of the suffixes at ``at``, cut at ``length``; earlier in ``at`` is previous."""
+    previous = np.zeros(len(at), np.int64)
+    after = np.zeros(len(at), np.int64) if following else None
+    if len(at):
+        first, levels = _levels(buf, length)
+        order, same = _order(levels, at, length)
+        common = np.zeros(len(at), np.int64)
+        common[same] = length
+        new = np.flatnonzero(~same)[1:]
+        common[new] = _common(first, levels, at[order[new]], at[order[new - 1]], length)
+        previous[order] = _longest(order, common)
+        if following:
+            after[order] = _longest(-order, common)
+    return previous, after
+
+
+def copies(b: Block, spec: Spec, keep_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first string, strings) of what occurs elsewhere, or before if the first copy stays."""
     lo = np.concatenate([[0], np.cumsum(b.size)])
     h1, h2 = hash64(SEED + 1), hash64(SEED + 2)
     a, c = (h.ranges(h.prefix(b.buf), lo[:-1], lo[1:]) for h in (h1, h2))
     code, _ = pd.MultiIndex.from_arrays([a ^ (b.key * np.uint64(3)), c ^ b.shift.astype(np.uint64)]).factorize()
-    many = np.bincount(code, weights=1.0 + b.twice).astype(np.int64)
-    lead = np.empty(len(many), np.int64)
-    lead[code[::-1]] = np.arange(len(code))[::-1]
-    # an anchor with one context only is settled by counting
+    position = positions(b.ids[b.doc], b.first, keep_first)
+    whole, lead = equal_contexts(code, position, keep_first)
+    copied = np.flatnonzero(whole)
+    # the first of equal contexts is sorted if its anchor has others
     keys, of = np.unique(b.key[lead], return_inverse=True)
-    several = np.bincount(of)[of] > 1
-    gone_c, gone_s, gone_n = [], [], []
-    plain = np.flatnonzero(~several[code] & (many[code] > 1))
-    gone_c.append(plain), gone_s.append(np.zeros(len(plain), np.int64)), gone_n.append(b.n[plain])
-    rest = np.flatnonzero(several)
-    if len(rest):
-        own = lead[rest]
-        size, n = b.size[own], b.n[own]
-        start = np.cumsum(size) - size
-        buf = b.buf[np.arange(size.sum()) + np.repeat(lo[own] - start, size)]
-        which = np.repeat(np.arange(len(own)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        order, same = window_order(buf, start[which] + inner, spec.length)
-        group = np.cumsum(~same) - 1
-        weight = np.bincount(group, weights=many[rest][which[order]])
-        hit = np.zeros(len(order), bool)
-        hit[order] = weight[group] > 1
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        cut = np.flatnonzero(hit[1:] & hit[:-1] & (which[1:] != which[:-1])) + 1 if len(hit) > 1 else np.zeros(0, np.int64)
-        s = np.union1d(np.flatnonzero(edge == 1), cut)
-        e = np.union1d(np.flatnonzero(edge == -1), cut)
-        spans = pd.DataFrame({"code": rest[which[s]], "s": inner[s], "n": e - s})
-        members = pd.DataFrame({"code": code, "c": np.arange(len(code))})
-        found = members.merge(spans, on="code")
-        gone_c.append(found.c.to_numpy()), gone_s.append(found.s.to_numpy()), gone_n.append(found.n.to_numpy())
-    return np.concatenate(gone_c).astype(np.int64), np.concatenate(gone_s).astype(np.int64), np.concatenate(gone_n).astype(np.int64)
+    own = lead[np.bincount(of)[of] > 1]
+    own = own[np.argsort(position[own])]
+    size, n = b.size[own], b.n[own]
+    start = np.cumsum(size) - size
+    buf = b.buf[np.arange(size.sum()) + np.repeat(lo[own] - start, size)]
+    which = np.repeat(np.arange(len(own)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    previous, after = factors(buf, start[which] + inner, spec.length, not keep_first)
+    hit = previous >= spec.length
+    if not keep_first:
+        hit |= after >= spec.length
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    cut = np.flatnonzero(hit[1:] & hit[:-1] & (which[1:] != which[:-1])) + 1 if len(hit) > 1 else np.zeros(0, np.int64)
+    s = np.union1d(np.flatnonzero(edge == 1), cut)
+    e = np.union1d(np.flatnonzero(edge == -1), cut)
+    return np.concatenate([copied, own[which[s]]]), np.concatenate([np.zeros(len(copied), np.int64), inner[s]]), np.concatenate([b.n[copied], e - s])
 
 
 def digest(t: Texts, spec: Spec, i: int, spans: np.ndarray) -> tuple[int, int, int, str]:
@@ -101,13 +168,17 @@ def digest(t: Texts, spec: Spec, i: int, spans: np.ndarray) -> tuple[int, int, i
     return len(raw), int(gone.sum()), n, sha256(raw[~gone].tobytes())
 
 
-def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, **cols) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, keep_first: bool = False, **cols) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere goes, in the same
     document too; overlaps count, and strings are judged on the input. Matches never cross
     documents. A null text is empty; a text shorter than ``length`` loses nothing; of repeated rows
     each is the other's copy. A null id is kept as it is. An empty table gives no rows.
+
+    With ``keep_first`` a string goes only if it also starts earlier: in a smaller doc_id (null is the
+    smallest; under one id, texts in the order of their digests) or at an earlier place of the same
+    text. Of repeated rows, one is the first.
     """
-    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), copies, digest, later_only=False, **cols)
+    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), partial(copies, keep_first=keep_first), digest, later_only=False, keep_first=keep_first, **cols)
     return out.withColumnRenamed("n_items", "n_bytes")

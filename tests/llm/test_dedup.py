@@ -173,3 +173,60 @@ def test_sketch_estimates():
         assert (near_dedup.merge(regs[0], regs[1]) == whole[0]).all()
     rows, bands = near_dedup.bands_for(0.85)
     assert (1 - 0.85**rows) ** bands < 1e-4
+
+
+def brute_keep_first(t, length):
+    raw = {k: x.encode() for k, x in t.items()}
+    seen, out = set(), {}
+    for k in sorted(raw):
+        x = raw[k]
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if x[i : i + length] in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(x[i : i + length])
+        out[k] = (len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(x, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("length, k", [(200, 32), (20, 8), (5, 2)])
+def test_suffix_keeps_first(corpus, length, k):
+    docs = corpus()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_strings(docs, length, k, keep_first=True).collect()}
+    assert got == brute_keep_first(texts(docs), length)
+
+
+def test_suffix_keeps_first_odd(odd):
+    got = suffix_dedup.remove_repeated_strings(odd, 5, 3, keep_first=True).collect()
+    # one of the four rows with the same text stays, that of the null id
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in got) == [(-1, 0), (1, 11), (1, 11), (2, 0), (2, 11), (3, 0)]
+    got = suffix_dedup.remove_repeated_strings(odd.where("doc_id = 1"), 5, 3, keep_first=True).collect()
+    assert sorted(r.n_removed for r in got) == [0, 11]
+
+
+def test_factors():
+    import numpy as np
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+
+    rng = np.random.default_rng(4)
+    for length, letters in ((1, 2), (5, 2), (7, 2), (8, 1), (23, 2), (37, 2), (64, 1)):
+        buf = rng.integers(97, 97 + letters, 160).astype(np.uint8)
+        buf[90:130] = buf[10:50]
+        at = rng.permutation(161 - length)
+        cut = [buf[i : i + length].tobytes() for i in at]
+        previous, after = suffix_dedup.factors(buf, at, length)
+        assert previous.tolist() == [max((common(x, y) for y in cut[:i]), default=0) for i, x in enumerate(cut)]
+        assert after.tolist() == [max((common(x, y) for y in cut[i + 1 :]), default=0) for i, x in enumerate(cut)]
+
+
+def test_smaller_before_with_long_chains():
+    import numpy as np
+
+    value = np.concatenate([np.arange(1000, 2000), np.arange(999, 0, -1)])
+    common = np.arange(len(value)) % 7
+    at, low = suffix_dedup.smaller_before(value, common)
+    for i in range(0, len(value), 13):
+        j = next((j for j in range(i - 1, -1, -1) if value[j] < value[i]), -1)
+        assert at[i] == j and low[i] == (common[j + 1 : i + 1].min())
