@@ -16,7 +16,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
 def tokenizer(name: str) -> str:
@@ -39,7 +39,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeated_strings(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeated_strings(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

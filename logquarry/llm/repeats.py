@@ -8,15 +8,15 @@ leftmost k-gram of least hash. Equal windows have equal anchors at the same plac
 2. the windows of each anchor that is left form a run; the text a run spans (its context) is sent
    to the block that its anchor's hash names, so each block is an index of all contexts in which
    its windows can occur; contexts that are equal within a slice are sent once;
-3. a block compares its contexts by an exact method of the operator and answers with spans.
+3. a block compares its contexts by an exact method of the operator and answers with spans;
+4. every text meets its spans, and leaves with what is kept of it.
 
-Nothing is paired: work in a block is by sorting. What is shuffled: packed anchors, the texts once,
-contexts of repeated anchors, and the texts of documents that have such anchors.
+Nothing is paired: work in a block is by sorting. What is shuffled: packed anchors, the packed texts
+twice, and contexts of repeated anchors. Only contexts and spans are staged.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -139,7 +139,7 @@ def unpacked(batches, most: int = 512):
         for lo in range(0, whole.num_rows, most):
             batch = whole.slice(lo, most)
             texts = [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.large_binary()).cast(pa.large_string()), *batch.columns[3:]], names=batch.schema.names), batch.column(2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.large_binary()).cast(pa.large_string()), *batch.columns[3:]], names=batch.schema.names)
 
 
 def _ids(batch: pa.RecordBatch, rows: tuple[int, int]) -> np.ndarray:
@@ -264,43 +264,34 @@ def equal_contexts(code: np.ndarray, position: np.ndarray, keep_first: bool) ->
     return gone if keep_first else gone | (position < position[last][code]), lead
 
 
-def _contexts(spec: Spec, buckets: int, later_only: bool, keep_first: bool, digest: Callable[[Texts, Spec, int, np.ndarray], tuple]):
-    """For each document: its row if nothing can repeat, else its text, and the contexts of its repeated anchors by bucket."""
-    names = ["kind", "bucket", "blob", "doc_id", "dk", "z", "n_items", "sha"]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+def _contexts(spec: Spec, buckets: int, later_only: bool, keep_first: bool):
+    """The contexts of repeated anchors by bucket, and what a slice can tell of its documents by itself (bucket null)."""
+    names = ["bucket", "blob", "doc_id", "dk", "found"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def table(n, **cols):
         return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, ty) for c, ty in zip(names, types, strict=True)], names=names)
 
     def run(batches):
-        for batch, z in unpacked(batches):
+        for batch in unpacked(batches):
             for t in slices(batch.column(2)):
-                n, rows = t.n, slice(t.rows[0], t.rows[1])
-                ids, found = _ids(batch, t.rows), batch.column(3).slice(rows.start, n).to_pylist()
-                has = np.array([f is not None for f in found])
-                done = [digest(t, spec, i, np.zeros((0, 2), np.int64)) for i in np.flatnonzero(~has)]
-                plain = pa.array(~has)
-                own = [batch.column(i).slice(rows.start, n) for i in (0, 1)]
-                if done:
-                    yield table(len(done), kind=pa.array([0] * len(done), pa.int32()), doc_id=own[0].filter(plain), dk=own[1].filter(plain), n_items=pa.array([d[0] for d in done], pa.int64()), sha=pa.array([d[3] for d in done], pa.string()))
-                if not has.any():
-                    continue
+                n = t.n
+                ids, found = _ids(batch, t.rows), batch.column(3).slice(t.rows[0], n).to_pylist()
                 r = find_runs(t, spec)
                 wanted = np.zeros(len(r.key), bool)
                 upto = np.searchsorted(r.doc, np.arange(n + 1))
-                for i in np.flatnonzero(has):
+                for i in range(n):
                     at = np.concatenate([pickle.loads(x)[0] for x in found[i]])
                     wanted[upto[i] : upto[i + 1]] = np.isin(r.anchor[upto[i] : upto[i + 1]], at)
                 part = np.flatnonzero(wanted)
-                local: dict[int, list] = {}
                 if len(part):
                     code = _same_context(r, part)
                     # what a slice can tell by itself
                     position = ids[r.doc[part], 0] if later_only else positions(ids[r.doc[part]], r.first[part], keep_first)
                     sure, lead = equal_contexts(code, position, later_only or keep_first)
-                    for j in np.flatnonzero(sure):
-                        p = part[j]
-                        local.setdefault(int(r.doc[p]), []).append((r.first[p], r.n[p]))
+                    p = part[sure]
+                    told = _answers(r.doc[p], ids, r.first[p], r.n[p])
+                    yield table(told.num_rows, **{c: told.column(c).combine_chunks() for c in told.column_names})
                     # the rest of one document's equal contexts need an answer of their own; else the first stands for all
                     left = np.flatnonzero(~sure) if later_only else np.sort(lead)
                     send = part[left]
@@ -309,10 +300,7 @@ def _contexts(spec: Spec, buckets: int, later_only: bool, keep_first: bool, dige
                         p = send[sub]
                         text = b"".join(r.buf[i:j].tobytes() for i, j in zip(r.lo[p].tolist(), r.hi[p].tolist(), strict=True))
                         out.append((b, pack(np.diff(r.key[p] >> KEEP, prepend=np.uint64(0)), r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), *_docs_of(r.doc[p], ids), np.frombuffer(text, np.uint8))))
-                    yield table(len(out), kind=pa.array([1] * len(out), pa.int32()), bucket=pa.array([x[0] for x in out], pa.int32()), blob=pa.array([x[1] for x in out], pa.binary()))
-                keep = pa.array(has)
-                told = [pickle.dumps(np.array(local.get(i, []), np.int64).reshape(-1, 2), protocol=5) for i in np.flatnonzero(has)]
-                yield table(len(told), kind=pa.array([2] * len(told), pa.int32()), doc_id=own[0].filter(keep), dk=own[1].filter(keep), z=z.slice(rows.start, n).filter(keep), blob=pa.array(told, pa.binary()))
+                    yield table(len(out), bucket=pa.array([x[0] for x in out], pa.int32()), blob=pa.array([x[1] for x in out], pa.binary()))
         tidy()
 
     return run
@@ -347,16 +335,25 @@ def _block(compare: Callable[[Block, Spec], tuple[np.ndarray, np.ndarray, np.nda
     return run
 
 
-def _finish(spec: Spec, digest):
+def merged(gone: np.ndarray) -> np.ndarray:
+    """(start, stop) of the runs of a mask."""
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)])
+
+
+def _finish(spec: Spec, clean: Callable[[Texts, Spec, int, np.ndarray], tuple[int, np.ndarray, bytes]]):
     def run(batches):
-        for batch, _ in unpacked(batches):
+        for batch in unpacked(batches):
             for t in slices(batch.column(2)):
-                sub = {name: batch.column(i).slice(t.rows[0], t.n) for i, name in ((3, "local"), (4, "found"))}
                 rows = []
-                for i, (local, found) in enumerate(zip(sub["local"].to_pylist(), sub["found"].to_pylist(), strict=True)):
-                    spans = [pickle.loads(local)] + [np.column_stack(pickle.loads(x)).astype(np.int64) for x in found or []]
-                    rows.append(digest(t, spec, i, np.concatenate(spans)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(t.rows[0], t.n) for i in (0, 1)), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "dk", "n_items", "n_removed", "n_spans", "kept_sha256"])
+                for i, found in enumerate(batch.column(3).slice(t.rows[0], t.n).to_pylist()):
+                    spans = [np.column_stack(pickle.loads(x)).astype(np.int64) for x in found or []]
+                    rows.append(clean(t, spec, i, np.concatenate([np.zeros((0, 2), np.int64), *spans])))
+                n, spans, kept = zip(*rows, strict=True)
+                start, stop = np.concatenate(spans).T
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in spans])])
+                pairs = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["start", "stop"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(t.rows[0], t.n) for i in (0, 1)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), pa.array(kept, pa.binary())], names=["doc_id", "dk", "n_items", "spans", "kept"])
         tidy()
 
     return run
@@ -367,12 +364,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: bool, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_items, n_removed, n_spans, kept_sha256 of every row.
+def remove_repeats(docs: DataFrame, spec: Spec, compare, clean, later_only: bool, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_items, spans (start and stop of what goes, in items) and kept (the bytes that stay) of every row.
 
-    compare(block, spec) returns (context, first window, windows) of what is to go; digest(texts,
-    spec, i, spans) returns the numbers of a document. Documents are told apart by id and text, so
-    repeated rows get equal results and rows that share an id are judged each by its own text.
+    compare(block, spec) returns (context, first window, windows) of what is to go; clean(texts,
+    spec, i, windows) returns the items, spans and kept bytes of a document. Documents are told apart
+    by id and text, so repeated rows get equal results and rows that share an id are judged each by
+    its own text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -381,24 +379,29 @@ def remove_repeats(docs: DataFrame, spec: Spec, compare, digest, later_only: boo
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, input_bytes(docs) // BLOCK_INPUT))
     packed = base.mapInArrow(_anchors(spec, buckets), "bucket int, blob binary")
     repeated = packed.groupBy("bucket").applyInArrow(_repeated(later_only), "doc_id long, dk int, found binary")
-    places = stage(repeated.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found"), "places")
-    known = F.coalesce("doc_id", F.lit(-(2**63)))
+
+    def by_document(found: DataFrame) -> DataFrame:
+        return found.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found")
+
+    places = stage(by_document(repeated), "places")
     packed_texts = base.mapInArrow(pack_texts, "doc_id long, dk int, z binary")
-    joined = packed_texts.join(places, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "found")
-    made = stage(joined.mapInArrow(_contexts(spec, buckets, later_only, keep_first, digest), "kind int, bucket int, blob binary, doc_id long, dk int, z binary, n_items long, sha string"), "contexts")
-    answers = made.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk int, found binary")
-    spans = answers.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found")
-    open_ = made.where("kind = 2").select("doc_id", "dk", "z", "blob")
-    open_ = open_.join(spans, (known == F.col("d")) & (F.col("dk") == F.col("k")), "left").select("doc_id", "dk", "z", "blob", "found")
-    finished = open_.mapInArrow(_finish(spec, digest), "doc_id long, dk int, n_items long, n_removed long, n_spans long, kept_sha256 string")
-    zero = F.lit(0).cast("long")
-    settled = made.where("kind = 0").select("doc_id", "dk", "n_items", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    out = settled.unionByName(finished)
+
+    def with_texts(found: DataFrame, how: str) -> DataFrame:
+        known = F.coalesce("doc_id", F.lit(-(2**63)))
+        return packed_texts.join(found, (known == F.col("d")) & (F.col("dk") == F.col("k")), how).select("doc_id", "dk", "z", "found")
+
+    made = stage(with_texts(places, "inner").mapInArrow(_contexts(spec, buckets, later_only, keep_first), "bucket int, blob binary, doc_id long, dk int, found binary"), "contexts")
+    answers = made.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk int, found binary")
+    found = answers.unionByName(made.where("bucket is null").select("doc_id", "dk", "found"))
+    out = with_texts(by_document(found), "left").mapInArrow(_finish(spec, clean), "doc_id long, dk int, n_items long, spans array<struct<start: bigint, stop: bigint>>, kept binary")
     if keep_first:  # repeated rows were judged as one text: all but one of them are whole copies
         again = (F.row_number().over(Window.partitionBy("doc_id", "dk").orderBy("n_items")) > 1) & (F.col("n_items") >= spec.length)
-        out = out.withColumn("again", again).select("doc_id", "dk", "n_items", F.when(F.col("again"), F.col("n_items")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(F.col("again"), 1).otherwise(F.col("n_spans")).alias("n_spans"), F.when(F.col("again"), sha256(b"")).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
-    return out.drop("dk")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_items").alias("stop")))
+        out = out.withColumn("again", again).withColumn("spans", F.when(F.col("again"), whole).otherwise(F.col("spans"))).withColumn("kept", F.when(F.col("again"), F.lit(b"")).otherwise(F.col("kept")))
+    return out.select("doc_id", "n_items", "spans", "kept")
 
 
-def sha256(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
+def with_counts(out: DataFrame) -> DataFrame:
+    """n_removed, n_spans and kept_sha256, from the spans and the kept text."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    return out.withColumns({"n_removed": removed, "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)})

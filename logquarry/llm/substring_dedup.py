@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import WORD_BYTE, Texts, covered, hash64, runs
-from .repeats import SEED, Block, Spec, remove_repeats, sha256
+from .repeats import SEED, Block, Spec, merged, remove_repeats, with_counts
 
 
 def factors(b: Block, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,23 +45,24 @@ def factors(b: Block, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context[start], inner[start], np.flatnonzero(ends) - start + 1
 
 
-def digest(t: Texts, spec: Spec, i: int, spans: np.ndarray) -> tuple[int, int, int, str]:
+def clean(t: Texts, spec: Spec, i: int, windows: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     raw = t.buf[t.off[i] : t.off[i + 1]]
     s, e, _ = runs(Texts(raw, np.array([0, len(raw)]), (0, 1)), raw, WORD_BYTE)
-    gone = covered(len(s), spans[:, 0], spans[:, 1] + spec.length - 1) if len(spans) else np.zeros(len(s), bool)
+    gone = covered(len(s), windows[:, 0], windows[:, 1] + spec.length - 1) if len(windows) else np.zeros(len(s), bool)
     text = raw.tobytes()
     kept = b" ".join(text[a:z] for a, z in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True))
-    n = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if len(gone) else 0
-    return len(s), int(gone.sum()), n, sha256(kept)
+    return len(s), merged(gone), kept
 
 
 def remove_repeated_passages(docs: DataFrame, length: int = 13, k: int = 4, **cols) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_words, spans, kept, n_removed, n_spans, kept_sha256.
+
+    ``spans`` has start and stop of the words that go, ``kept`` the words that stay, one space between.
 
     A word goes if a window of ``length`` words that covers it also starts in a document of smaller
     id; windows are judged on the input. A null or empty text has no words; a text of fewer words
     than a window loses nothing; rows that share an id are no earlier sources for each other; a null
     id is smaller than any. An empty table gives no rows.
     """
-    out = remove_repeats(docs, Spec("words", length, min(k, length)), factors, digest, later_only=True, **cols)
-    return out.withColumnRenamed("n_items", "n_words")
+    out = remove_repeats(docs, Spec("words", length, min(k, length)), factors, clean, later_only=True, **cols)
+    return with_counts(out.withColumn("kept", F.col("kept").cast("string"))).withColumnRenamed("n_items", "n_words")

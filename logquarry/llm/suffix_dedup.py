@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import Texts, covered, hash64
-from .repeats import SEED, Block, Spec, equal_contexts, positions, remove_repeats, sha256
+from .repeats import SEED, Block, Spec, equal_contexts, merged, positions, remove_repeats, with_counts
 
 KEY = 8
 #: Rounds of jumps over all open places at once, before the rest is walked one by one.
@@ -159,17 +159,19 @@ def copies(b: Block, spec: Spec, keep_first: bool = False) -> tuple[np.ndarray,
     return np.concatenate([copied, own[which[s]]]), np.concatenate([np.zeros(len(copied), np.int64), inner[s]]), np.concatenate([b.n[copied], e - s])
 
 
-def digest(t: Texts, spec: Spec, i: int, spans: np.ndarray) -> tuple[int, int, int, str]:
+def clean(t: Texts, spec: Spec, i: int, windows: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     raw = t.buf[t.off[i] : t.off[i + 1]]
-    if not len(spans):
-        return len(raw), 0, 0, sha256(raw.tobytes())
-    gone = covered(len(raw), spans[:, 0], spans[:, 1] + spec.length - 1)
-    n = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
-    return len(raw), int(gone.sum()), n, sha256(raw[~gone].tobytes())
+    if not len(windows):
+        return len(raw), windows, raw.tobytes()
+    gone = covered(len(raw), windows[:, 0], windows[:, 1] + spec.length - 1)
+    return len(raw), merged(gone), raw[~gone].tobytes()
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, keep_first: bool = False, **cols) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_bytes, spans, kept, n_removed, n_spans, kept_sha256.
+
+    ``spans`` has start and stop of the bytes that go, ``kept`` the bytes that stay (binary: a string
+    may begin or end within a character).
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere goes, in the same
     document too; overlaps count, and strings are judged on the input. Matches never cross
@@ -180,5 +182,5 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, kee
     smallest; under one id, texts in the order of their digests) or at an earlier place of the same
     text. Of repeated rows, one is the first.
     """
-    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), partial(copies, keep_first=keep_first), digest, later_only=False, keep_first=keep_first, **cols)
-    return out.withColumnRenamed("n_items", "n_bytes")
+    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), partial(copies, keep_first=keep_first), clean, later_only=False, keep_first=keep_first, **cols)
+    return with_counts(out).withColumnRenamed("n_items", "n_bytes")

@@ -230,3 +230,21 @@ def test_smaller_before_with_long_chains():
     for i in range(0, len(value), 13):
         j = next((j for j in range(i - 1, -1, -1) if value[j] < value[i]), -1)
         assert at[i] == j and low[i] == (common[j + 1 : i + 1].min())
+
+
+def test_repeats_return_texts_and_spans(corpus, odd):
+    docs = corpus(60)
+    raw = {k: x.encode() for k, x in texts(docs).items()}
+    want = brute_bytes(texts(docs), 20)
+    for keep_first in (False, True):
+        for r in suffix_dedup.remove_repeated_strings(docs, 20, 8, keep_first=keep_first).collect():
+            x, spans = raw[r.doc_id], [(s.start, s.stop) for s in r.spans]
+            assert all(a < z for a, z in spans) and all(z < a for (_, z), (a, _) in zip(spans, spans[1:]))
+            left = b"".join(x[a:z] for a, z in zip([0] + [z for _, z in spans], [a for a, _ in spans] + [len(x)]))
+            assert bytes(r.kept) == left and hashlib.sha256(left).hexdigest() == r.kept_sha256
+            assert keep_first or want[r.doc_id][3] == r.kept_sha256
+    for r in substring_dedup.remove_repeated_passages(docs, 7, 2).collect():
+        gone = {i for s in r.spans for i in range(s.start, s.stop)}
+        assert r.kept == " ".join(w for i, w in enumerate(WORD.findall(raw[r.doc_id].decode())) if i not in gone) and len(gone) == r.n_removed
+    got = suffix_dedup.remove_repeated_strings(odd, 5, 3, keep_first=True).collect()
+    assert sorted(bytes(r.kept) for r in got if r.n_bytes == 11) == [b"", b"", b"", b"a b c d e f"]
