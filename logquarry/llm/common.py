@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,14 +24,17 @@ SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1000
 
 _scratch: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error elsewhere."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
             spark.conf.set("spark.checkpoint.dir", base)
         _scratch[app] = f"{base.rstrip('/')}/llm-{app}"
@@ -41,7 +45,10 @@ def scratch_root(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> None:
     """Delete the stage tables of this application."""
     try:
-        root = _scratch.pop(spark.sparkContext.applicationId, None)
+        app = spark.sparkContext.applicationId
+        for name in _tables.pop(app, []):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        root = _scratch.pop(app, None)
         if root:
             path = spark._jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -57,6 +64,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def owned_table(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """A stage table that is bucketed: steps that group or join it by ``by`` read it where it lies, without a shuffle."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    df.write.bucketBy(buckets, by).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def tidy() -> None:
     """Give freed memory back at the end of a partition: Python workers live on, beside each other, in one executor."""
     pa.default_memory_pool().release_unused()
@@ -179,6 +195,11 @@ class Hash64:
     def ranges(self, prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mix((prefix[e] - prefix[s]) * self.down[s] + (e - s).astype(np.uint64))
 
+    def windows(self, prefix: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n bytes from each place that has n-1 after it."""
+        m = max(0, len(prefix) - n)
+        return mix((prefix[n:] - prefix[: len(prefix) - n])[:m] * self.down[:m])
+
     def grams(self, h: np.ndarray, n: int) -> np.ndarray:
         """Hashes of n consecutive items, starting at each item that has n-1 after it."""
         m = max(0, len(h) - n + 1)

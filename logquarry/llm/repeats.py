@@ -3,39 +3,48 @@
 A window is ``length`` consecutive items (bytes or words) of a text. Every window has an anchor: its
 leftmost k-gram of least hash. Equal windows have equal anchors at the same place, so
 
-1. anchors (about 2 / (length - k + 2) of all positions) are gathered by hash, packed, and those
-   that occur once settle all their windows: they occur once too;
-2. the windows of each anchor that is left form a run; the text a run spans (its context) is sent
-   to the block that its anchor's hash names, so each block is an index of all contexts in which
-   its windows can occur; contexts that are equal within a slice are sent once;
-3. a block compares its contexts by an exact method of the operator and answers with spans;
-4. every text meets its spans, and leaves with what is kept of it.
-
-Nothing is paired: work in a block is by sorting. What is shuffled: packed anchors, the packed texts
-twice, and contexts of repeated anchors. Only contexts and spans are staged.
+1. the texts are written once as a table of parts (8192 rows each), bucketed by part: every later
+   step meets its texts without a shuffle of them;
+2. each part sends the hashes of its anchors, each once; a hash that occurs once settles its windows;
+3. the windows of each anchor that is left form a run; the text a run spans is its context. Contexts
+   of a part that are equal (compared as values) are one row, and all but the first of them are
+   settled; the rows meet by anchor hash in blocks, each an index of all contexts in which its
+   windows can occur;
+4. a block merges equal contexts again, compares different ones of one anchor by an exact method of
+   the operator, and answers with windows;
+5. the windows meet the texts by part.
+
+Hashes only choose who is compared; whether texts are equal is always told from their bytes. Nothing
+is paired: work in a block is by sorting. All shuffles are of plain rows, so what is sent for a
+megabyte of text does not depend on the number of partitions, and of a passage that occurs in many
+documents a part sends each context once.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, Texts, hash64, runs, ship, slices, stage, tidy
+from .common import WORD_BYTE, Texts, hash64, owned_table, runs, ship, slices, tidy
 
 SEED = 201
-#: Bytes of text whose anchors are packed together.
-GATHER = 24_000_000
 #: Anchor hashes are sent without their lowest bits: a chance collision only makes a context be compared for nothing.
 KEEP = np.uint64(16)
-#: Bytes of input files for each block; a block holds the contexts of one part of the hash space.
-BLOCK_INPUT = 2_000_000
+#: Rows of a part are 2**PART_BITS at most.
+PART_BITS = 13
+#: Bytes of input files for a bucket of texts, and for a block of contexts.
+BUCKET_INPUT, BLOCK_INPUT = 16_000_000, 8_000_000
+#: Anchor hashes that a task holds before it sends them, and bytes of contexts that are compared at once.
+HELD, COMPARED = 4_000_000, 2_000_000
+#: Bits of a place in a slice, beside which 40 bits of a hash choose the anchor.
+PLACE = 24
 
 
 @dataclass(frozen=True)
@@ -49,7 +58,7 @@ class Spec:
 
 @dataclass
 class Run:
-    """The runs of a slice: anchor hash, document, first window, number of windows, byte range of the context, anchor's place."""
+    """The runs of a slice: anchor hash, document, first window, number of windows, byte range of the context."""
 
     key: np.ndarray
     doc: np.ndarray
@@ -57,348 +66,354 @@ class Run:
     n: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
-    anchor: np.ndarray
     buf: np.ndarray
-    off: np.ndarray
 
 
 def _leftmost_least(g: np.ndarray, w: int) -> np.ndarray:
-    """For each start of w values, the place of the least, the leftmost of equals."""
+    """For each start of w values, the place of the least by its first 40 bits, the leftmost of equals."""
+    m = len(g) - w + 1
+    if len(g) < 1 << PLACE:  # value and place in one number
+        low = np.uint64((1 << PLACE) - 1)
+        v, span = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
+        while span * 2 <= w:
+            v, span = np.minimum(v[:-span], v[span:]), span * 2
+        return (np.minimum(v[:m], v[w - span : w - span + m]) & low).astype(np.int64)
+    g = g >> np.uint64(PLACE)
     at, span = np.arange(len(g)), 1
     while span * 2 <= w:
         a, b = at[:-span], at[span:]
-        at = np.where(g[a] <= g[b], a, b)
-        span *= 2
-    m = len(g) - w + 1
+        at, span = np.where(g[a] <= g[b], a, b), span * 2
     a, b = at[:m], at[w - span : w - span + m]
     return np.where(g[a] <= g[b], a, b)
 
 
+def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a slice with one space after each: buffer, starts, ends, and n+1 word offsets of the documents."""
+    s0, e0, off = runs(t, t.buf, WORD_BYTE)
+    size = e0 - s0 + 1
+    s = np.cumsum(size) - size
+    e = s + size - 1
+    buf = np.full(int(size.sum()), 32, np.uint8)
+    fill = np.ones(len(buf), bool)
+    fill[e] = False
+    buf[fill] = t.buf[WORD_BYTE[t.buf]]
+    return buf, s, e, off
+
+
 def find_runs(t: Texts, spec: Spec) -> Run:
     """All runs of a slice. For words, the buffer is rewritten with one space between words."""
     h = hash64(SEED)
     if spec.kind == "bytes":
         buf, off = t.buf, t.off
-        s = np.arange(len(buf))
-        e = s + 1
-        gram_ends = np.minimum(s + spec.k, len(buf))
-        grams = h.ranges(h.prefix(buf), s, gram_ends)[: max(0, len(buf) - spec.k + 1)]
+        grams = h.windows(h.prefix(buf), spec.k)
     else:
-        s0, e0, off = runs(t, t.buf, WORD_BYTE)
-        keep = WORD_BYTE[t.buf]
-        buf = np.full(int((e0 - s0).sum()) + len(s0), 32, np.uint8)
-        size = e0 - s0 + 1
-        s = np.cumsum(size) - size
-        e = s + size - 1
-        fill = np.ones(len(buf), bool)
-        fill[e] = False
-        buf[fill] = t.buf[keep]
+        buf, s, e, off = _words(t)
         grams = h.grams(h.ranges(h.prefix(buf), s, e), spec.k) if len(s) else np.zeros(0, np.uint64)
     w = spec.length - spec.k + 1
     m = len(grams) - w + 1
     none = np.zeros(0, np.int64)
     if m <= 0:
-        return Run(np.zeros(0, np.uint64), none, none, none, none, none, none, buf, off)
+        return Run(np.zeros(0, np.uint64), none, none, none, none, none, buf)
     anchor = _leftmost_least(grams, w)
     valid = np.ones(m, bool)
     for d in off[1:-1]:
         valid[max(0, d - spec.length + 1) : d] = False
-    new = valid.copy()
-    new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-    first = np.flatnonzero(new)
-    end = valid.copy()
-    end[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
-    last = np.flatnonzero(end)
+    change = anchor[1:] != anchor[:-1]
+    new, end = valid.copy(), valid.copy()
+    new[1:] &= change | ~valid[:-1]
+    end[:-1] &= change | ~valid[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
     doc = np.searchsorted(off, first, side="right") - 1
-    base = off[doc]
-    return Run(grams[anchor[first]], doc, first - base, last - first + 1, s[first], e[last + spec.length - 1], anchor[first] - base, buf, off)
-
-
-def pack(*arrays) -> bytes:
-    raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
-
-
-def pack_texts(batches):
-    """(doc_id, dk, text) to (doc_id, dk, z): each text compressed, as it is shuffled twice."""
-    codec = pa.Codec("zstd")
-    for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary()).to_pylist()
-        z = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["doc_id", "dk", "z"])
-
-
-def unpacked(batches, most: int = 512):
-    """Batches of at most ``most`` rows with the packed texts in the third column as they were."""
-    codec = pa.Codec("zstd")
-    for whole in batches:
-        for lo in range(0, whole.num_rows, most):
-            batch = whole.slice(lo, most)
-            texts = [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.large_binary()).cast(pa.large_string()), *batch.columns[3:]], names=batch.schema.names)
+    stop = last + spec.length - 1
+    lo, hi = (first, stop + 1) if spec.kind == "bytes" else (s[first], e[stop])
+    return Run(grams[anchor[first]] >> KEEP, doc, first - off[doc], last - first + 1, lo, hi, buf)
 
 
-def _ids(batch: pa.RecordBatch, rows: tuple[int, int]) -> np.ndarray:
-    """(doc_id, digest) of the documents of a slice."""
-    doc_id, dk = (batch.column(i).slice(rows[0], rows[1] - rows[0]) for i in (0, 1))
-    return np.column_stack([np.asarray(doc_id.fill_null(-(2**63)), np.int64), np.asarray(dk, np.int64)])
+def _parts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """(part, texts) of a batch of (part, text); rows of one part are adjacent."""
+    part = np.asarray(batch.column(0))
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for lo, hi in zip(cut, cut[1:]):
+        if hi > lo:
+            yield int(part[lo]), batch.column(1).slice(lo, hi - lo)
 
 
-def _by_bucket(key: np.ndarray, buckets: int):
-    """(bucket, indexes) of the buckets that hash keys fall into, indexes by key."""
-    b = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((key, b))
-    cut = np.flatnonzero(np.diff(b[order])) + 1
-    for part in np.split(order, cut) if len(order) else []:
-        yield int(b[part[0]]), part
+def _anchors(spec: Spec):
+    """(key, part, many): the anchor hashes of each part, and whether the part has one twice."""
 
-
-def _docs_of(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (as differences) and digests of the documents that occur, and a code for each occurrence."""
-    seen, code = np.unique(doc, return_inverse=True)
-    return np.diff(ids[seen, 0], prepend=0), ids[seen, 1].astype(np.int32), code.astype(np.uint32)
-
-
-def _ids_of(difference: np.ndarray, dk: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.cumsum(difference), dk.astype(np.int64)])
-
-
-def _anchors(spec: Spec, buckets: int):
-    """Packed anchors of each partition, a blob for each bucket and some megabytes of text."""
-
-    def packed(held, table) -> pa.RecordBatch:
-        key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        ids, out = np.concatenate(table), []
-        for b, part in _by_bucket(key, buckets):
-            k = key[part] >> KEEP
-            out.append((b, pack(np.diff(k, prepend=np.uint64(0)), *_docs_of(doc[part], ids), at[part])))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+    def sent(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), part, np.int64)), pa.array(n > 1)], names=["key", "part", "many"])
 
     def run(batches):
-        held, table, base, size = [], [], 0, 0
+        held, now, size = [], None, 0
         for batch in batches:
-            for t in slices(batch.column(2)):
-                r = find_runs(t, spec)
-                held.append((r.key, r.doc + base, r.anchor.astype(np.uint32)))
-                table.append(_ids(batch, t.rows))
-                base, size = base + t.n, size + len(t.buf)
-                if size > GATHER:
-                    yield packed(held, table)
-                    held, table, base, size = [], [], 0, 0
+            for part, texts in _parts_of(batch):
+                if held and (part != now or size > HELD):
+                    yield sent(now, held)
+                    held, size = [], 0
+                now = part
+                for t in slices(texts):
+                    held.append(find_runs(t, spec).key)
+                    size += len(held[-1])
         if held:
-            yield packed(held, table)
+            yield sent(now, held)
         tidy()
 
     return run
 
 
-def _answers(doc: np.ndarray, ids: np.ndarray, *values: np.ndarray) -> pa.Table:
-    """One row for each document: its values, packed."""
-    order = np.argsort(doc, kind="stable")
-    cut = np.flatnonzero(np.diff(doc[order])) + 1
-    parts = np.split(order, cut) if len(order) else []
-    own = ids[[doc[p[0]] for p in parts]] if parts else ids[:0]
-    return pa.table({"doc_id": pa.array(own[:, 0], pa.int64()), "dk": pa.array(own[:, 1], pa.int32()), "found": pa.array([pickle.dumps([v[p] for v in values], protocol=5) for p in parts], pa.binary())})
+def _repeated(batches):
+    """(part, key) of the keys that occur in two rows, or twice in a part; all rows of a key are in the partition."""
+    columns = [[np.asarray(b.column(i)) if i < 2 else b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+    if columns:
+        key, part, many = (np.concatenate(c) for c in zip(*columns, strict=True))
+        del columns
+        order = np.argsort(key)
+        key, part, many = key[order], part[order], many[order].astype(bool)
+        again = key[1:] == key[:-1]
+        many[1:] |= again
+        many[:-1] |= again
+        part, key = part[many], key[many]
+        for lo in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + 100_000]), pa.array(key[lo : lo + 100_000])], names=["part", "key"])
+    tidy()
 
 
-def _gather(table: pa.Table) -> list[tuple]:
-    """The blobs of a bucket, with document codes made to run on."""
-    out, base = [], 0
-    for blob in table.column("blob").to_pylist():
-        key, *rest, difference, dk, code, tail = unpack(blob)
-        out.append((np.cumsum(key, dtype=np.uint64), *rest, _ids_of(difference, dk), code.astype(np.int64) + base, tail))
-        base += len(dk)
-    return out
+def ranks(ids: pa.Array) -> np.ndarray:
+    """Dense ranks of ids of any type, null the smallest."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
-def _repeated(other_documents: bool):
-    """Anchors of a bucket that occur twice (in documents of different ids, if so asked): doc_id, dk, places."""
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = _gather(table)
-        key, ids, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.argsort(key)
-        k = key[order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(start, len(k)))
-        if other_documents:
-            owner = ids[doc[order], 0]
-            many = np.minimum.reduceat(owner, start) < np.maximum.reduceat(owner, start)
-        else:
-            many = size > 1
-        chosen = order[np.repeat(many, size)]
-        return _answers(doc[chosen], ids, at[chosen])
 
-    return run
+def _binary(data: bytes, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data)])
 
 
-def _same_context(r: Run, part: np.ndarray) -> np.ndarray:
-    """For runs of a slice, a code for equal (anchor, place of the anchor, context)."""
-    h1, h2 = hash64(SEED + 1), hash64(SEED + 2)
-    a = h1.ranges(h1.prefix(r.buf), r.lo[part], r.hi[part]) ^ (r.key[part] * np.uint64(3))
-    b = h2.ranges(h2.prefix(r.buf), r.lo[part], r.hi[part]) ^ (r.anchor[part] - r.first[part]).astype(np.uint64)
-    return pd.MultiIndex.from_arrays([a, b]).factorize()[0]
+def joined(row: np.ndarray, first: np.ndarray, n: np.ndarray, touch: int = 0) -> np.ndarray:
+    """(row, first, n) with runs of one row merged that follow each other; those that overlap by less than ``touch`` windows apart, too."""
+    if not len(row):
+        return np.zeros((0, 3), np.int64)
+    key = (row.astype(np.int64) << 40) + first
+    order = np.argsort(key, kind="stable")
+    start = key[order]
+    stop = np.maximum.accumulate(start + n[order] + touch)
+    new = np.concatenate([[True], start[1:] > stop[:-1]])
+    last = np.append(np.flatnonzero(new)[1:], len(start)) - 1
+    s = start[new]
+    return np.column_stack([s >> 40, s & ((1 << 40) - 1), stop[last] - touch - s])
 
 
-def positions(ids: np.ndarray, first: np.ndarray, ties: bool) -> np.ndarray:
-    """Ranks by (doc_id, digest, place); repeated rows share theirs if ``ties``, else the one that comes first is first."""
-    order = np.lexsort((first, ids[:, 1], ids[:, 0]))
-    new = np.ones(len(order), np.int64)
-    if ties:
-        new[1:] = (np.diff(ids[order], axis=0) != 0).any(axis=1) | (np.diff(first[order]) != 0)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+def mask_runs(hit: np.ndarray, which: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, windows) of the runs of a mask over the windows of all contexts."""
+    at = np.flatnonzero(hit)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (which[at[1:]] != which[at[:-1]])
+    start = np.flatnonzero(new)
+    return which[at[start]], inner[at[start]], np.diff(np.append(start, len(at)))
 
 
-def equal_contexts(code: np.ndarray, position: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which contexts have an equal one at a smaller position (or, if no copy stays, at a larger one), and the first of each code."""
+def settle(code: np.ndarray, position: np.ndarray, keep: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of equal contexts are settled as copies, and the first of each code by position; ``order``: all by (code, position).
+
+    keep: "smallest" (those at the smallest position stay open), "first" (one of them stays open) or "none" (a context that has an equal one goes).
+    """
     order = np.lexsort((position, code))
     head = np.concatenate([np.ones(min(1, len(order)), bool), np.diff(code[order]) != 0])
-    lead, last = order[head], order[np.append(head[1:], True)] if len(order) else order
-    gone = position > position[lead][code]
-    return gone if keep_first else gone | (position < position[last][code]), lead
-
-
-def _contexts(spec: Spec, buckets: int, later_only: bool, keep_first: bool):
-    """The contexts of repeated anchors by bucket, and what a slice can tell of its documents by itself (bucket null)."""
-    names = ["bucket", "blob", "doc_id", "dk", "found"]
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-
-    def table(n, **cols):
-        return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, ty) for c, ty in zip(names, types, strict=True)], names=names)
-
-    def run(batches):
-        for batch in unpacked(batches):
-            for t in slices(batch.column(2)):
-                n = t.n
-                ids, found = _ids(batch, t.rows), batch.column(3).slice(t.rows[0], n).to_pylist()
-                r = find_runs(t, spec)
-                wanted = np.zeros(len(r.key), bool)
-                upto = np.searchsorted(r.doc, np.arange(n + 1))
-                for i in range(n):
-                    at = np.concatenate([pickle.loads(x)[0] for x in found[i]])
-                    wanted[upto[i] : upto[i + 1]] = np.isin(r.anchor[upto[i] : upto[i + 1]], at)
-                part = np.flatnonzero(wanted)
-                if len(part):
-                    code = _same_context(r, part)
-                    # what a slice can tell by itself
-                    position = ids[r.doc[part], 0] if later_only else positions(ids[r.doc[part]], r.first[part], keep_first)
-                    sure, lead = equal_contexts(code, position, later_only or keep_first)
-                    p = part[sure]
-                    told = _answers(r.doc[p], ids, r.first[p], r.n[p])
-                    yield table(told.num_rows, **{c: told.column(c).combine_chunks() for c in told.column_names})
-                    # the rest of one document's equal contexts need an answer of their own; else the first stands for all
-                    left = np.flatnonzero(~sure) if later_only else np.sort(lead)
-                    send = part[left]
-                    out = []
-                    for b, sub in _by_bucket(r.key[send], buckets):
-                        p = send[sub]
-                        text = b"".join(r.buf[i:j].tobytes() for i, j in zip(r.lo[p].tolist(), r.hi[p].tolist(), strict=True))
-                        out.append((b, pack(np.diff(r.key[p] >> KEEP, prepend=np.uint64(0)), r.first[p].astype(np.uint32), r.n[p].astype(np.uint32), (r.anchor[p] - r.first[p]).astype(np.uint32), (r.hi[p] - r.lo[p]).astype(np.uint32), *_docs_of(r.doc[p], ids), np.frombuffer(text, np.uint8))))
-                    yield table(len(out), bucket=pa.array([x[0] for x in out], pa.int32()), blob=pa.array([x[1] for x in out], pa.binary()))
-        tidy()
+    lead = order[head]
+    if keep == "smallest":
+        return position > position[lead][code], lead, order
+    if keep == "first":
+        gone = np.ones(len(code), bool)
+        gone[lead] = False
+        return gone, lead, order
+    return np.bincount(code)[code] > 1 if len(code) else np.zeros(0, bool), lead, order
+
+
+def _contexts(spec: Spec, keep: str, names: list[str], id_type: pa.DataType):
+    """The different contexts of a part's repeated anchors, and one row (text null) with the windows that the part settles by itself."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        part = docs.column("part")[0].as_py()
+        keys = np.unique(_chunk(found.column("key")).to_numpy()) if found.num_rows else np.zeros(0, np.int64)
+        ids, row, texts = _chunk(docs.column("doc_id")), np.asarray(_chunk(docs.column("row"))).astype(np.int64), _chunk(docs.column("text"))
+        seen: dict[bytes, int] = {}
+        cols: list[tuple] = []
+        for t in slices(texts) if len(keys) else ():
+            r = find_runs(t, spec)
+            key = r.key.view(np.int64)
+            p = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+            raw, add = r.buf.tobytes(), seen.setdefault
+            code = [add(raw[a:b], len(seen)) for a, b in zip(r.lo[p].tolist(), r.hi[p].tolist(), strict=True)]
+            cols.append((np.array(code, np.int64), key[p], r.doc[p] + t.rows[0], r.first[p], r.n[p]))
+        code, key, doc, first, n = (np.concatenate(c) for c in zip(*cols, strict=True)) if cols else [np.zeros(0, np.int64)] * 5
+        place = np.empty(len(code), np.int64)
+        if keep == "smallest":
+            place = ranks(ids)[doc]
+        elif len(code):
+            place[np.lexsort((first, row[doc], ranks(ids)[doc]))] = np.arange(len(code))
+        sure, lead, order = settle(code, place, keep)
+        own = order[~sure[order]]
+        who = np.column_stack([row[doc[own]], first[own]]).astype(np.int32)
+        off = np.searchsorted(code[own], np.arange(len(lead) + 1)) * 8
+        texts = list(seen)  # by code
+        size = np.cumsum([0, *map(len, texts)])
+        told = joined(row[doc[sure]], first[sure], n[sure]).astype(np.int32)
+        null = lambda value, kind: pa.concat_arrays([value.cast(kind), pa.nulls(1, kind)])
+        columns = [
+            pa.array(np.append(key[lead], part)), pa.array(np.full(len(lead) + 1, part, np.int64)), null(pa.array(n[lead].astype(np.int32)), pa.int32()),
+            null(pa.array(row[doc[lead]].astype(np.int32)), pa.int32()), null(pa.array(first[lead].astype(np.int32)), pa.int32()), null(ids.take(pa.array(doc[lead])), id_type),
+            null(_binary(b"".join(texts), size), pa.binary()), _binary(who.tobytes() + told.tobytes(), np.append(off, off[-1] + told.nbytes)).cast(pa.binary()),
+        ]
+        return pa.table(columns, names=names)
 
     return run
 
 
 @dataclass
 class Block:
-    """An indexed reference block: contexts one after another, sorted by anchor. Windows of context c start at lo[c] + item offsets."""
+    """An indexed reference block: different contexts one after another, each with its anchor, its number of windows and the rank of its first occurrence."""
 
     key: np.ndarray
-    first: np.ndarray
     n: np.ndarray
-    shift: np.ndarray
     size: np.ndarray
-    doc: np.ndarray
-    ids: np.ndarray
-    buf: np.ndarray
-
-    @property
-    def owner(self) -> np.ndarray:
-        return self.ids[self.doc, 0]
-
+    place: np.ndarray
+    texts: list[bytes]
+
+
+def _block(compare: Callable[[Block, Spec], tuple[np.ndarray, np.ndarray, np.ndarray]], spec: Spec, keep: str):
+    """Windows that go, (part, row, first, n), of the contexts of a partition; all contexts of an anchor are in it."""
+
+    def answer(part, row, first, n) -> pa.RecordBatch:
+        kinds = (("part", part, np.int64), ("row", row, np.int32), ("first", first, np.int32), ("n", n, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for _, x, k in kinds], names=[name for name, _, _ in kinds])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key, part, n, row, first = (np.asarray(_chunk(table.column(i))).astype(np.int64) for i in range(5))
+        texts, who = table.column(6).to_pylist(), table.column(7).to_pylist()
+        seen: dict[bytes, int] = {}
+        code = np.array([seen.setdefault(x, len(seen)) for x in texts], np.int64)
+        place = ranks(_chunk(table.column(5)))
+        if keep != "smallest":
+            order = np.lexsort((first, row, part, place))
+            place[order] = np.arange(len(order))
+        gone, lead, order = settle(code, place, keep)
+        # an anchor with several contexts: the first of each is compared
+        _, of = np.unique(key[lead], return_inverse=True)
+        several = lead[np.bincount(of)[of] > 1] if len(lead) else lead
+        several = several[np.argsort(place[several], kind="stable")]
+        open_ = np.flatnonzero(gone)
+        entry, start, count = [open_], [np.zeros(len(open_), np.int64)], [n[open_]]
+        if len(several):
+            c, s, k = compare(Block(key[several], n[several], np.array([len(texts[i]) for i in several]), place[several], [texts[i] for i in several]), spec)
+            rest = order[~gone[order]]  # every open context gets the answer of its first
+            lo, hi = np.searchsorted(code[rest], code[several[c]]), np.searchsorted(code[rest], code[several[c]], side="right")
+            many = hi - lo
+            entry.append(rest[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+            start.append(np.repeat(s, many))
+            count.append(np.repeat(k, many))
+        entry, start, count = np.concatenate(entry), np.concatenate(start), np.concatenate(count)
+        pairs = [np.frombuffer(who[i], np.int32).reshape(-1, 2) for i in entry]
+        many = np.array([len(x) for x in pairs], np.int64)
+        places = np.concatenate([np.zeros((0, 2), np.int32), *pairs])
+        return answer(np.repeat(part[entry], many), places[:, 0], places[:, 1] + np.repeat(start, many), np.repeat(count, many))
 
-def _block(compare: Callable[[Block, Spec], tuple[np.ndarray, np.ndarray, np.ndarray]], spec: Spec):
-    def run(table: pa.Table) -> pa.Table:
-        parts = _gather(table)
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(8)]
-        b = Block(cols[0], *(c.astype(np.int64) for c in cols[1:5]), cols[6], cols[5], cols[7])
-        context, start, n = compare(b, spec)
-        return _answers(b.doc[context], b.ids, b.first[context] + start, n)
+    def run(batches):
+        held = []
+        for b in batches:
+            told = b.column(6).is_null()
+            for part, windows in zip(b.column(1).filter(told).to_pylist(), b.column(7).filter(told).to_pylist(), strict=True):
+                x = np.frombuffer(windows, np.int32).reshape(-1, 3)
+                yield answer(np.full(len(x), part), x[:, 0], x[:, 1], x[:, 2])
+            held.append(b.filter(pc.invert(told)))
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            del held
+            key = np.asarray(_chunk(table.column(0)))
+            order = np.argsort(key, kind="stable")
+            size = pc.binary_length(table.column(6)).to_numpy().astype(np.int64)[order]
+            upto = np.cumsum(size)
+            edge = np.flatnonzero(np.diff(key[order])) + 1  # an anchor is never cut
+            lo = 0
+            while lo < len(order):
+                done = upto[lo] - size[lo]
+                near = edge[np.searchsorted(edge, lo, side="right") :]
+                fits = near[upto[near - 1] - done <= COMPARED]
+                hi = int(fits[-1]) if len(fits) else int(near[0]) if len(near) else len(order)
+                if len(near) == 0 or upto[-1] - done <= COMPARED:
+                    hi = len(order)
+                yield solve(table.take(pa.array(order[lo:hi])))
+                lo = hi
+        tidy()
 
     return run
 
 
-def merged(gone: np.ndarray) -> np.ndarray:
-    """(start, stop) of the runs of a mask."""
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)])
-
-
-def _finish(spec: Spec, clean: Callable[[Texts, Spec, int, np.ndarray], tuple[int, np.ndarray, bytes]]):
-    def run(batches):
-        for batch in unpacked(batches):
-            for t in slices(batch.column(2)):
-                rows = []
-                for i, found in enumerate(batch.column(3).slice(t.rows[0], t.n).to_pylist()):
-                    spans = [np.column_stack(pickle.loads(x)).astype(np.int64) for x in found or []]
-                    rows.append(clean(t, spec, i, np.concatenate([np.zeros((0, 2), np.int64), *spans])))
-                n, spans, kept = zip(*rows, strict=True)
-                start, stop = np.concatenate(spans).T
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in spans])])
-                pairs = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["start", "stop"])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(t.rows[0], t.n) for i in (0, 1)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), pa.array(kept, pa.binary())], names=["doc_id", "dk", "n_items", "spans", "kept"])
-        tidy()
+def _finish(spec: Spec, cut: Callable[[bytes, np.ndarray], tuple[int, bytes]], names: list[str], id_type: pa.DataType):
+    """doc_id, n_items, spans, kept of the texts of a part."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        row = np.asarray(_chunk(docs.column("row"))).astype(np.int64)
+        spans = np.zeros((0, 3), np.int64)
+        if found.num_rows:
+            spans = joined(*(np.asarray(_chunk(found.column(c))).astype(np.int64) for c in ("row", "first", "n")), touch=spec.length - 1)
+            spans[:, 2] += spans[:, 1] + spec.length - 1
+        lo, hi = np.searchsorted(spans[:, 0], row), np.searchsorted(spans[:, 0], row, side="right")
+        n, kept = [], []
+        for text, a, b in zip(_chunk(docs.column("text")).cast(pa.large_binary()).to_pylist(), lo.tolist(), hi.tolist(), strict=True):
+            size, rest = cut(text, spans[a:b, 1:].tolist())
+            n.append(size)
+            kept.append(rest)
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        pairs = pa.StructArray.from_arrays([pa.array(spans[at, 1]), pa.array(spans[at, 2])], names=["start", "stop"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pairs)
+        return pa.table([_chunk(docs.column("doc_id")).cast(id_type), pa.array(n, pa.int64()), lists, pa.array(kept, pa.binary())], names=names)
 
     return run
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of a table's size, from its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the optimizer knows of a table's size, from its files; 0 if it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 62 else 0
+
 
+def held_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """part, row, doc_id, text (null: empty), written as a table bucketed by part: each part lies in one bucket whole."""
+    spark = docs.sparkSession
+    rid = F.monotonically_increasing_id()
+    base = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.select(F.shiftright("rid", PART_BITS).alias("part"), F.col("rid").bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("row"), "doc_id", "text")
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_INPUT))
+    return owned_table(base, f"texts_{uuid.uuid4().hex[:12]}", buckets, "part")
 
-def remove_repeats(docs: DataFrame, spec: Spec, compare, clean, later_only: bool, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def remove_repeats(docs: DataFrame, spec: Spec, compare, cut, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_items, spans (start and stop of what goes, in items) and kept (the bytes that stay) of every row.
 
-    compare(block, spec) returns (context, first window, windows) of what is to go; clean(texts,
-    spec, i, windows) returns the items, spans and kept bytes of a document. Documents are told apart
-    by id and text, so repeated rows get equal results and rows that share an id are judged each by
-    its own text.
+    compare(block, spec) returns (context, first window, windows) of what is to go; cut(text, spans)
+    returns the number of items and the kept bytes of a text. keep: what stays of equal windows, see
+    settle(). Every row is a document of its own, whatever its id; ids may be of any type that has an
+    order, null is the smallest.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.hash("doc_id", "text").alias("dk"), "text")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, input_bytes(docs) // BLOCK_INPUT))
-    packed = base.mapInArrow(_anchors(spec, buckets), "bucket int, blob binary")
-    repeated = packed.groupBy("bucket").applyInArrow(_repeated(later_only), "doc_id long, dk int, found binary")
-
-    def by_document(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "dk").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "found")
-
-    places = stage(by_document(repeated), "places")
-    packed_texts = base.mapInArrow(pack_texts, "doc_id long, dk int, z binary")
-
-    def with_texts(found: DataFrame, how: str) -> DataFrame:
-        known = F.coalesce("doc_id", F.lit(-(2**63)))
-        return packed_texts.join(found, (known == F.col("d")) & (F.col("dk") == F.col("k")), how).select("doc_id", "dk", "z", "found")
-
-    made = stage(with_texts(places, "inner").mapInArrow(_contexts(spec, buckets, later_only, keep_first), "bucket int, blob binary, doc_id long, dk int, found binary"), "contexts")
-    answers = made.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_block(compare, spec), "doc_id long, dk int, found binary")
-    found = answers.unionByName(made.where("bucket is null").select("doc_id", "dk", "found"))
-    out = with_texts(by_document(found), "left").mapInArrow(_finish(spec, clean), "doc_id long, dk int, n_items long, spans array<struct<start: bigint, stop: bigint>>, kept binary")
-    if keep_first:  # repeated rows were judged as one text: all but one of them are whole copies
-        again = (F.row_number().over(Window.partitionBy("doc_id", "dk").orderBy("n_items")) > 1) & (F.col("n_items") >= spec.length)
-        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_items").alias("stop")))
-        out = out.withColumn("again", again).withColumn("spans", F.when(F.col("again"), whole).otherwise(F.col("spans"))).withColumn("kept", F.when(F.col("again"), F.lit(b"")).otherwise(F.col("kept")))
-    return out.select("doc_id", "n_items", "spans", "kept")
+    texts = held_texts(docs, id_col, text_col)
+    kind, id_type = texts.schema["doc_id"].dataType.simpleString(), to_arrow_type(texts.schema["doc_id"].dataType)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(texts) // BLOCK_INPUT)
+    repeated = texts.select("part", "text").mapInArrow(_anchors(spec), "key long, part long, many boolean").repartition(blocks, "key").mapInArrow(_repeated, "part long, key long")
+    names = ["key", "part", "n", "row", "first", "doc_id", "text", "who"]
+    made = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(spec, keep, names, id_type), f"key long, part long, n int, row int, first int, doc_id {kind}, text binary, who binary")
+    answers = made.repartition(blocks, "key").mapInArrow(_block(compare, spec, keep), "part long, row int, first int, n int")
+    out = ["doc_id", "n_items", "spans", "kept"]
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_finish(spec, cut, out, id_type), f"doc_id {kind}, n_items long, spans array<struct<start: bigint, stop: bigint>>, kept binary")
 
 
 def with_counts(out: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 repeats.py narrows the corpus to contexts that may repeat, and brings together in a block all
 contexts in which a string can occur. A block sorts the suffixes that start a string, cut at the
-length asked for, by prefix doubling, equal ones by position: doc_id, digest, place. Over this order
+length asked for, by prefix doubling, equal ones by position: doc_id, row, place. Over this order
 the previous and the next smaller position of a suffix, with the least common prefix on the way, give
 its longest previous factor; the larger positions give its longest next factor. The previous factor
 reaches the length for all but the first of equal strings, the next factor for all but the last: with
 both, every copy goes; with the first alone, the first copy stays. Of contexts that are equal as a
-whole, all but the first have a previous factor and all but the last a next one; the first alone is
-sorted against other contexts.
+whole (compared byte by byte), all but the first have a previous factor and all but the last a next
+one; the first alone is sorted against other contexts.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Texts, covered, hash64
-from .repeats import SEED, Block, Spec, equal_contexts, merged, positions, remove_repeats, with_counts
+from .repeats import Block, Spec, mask_runs, remove_repeats, with_counts
 
 KEY = 8
 #: Rounds of jumps over all open places at once, before the rest is walked one by one.
@@ -131,40 +129,23 @@ def factors(buf: np.ndarray, at: np.ndarray, length: int, following: bool = True
 
 
 def copies(b: Block, spec: Spec, keep_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first string, strings) of what occurs elsewhere, or before if the first copy stays."""
-    lo = np.concatenate([[0], np.cumsum(b.size)])
-    h1, h2 = hash64(SEED + 1), hash64(SEED + 2)
-    a, c = (h.ranges(h.prefix(b.buf), lo[:-1], lo[1:]) for h in (h1, h2))
-    code, _ = pd.MultiIndex.from_arrays([a ^ (b.key * np.uint64(3)), c ^ b.shift.astype(np.uint64)]).factorize()
-    position = positions(b.ids[b.doc], b.first, keep_first)
-    whole, lead = equal_contexts(code, position, keep_first)
-    copied = np.flatnonzero(whole)
-    # the first of equal contexts is sorted if its anchor has others
-    keys, of = np.unique(b.key[lead], return_inverse=True)
-    own = lead[np.bincount(of)[of] > 1]
-    own = own[np.argsort(position[own])]
-    size, n = b.size[own], b.n[own]
-    start = np.cumsum(size) - size
-    buf = b.buf[np.arange(size.sum()) + np.repeat(lo[own] - start, size)]
-    which = np.repeat(np.arange(len(own)), n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    previous, after = factors(buf, start[which] + inner, spec.length, not keep_first)
+    """(context, first string, strings) of what occurs elsewhere, or before if the first copy stays; contexts are in the order of their positions."""
+    start = np.cumsum(b.size) - b.size
+    which = np.repeat(np.arange(len(b.n)), b.n)
+    inner = np.arange(b.n.sum()) - np.repeat(np.cumsum(b.n) - b.n, b.n)
+    previous, after = factors(np.frombuffer(b"".join(b.texts), np.uint8), start[which] + inner, spec.length, not keep_first)
     hit = previous >= spec.length
     if not keep_first:
         hit |= after >= spec.length
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    cut = np.flatnonzero(hit[1:] & hit[:-1] & (which[1:] != which[:-1])) + 1 if len(hit) > 1 else np.zeros(0, np.int64)
-    s = np.union1d(np.flatnonzero(edge == 1), cut)
-    e = np.union1d(np.flatnonzero(edge == -1), cut)
-    return np.concatenate([copied, own[which[s]]]), np.concatenate([np.zeros(len(copied), np.int64), inner[s]]), np.concatenate([b.n[copied], e - s])
+    return mask_runs(hit, which, inner)
 
 
-def clean(t: Texts, spec: Spec, i: int, windows: np.ndarray) -> tuple[int, np.ndarray, bytes]:
-    raw = t.buf[t.off[i] : t.off[i + 1]]
-    if not len(windows):
-        return len(raw), windows, raw.tobytes()
-    gone = covered(len(raw), windows[:, 0], windows[:, 1] + spec.length - 1)
-    return len(raw), merged(gone), raw[~gone].tobytes()
+def cut(text: bytes, spans: list[list[int]]) -> tuple[int, bytes]:
+    """The number of bytes, and the bytes outside the spans."""
+    if not spans:
+        return len(text), text
+    at = [0, *(x for span in spans for x in span), len(text)]
+    return len(text), b"".join([text[a:z] for a, z in zip(at[::2], at[1::2], strict=True)])
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, keep_first: bool = False, **cols) -> DataFrame:
@@ -179,8 +160,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, k: int = 32, kee
     each is the other's copy. A null id is kept as it is. An empty table gives no rows.
 
     With ``keep_first`` a string goes only if it also starts earlier: in a smaller doc_id (null is the
-    smallest; under one id, texts in the order of their digests) or at an earlier place of the same
-    text. Of repeated rows, one is the first.
+    smallest; under one id, rows in the order in which they are read) or at an earlier place of the
+    same text. Of repeated rows, one is the first. Ids may be of any type that has an order.
     """
-    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), partial(copies, keep_first=keep_first), clean, later_only=False, keep_first=keep_first, **cols)
+    out = remove_repeats(docs, Spec("bytes", length, min(k, length)), partial(copies, keep_first=keep_first), cut, "first" if keep_first else "none", **cols)
     return with_counts(out).withColumnRenamed("n_items", "n_bytes")
