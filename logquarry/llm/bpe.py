@@ -1,153 +1,92 @@
-"""Byte-level BPE over many texts at once.
-
-Texts are cut into the pieces of the vocabulary's splitting rule with numpy; each distinct piece of a
-slice is then encoded once by the tokenizer library, and a bounded cache keeps pieces between slices.
-"""
+"""The tokenizer libraries behind one face: whole texts to ids, counts, or pieces with their counts."""
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
 
 import numpy as np
-import pandas as pd
-
-from .common import Texts, hash64
 
-SEED = 801
-CACHE = 400_000
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: The code points with the White_Space property.
-WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+#: Fixed value: the splitting pattern of byte-level vocabularies, which a .tiktoken file does not hold.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a pattern must not hold if its matches are to depend only on what follows: it would look back, or at the ends of the text.
+LOOKS_BACK = ("(?<", "^", "$", "\\b", "\\B", "\\A", "\\z", "\\Z", "\\G", "\\K")
 
-_classes: np.ndarray | None = None
 
+def _reads_forwards(pre: dict | None) -> bool:
+    """Whether a splitting rule reads only forwards from a piece's start, and adds nothing."""
+    if not pre:
+        return False
+    kind = pre["type"]
+    if kind == "Sequence":
+        parts = pre["pretokenizers"]
+        return len(parts) == 2 and parts[0]["type"] == "Split" and _reads_forwards(parts[0]) and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+    if kind == "Split":
+        pattern = pre["pattern"].get("Regex", "")
+        plain = pattern.replace("[^", "[")
+        return bool(pattern) and pre["behavior"] == "Isolated" and not pre["invert"] and not any(x in plain for x in LOOKS_BACK)
+    return kind == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
 
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    global _classes
-    if _classes is None:
-        kind = {"L": LETTER, "N": NUMBER}
-        out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        out[list(WHITE_SPACE)] = SPACE
-        _classes = out
-    return _classes
 
+class Encoder:
+    """Token ids and counts of texts, as the library gives them for the vocabulary file at path: .json, .tiktoken or .model.
 
-def piece_starts(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the pieces of adjacent texts; cp: code points, off: n+1 offsets. A piece ends where the next starts.
-
-    The splitting rule: 's 't 're 've 'm 'll 'd; runs of letters, of numbers and of other characters,
-    each with one space before it; white space up to the last before something else; white space.
+    ``special``: strings that the library takes for tokens wherever they stand in a text. ``forward``:
+    whether pieces depend only on what follows their start, so that a text may be encoded in chunks.
     """
-    n = len(cp)
-    if not n:
-        return np.zeros(0, np.int64)
-    kind = classes()[cp]
-    border = np.ones(n, bool)
-    border[1:] = kind[1:] != kind[:-1]
-    heads = np.zeros(n + 1, bool)
-    heads[off] = True
-    border |= heads[:n]
-    rs = np.flatnonzero(border)
-    re = np.append(rs[1:], n)
-    k = kind[rs]
-    blank = k == SPACE
-    follows = np.append(~heads[rs[1:]], False)  # the next run is in the same text
-    split = blank & follows
-    joined = np.zeros(len(rs), bool)
-    joined[1:] = split[:-1] & (cp[re[:-1] - 1] == 32)
-    is_start = np.zeros(n + 1, bool)
-    is_start[rs[~joined]] = True
-    is_start[re[split] - 1] = True
-    quote = np.flatnonzero((k == OTHER) & (re - rs == 1) & (cp[rs] == 39) & ~joined & follows)
-    quote = quote[k[quote + 1] == LETTER]
-    if len(quote):
-        s, e = rs[quote + 1], re[quote + 1]
-        one, two = cp[s], np.where(e - s > 1, cp[np.minimum(s + 1, n - 1)], 0)
-        take = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
-        for a, b in ("re", "ve", "ll"):
-            take = np.where((one == ord(a)) & (two == ord(b)), 2, take)
-        hit = take > 0
-        is_start[s[hit]] = False
-        rest = s[hit] + take[hit]
-        is_start[rest[rest < e[hit]]] = True
-    return np.flatnonzero(is_start[:n])
-
-
-class Encoder:
-    """Token ids and counts of texts, as the library gives them for the vocabulary file at path."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.special: dict[str, int] = {}
+        self.special: list[str] = []
+        self.forward = False
         if path.endswith(".tiktoken"):
             import base64
 
             import tiktoken
 
-            # every piece is encoded by itself, so the pattern may take anything whole
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-            self._encode = lambda pieces: [core.encode_ordinary(p) for p in pieces]
+            core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.size = max(ranks.values()) + 1
+            self._ids = lambda texts: [core.encode_to_numpy(x, disallowed_special=()) for x in texts]
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            core = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.size = core.get_piece_size()
+            self._ids = lambda texts: [np.array(x, np.uint32) for x in core.encode(texts, num_threads=1)]
         else:
-            import json
-
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            self.special = {t["content"]: t["id"] for t in json.load(open(path)).get("added_tokens", [])}
-            self._encode = lambda pieces: [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.cache: dict[bytes, bytes] = {}  # ids as packed int32
-
-    def pieces(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """For byte ranges of buf: the code of each, and the packed ids by code."""
-        h = hash64(SEED)
-        codes, uniques = pd.factorize(h.ranges(h.prefix(buf), s, e))
-        at = np.empty(len(uniques), np.int64)
-        at[codes[::-1]] = np.arange(len(codes))[::-1]
-        raw = buf.tobytes()
-        words = [raw[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = words
-        for w, ids in zip(new, self._encode([w.decode("utf-8") for w in new]), strict=True):
-            self.cache[w] = np.array(ids, np.int32).tobytes()
-        return codes, [self.cache[w] for w in words]
-
-    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a slice (without special tokens), and n+1 offsets into them."""
-        buf = t.buf
-        lead = (buf & 0xC0) != 0x80
-        at = np.flatnonzero(lead)  # byte of each code point
-        cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        off = np.searchsorted(at, t.off)
-        start = piece_starts(cp, off)
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
-        s = at[start]
-        codes, ids = self.pieces(buf, s, np.append(s[1:], len(buf)))
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        flat, base = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(size)])
-        n = size[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        index = np.arange(upto[-1]) + np.repeat(base[codes] - upto[:-1], n)
-        return flat[index], upto[np.searchsorted(s, t.off)]
-
-    def counts(self, t: Texts) -> np.ndarray:
-        """The number of tokens of each text of a slice (without special tokens)."""
-        buf = t.buf
-        at = np.flatnonzero((buf & 0xC0) != 0x80)
-        cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        start = piece_starts(cp, np.searchsorted(at, t.off))
-        if not len(start):
-            return np.zeros(t.n, np.int64)
-        s = at[start]
-        codes, ids = self.pieces(buf, s, np.append(s[1:], len(buf)))
-        upto = np.concatenate([[0], np.cumsum(np.array([len(x) // 4 for x in ids], np.int64)[codes])])
-        own = np.searchsorted(s, t.off)
-        return upto[own[1:]] - upto[own[:-1]]
+            from tokenizers import Tokenizer, processors
+
+            self._core = core = Tokenizer.from_file(path)
+            core.no_truncation()
+            core.no_padding()
+            spec = json.load(open(path))
+            self.size = core.get_vocab_size(with_added_tokens=True)
+            added = spec.get("added_tokens") or []
+            self.special = [t["content"] for t in added]
+            plain = not any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+            apart = not any(a[i:] == b[: len(a) - i] for a in self.special for b in self.special for i in range(1, len(a))) and not any(a != b and a in b for a in self.special for b in self.special)
+            self.forward = plain and apart and spec.get("normalizer") is None and _reads_forwards(spec.get("pre_tokenizer"))
+            if self.forward:  # ids stay as they are; offsets then include the space before a word
+                core.post_processor = processors.ByteLevel(trim_offsets=False)
+            self._ids = lambda texts: [np.array(e.ids, np.uint32) for e in core.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return self._ids(texts)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if hasattr(self, "_core"):
+            return [len(e) for e in self._core.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(x) for x in self._ids(texts)]
+
+    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The start of each piece of a text without special strings, and its tokens, from the library's offsets."""
+        e = self._core.encode(text, add_special_tokens=False)
+        if not len(e):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = np.array(e.word_ids, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        return np.array([a for a, _ in e.offsets], np.int64)[first], np.diff(np.append(first, len(word)))
 
 
 _encoders: dict[str, Encoder] = {}

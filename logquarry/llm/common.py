@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import re
 import tempfile
 import uuid
@@ -147,10 +148,6 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
 
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
-ALNUM_BYTE = np.zeros(256, bool)
-ALNUM_BYTE[0x30:0x3A] = ALNUM_BYTE[0x61:0x7B] = ALNUM_BYTE[0x80:] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
 
 
 def runs(t: Texts, buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +166,12 @@ def runs(t: Texts, buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Hash64:
-    """Polynomial hashes of byte ranges modulo 2**64 over a table of random values, finished by a bit mixer."""
+    """Polynomial hashes of byte ranges modulo 2**64 over a table of random values, finished by a bit mixer.
+
+    Long texts can be made that collide for any base, so these hashes may choose what is compared or
+    give statistics, but never tell that two texts are equal. ``grams`` is linear in hashes that are
+    given, with a random odd factor for each place: as good as they are.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -219,6 +221,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class WordHashes(dict):
+    """64-bit hashes of words from a keyed library hash, each worked out once; cleared when it has grown to ``most`` words."""
+
+    def __init__(self, key: str, most: int = 500_000):
+        super().__init__()
+        self.key, self.most = key.encode(), most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_word_hashes: dict[str, WordHashes] = {}
+
+
+def word_hashes(key: str) -> WordHashes:
+    if key not in _word_hashes:
+        _word_hashes[key] = WordHashes(key)
+    return _word_hashes[key]
+
+
+def split_words(t: Texts, table: bytes | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The words between white space (0x20, 0x09-0x0D) of a slice, after a byte-wise translation, and n+1 word offsets of its documents."""
+    raw = t.buf.tobytes()
+    if table is not None:
+        raw = raw.translate(table)
+    words: list[bytes] = []
+    off = np.zeros(t.n + 1, np.int64)
+    ends = t.off.tolist()
+    for i in range(t.n):
+        words += raw[ends[i] : ends[i + 1]].split()
+        off[i + 1] = len(words)
+    return words, off
+
+
 _hashes: dict[int, Hash64] = {}
 
 

@@ -26,3 +26,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("component"))
         if not changed:
             return labels
+
+
+def relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between components: (u, v) with the nodes replaced by their labels."""
+    a = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    b = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    named = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    return named.where("u <> v")
+
+
+def extend(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels as components() gives them, after more links: only the graph of old components and new links is solved."""
+    between = stage(relabelled(links, labels), "between")
+    if between.isEmpty():
+        return labels
+    fresh = components(between)
+    moved = fresh.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = labels.join(moved, labels.component == moved.was, "left").select("node", F.coalesce("now", "component").alias("component"))
+    return stage(old.unionByName(fresh.join(labels.select("node"), "node", "left_anti")), "labels")

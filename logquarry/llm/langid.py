@@ -3,7 +3,9 @@
 Subwords are the byte n-grams (2 to 4) of a text, hashed into buckets. A text is the average of its
 buckets' embeddings; a linear layer and a softmax give the language. Embeddings and layer are
 trained together by stochastic gradient descent in numpy. Only bucket counts of a bounded sample of
-documents (about ``SAMPLE``, chosen by a hash of the id, twice as many at most; whole texts) reach the driver. For
+documents reach the driver: whole texts, about ``SAMPLE`` in all, as many of each language, chosen by
+a hash of id and text, of equal rows one. ``LANGUAGES`` bounds how many languages are learned, the most frequent
+ones. For
 prediction the two layers are multiplied out to one table of buckets x languages, so a text costs a
 gather and a sum. A temperature, fitted on a part of the sample, calibrates the probabilities, and
 ``detect`` rejects texts below a threshold as ``und``.
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Texts, arrow_map, slices
 
-SAMPLE = 2000
+#: Documents that the model is fitted on, in all, and the most languages it tells apart.
+SAMPLE, LANGUAGES = 2000, 500
 BUCKETS = 1 << 13
 DIMENSION = 16
 GRAMS = (2, 3, 4)
@@ -71,17 +74,25 @@ class Model:
         return p.argmax(1), p.max(1)
 
 
-def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple]:
-    """(lang, buckets, shares) of about ``most`` documents: those whose hash lies below a share, so nothing is sorted or gathered first."""
+def sample(docs: DataFrame, most: int = SAMPLE, languages: int = LANGUAGES) -> list[tuple]:
+    """(lang, buckets, shares) of about ``most`` documents of rows (lang, text, order_), about as many of each language: those whose hash order_ lies below a share, so nothing is sorted or gathered first."""
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(languages).collect()
+    if not counts:
+        return []
+    quota, left = {}, most
+    for i, r in enumerate(sorted(counts, key=lambda r: (r.c, r.lang))):  # what a small language leaves goes to the others
+        quota[r.lang] = min(r.c, -(-left // (len(counts) - i)))
+        left = max(0, left - quota[r.lang])
+    shares = [(r.lang, int(quota[r.lang] / r.c * (1 << 30))) for r in counts]
 
     def run(batch: pa.RecordBatch):
         for t in slices(batch.column(1)):
             rows = [_counts(t, i) for i in range(t.n)]
             yield {"lang": batch.column(0).slice(t.rows[0], t.n), "k": [r[0].astype(np.uint16).tobytes() for r in rows], "v": [(r[1] / max(r[1].sum(), 1)).astype(np.float32).tobytes() for r in rows]}
 
-    share = min(1.0, most / max(docs.count(), 1))
-    chosen = docs.where(F.pmod("order_", F.lit(1 << 30)) < int(share * (1 << 30))).where("text is not null").select("lang", "text")
-    rows = arrow_map(chosen, run, "lang string, k binary, v binary").limit(2 * most).collect()
+    below = F.create_map(*[F.lit(x) for pair in shares for x in pair])
+    chosen = docs.where(F.pmod("order_", F.lit(1 << 30)) < below[F.col("lang")]).dropDuplicates(["order_"]).select("lang", "text")
+    rows = arrow_map(chosen, run, "lang string, k binary, v binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.k), bytes(r.v)))  # the same model whatever order the tasks ended in
     return [(r.lang, np.frombuffer(r.k, np.uint16), np.frombuffer(r.v, np.float32)) for r in rows]
 
@@ -129,17 +140,18 @@ def held_out(id_column: Column, buckets: int = 3, out: int = 1) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(buckets)) == out
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: float = 0.0, buckets: int = 3, out: int = 1) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: float = 0.0, buckets: int = 3, out: int = 1, most: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from rows with a text and a language outside the held-out fold. ``und`` (score 0) for a
     null text or one without letters, and for a score below ``reject``. Repeated rows are predicted
-    alike; a null id is never held out. Without any row to learn from, all is ``und``.
+    alike, each row of one id by its own text; a null id is never held out. Without any row to learn
+    from, all is ``und``. ``most`` and ``languages`` bound the training sample. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = F.coalesce(held_out(F.col("doc_id"), buckets, out), F.lit(False))
-    learn = base.where("lang is not null").where(~own).select("lang", "text", F.xxhash64("doc_id").alias("order_"))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(learn)))
+    learn = base.where("lang is not null and text is not null").where(~own).select("lang", "text", F.xxhash64("doc_id", "text").alias("order_"))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(learn, most, languages)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):

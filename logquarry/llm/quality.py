@@ -95,25 +95,22 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @dataclass
 class Discriminant:
-    """Two Gaussian classes; scale: what calibration found to divide log-density differences by."""
+    """Two Gaussian classes; ``inverse`` has the inverted Cholesky factor of each covariance, worked out once."""
 
     mean: np.ndarray
-    chol: np.ndarray
+    inverse: np.ndarray
     offset: np.ndarray
-    scale: float = 1.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """log density of class 1 less that of class 0, priors included."""
-        from numpy.linalg import solve
-
         d = []
         for c in (0, 1):
-            z = solve(self.chol[c], (x - self.mean[c]).T)
-            d.append(self.offset[c] - 0.5 * np.einsum("ij,ij->j", z, z))
+            z = (x - self.mean[c]) @ self.inverse[c].T
+            d.append(self.offset[c] - 0.5 * np.einsum("ij,ij->i", z, z))
         return d[1] - d[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x) / self.scale, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -500, 500)))
 
 
 def fit(train: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> Discriminant:
@@ -144,31 +141,38 @@ def fit(train: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> Discri
     mean = first / some[:, None]
     cov = second / some[:, None, None] - np.einsum("ci,cj->cij", mean, mean)
     pooled = np.maximum(np.einsum("c,cii->i", n, cov) / max(n.sum(), 1), 0) + ridge
-    chol, offset = [], []
+    inverse, offset = [], []
     for c in (0, 1):
         a = shrinkage if n[c] > 5 * k else 1.0
         shrunk = (1 - a) * cov[c] + a * np.diag(pooled) + ridge * np.eye(k)
-        chol.append(np.linalg.cholesky(shrunk))
-        offset.append(np.log(max(n[c], 1e-9) / max(n.sum(), 1)) - np.log(np.diag(chol[c])).sum())
-    return Discriminant(mean, np.array(chol), np.array(offset))
+        chol = np.linalg.cholesky(shrunk)
+        inverse.append(np.linalg.solve(chol, np.eye(k)))
+        offset.append(np.log(max(n[c], 1e-9) / max(n.sum(), 1)) - np.log(np.diag(chol)).sum())
+    return Discriminant(mean, np.array(inverse), np.array(offset))
 
 
 def held_out(id_column: Column, buckets: int = 4, out: int = 2) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(buckets)) == out
 
 
+def _trained(vectors: DataFrame, labels: DataFrame, id_col: str, label_col: str, buckets: int, out: int):
+    """The model of the labelled rows of vectors outside the held-out fold, as a broadcast."""
+    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    train = vectors.join(y, "doc_id").where(~held_out(F.col("doc_id"), buckets, out)).select("x", "label")
+    return vectors.sparkSession.sparkContext.broadcast(fit(train))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, buckets: int = 4, out: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     Learns from labelled rows outside the held-out fold: crc32 of the id as text, modulo buckets,
     is not ``out``. Null or empty texts have zero statistics and are scored like any text; null
     labels and labels without a document teach nothing; a null id is never held out and never
-    labelled; repeated rows are scored alike, and count as often in training as they occur.
+    labelled; repeated rows are scored alike, each row of one id by its own text, and count as often
+    in training as they occur. An empty table gives no rows.
     """
     vectors = stage(describe(docs, id_col, text_col), "statistics")
-    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    train = vectors.join(y, "doc_id").where(~held_out(F.col("doc_id"), buckets, out)).select("x", "label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(train))
+    model = _trained(vectors, labels, id_col, label_col, buckets, out)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
@@ -181,11 +185,24 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), buckets, out), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that the classifier rejects; rows with a null id stay, as no score can be joined to them.
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, buckets: int = 4, out: int = 2) -> DataFrame:
+    """docs without the rows that the classifier scores below ``threshold``.
 
-    Equal ids with different texts share the worst prediction. Rejected ids are a shuffle-join side
-    of their own size; all columns of docs stay.
+    Every row is scored by its own text as it passes, so null ids and ids with several texts get
+    decisions of their own, and the documents are not shuffled; all columns of docs stay.
     """
-    bad = score_quality(docs, labels, id_col=id_col, **how).where("predicted = 0").select(F.col("doc_id").alias("bad_")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("bad_"), "left_anti")
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def vector(text: pa.Array) -> pa.Array:
+        x = np.concatenate([np.zeros((0, len(STATISTICS))), *(statistics(t) for t in slices(text))])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+    rows = stage(docs.select(F.struct(*docs.columns).alias("row_"), vector(F.col(text_col)).alias("x")), "rows")
+    model = _trained(rows.select(F.col("row_")[id_col].alias("doc_id"), "x"), labels, id_col, label_col, buckets, out)
+
+    @F.arrow_udf("boolean")
+    def good(x: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(np.asarray(x.flatten()).reshape(len(x), -1)) >= threshold)
+
+    return rows.where(good("x")).select(*[F.col("row_")[c].alias(c) for c in docs.columns])

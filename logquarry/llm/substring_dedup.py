@@ -67,14 +67,13 @@ class Reference:
 
 
 def factors(ref: Reference, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first word, words) of the factors of at least ``length`` words of a greedy parse of every context."""
+    """(context, first word, words) of the factors of a greedy parse of every context, as far as a window of ``length`` words can begin."""
     found = [(np.zeros(0, np.int64),) * 3]
     context, head = np.arange(len(ref.size)), ref.start.copy()
     while len(context):
-        size = ref.match(head)
-        enough = size >= length
-        found.append((context[enough], (head - ref.start[context])[enough], size[enough]))
-        head = head + np.maximum(size, 1)  # a word without a source is a factor of its own
+        size = np.maximum(ref.match(head), 1)  # a word without a source is a factor of its own
+        found.append((context, head - ref.start[context], size))
+        head = head + size
         go = head + length <= ref.start[context] + ref.size[context]
         context, head = context[go], head[go]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -87,11 +86,18 @@ def duplicates(b: Block, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray
     base = np.cumsum(b.n) - b.n
     which = np.repeat(np.arange(len(b.n)), b.n)
     inner = np.arange(b.n.sum()) - base[which]
-    edge = np.zeros(len(which) + 1, np.int64)
-    np.add.at(edge, base[context] + first, 1)
-    np.add.at(edge, base[context] + first + size - spec.length + 1, -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    across = np.flatnonzero(~hit)  # windows that lie in no factor: they cross the end of one
+
+    def marked(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The windows lo to hi - 1 of contexts c."""
+        lo, hi = np.clip(lo, 0, b.n[c]), np.clip(hi, 0, b.n[c])
+        edge = np.zeros(len(which) + 1, np.int64)
+        np.add.at(edge, base[c] + lo, 1)
+        np.add.at(edge, base[c] + np.maximum(lo, hi), -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    long_ = size >= spec.length
+    hit = marked(context[long_], first[long_], first[long_] + size[long_] - spec.length + 1)
+    across = np.flatnonzero(marked(context, first + size - spec.length + 1, first + size) & ~hit)
     hit[across] = ref.match(ref.start[which[across]] + inner[across]) >= spec.length
     return mask_runs(hit, which, inner)
 

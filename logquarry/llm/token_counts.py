@@ -1,105 +1,96 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A document longer than a chunk is cut into overlapping chunks that are split into pieces on their
-own. Two neighbours are spliced at a boundary that both have inside the overlap. Splitting reads
-only forwards, so from a common boundary on, the later chunk has the pieces of the whole text; and
-the earlier chunk's boundaries are those of the whole text but for its last two pieces, which its
-end may have cut. If no such boundary exists the overlap is doubled, and at last the chunk.
+Texts are encoded by the tokenizer library. One longer than a chunk is encoded in overlapping chunks
+with offsets, so that what the library holds is bounded. Two neighbours are spliced at a piece
+boundary that both have inside the overlap. Splitting reads only forwards, so from a common boundary
+on, the later chunk has the pieces of the whole text; and the earlier chunk's boundaries are those
+of the whole text but for its last two pieces, which its end may have cut. If no such boundary
+exists the overlap is doubled, and at last the chunk. For a vocabulary whose splitting rule is not
+known to read only forwards, or that normalises texts, a text is encoded whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, encoder, piece_starts
-from .common import Texts, arrow_map, slices
+from .bpe import Encoder, encoder
+from .common import arrow_map, slices
 
 CHUNK = 32_768
 OVERLAP = 512
+#: Bytes of texts that the library encodes at once.
+BATCH_BYTES = 500_000
 
 
-def chunk_boundaries(cp: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP):
-    """Yields (start, end) code-point ranges of whole pieces that cover the text, one for each chunk."""
-    n, begin, sure = len(cp), 0, 0  # pieces from sure on are still to come
+def chunk_counts(enc: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int]]:
+    """Yields (start, end, tokens) of whole pieces that cover the text, one for each chunk."""
+    n, begin, sure = len(text), 0, 0  # pieces from sure on are still to come
     size = chunk
+    own = None  # the pieces of the chunk at begin, if they are known
     while True:
         end = min(begin + size, n)
-        own = begin + piece_starts(cp[begin:end], np.array([0, end - begin]))
+        if own is None:
+            start, tokens = enc.pieces(text[begin:end])
+            own = start + begin, tokens
+        start, tokens = own
         if end == n:
-            yield sure, n, own[own >= sure]
+            yield sure, n, int(tokens[start >= sure].sum())
             return
-        stable, back, found = own[:-2], overlap, None
+        stable, back, found = start[:-2], overlap, None
         while found is None and back < end - sure:
             nxt = end - back
-            stop = min(nxt + size, n)
-            other = nxt + piece_starts(cp[nxt:stop], np.array([0, stop - nxt]))
+            other, more = enc.pieces(text[nxt : min(nxt + size, n)])
+            other = other + nxt
             common = np.intersect1d(stable[stable > max(sure, nxt)], other[1:])
             if len(common):
                 found = int(common[0])
             back *= 2
         if found is None:
-            size *= 2
+            size, own = size * 2, None
             continue
-        yield sure, found, own[(own >= sure) & (own < found)]
-        begin, sure, size = found, found, chunk
-
-
-def _long(enc: Encoder, raw: bytes, chunk: int) -> int:
-    cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-    total = 0
-    for lo, hi, starts in chunk_boundaries(cp, chunk):
-        part = cp[lo:hi].tobytes().decode("utf-32-le").encode("utf-8")
-        buf = np.frombuffer(part, np.uint8)
-        at = np.flatnonzero((buf & 0xC0) != 0x80)
-        s = at[starts - lo]
-        codes, ids = enc.pieces(buf, s, np.append(s[1:], len(buf)))
-        total += int(np.array([len(x) // 4 for x in ids], np.int64)[codes].sum())
-    return total
-
-
-def count(enc: Encoder, t: Texts, chunk: int = CHUNK) -> np.ndarray:
-    """Tokens of each text of a slice; special strings inside a text are one token each."""
-    out = np.zeros(t.n, np.int64)
-    odd = np.diff(t.off) > chunk
-    raw = t.buf.tobytes()
+        yield sure, found, int(tokens[(start >= sure) & (start < found)].sum())
+        begin, sure, own = nxt, found, (other, more)
+        if size > chunk:  # the chunk that was widened is done
+            begin, size, own = found, chunk, None
+
+
+def count_one(enc: Encoder, text: str, chunk: int = CHUNK) -> int:
+    """Tokens of a text; special strings inside it are what the library makes of them."""
+    if len(text) <= chunk or not enc.forward:
+        return enc.counts([text])[0]
+    parts, total = [text], 0
     for name in enc.special:
-        key, at = name.encode(), raw.find(name.encode())
-        while at >= 0:
-            i = int(np.searchsorted(t.off, at, side="right")) - 1
-            if at + len(key) <= t.off[i + 1]:
-                odd[i] = True
-            at = raw.find(key, at + 1)
-    if not odd.any():
-        return enc.counts(t)
-    plain = np.flatnonzero(~odd)
-    if len(plain):
-        off = np.concatenate([[0], np.cumsum(np.diff(t.off)[plain])])
-        out[plain] = enc.counts(Texts(np.concatenate([t.buf[t.off[i] : t.off[i + 1]] for i in plain]), off, (0, len(plain))))
-    for i in np.flatnonzero(odd):
-        parts = [raw[t.off[i] : t.off[i + 1]]]
-        for name in enc.special:
-            cut = [p.split(name.encode()) for p in parts]
-            out[i] += sum(len(c) - 1 for c in cut)
-            parts = [x for c in cut for x in c]
-        out[i] += sum(_long(enc, p, chunk) for p in parts if p)
-    return out
+        split = [p.split(name) for p in parts]
+        total += sum(len(x) - 1 for x in split)
+        parts = [p for x in split for p in x]
+    return total + sum(n for p in parts if p for _, _, n in chunk_counts(enc, p, chunk))
+
+
+def count(enc: Encoder, texts: list[str], chunk: int = CHUNK) -> list[int]:
+    """Tokens of each text."""
+    short = [i for i, x in enumerate(texts) if len(x) <= chunk]
+    out = dict(zip(short, enc.counts([texts[i] for i in short]), strict=True))
+    return [out[i] if i in out else count_one(enc, x, chunk) for i, x in enumerate(texts)]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
-    tokenizer: path of a byte-level BPE vocabulary file, readable on every executor. Null or empty
-    texts have no tokens; no begin, end or other special tokens are added. No shuffle.
+    tokenizer: path of a vocabulary file (.json, .tiktoken, .model), readable on every executor. Null
+    or empty texts have no tokens; no begin, end or other special tokens are added; a null id is
+    carried and repeated rows are counted each. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
         enc = encoder(tokenizer)
-        for t in slices(batch.column(1)):
-            n = count(enc, t, chunk)
+        for t in slices(batch.column(1), BATCH_BYTES):
+            n = np.array(count(enc, [x or "" for x in batch.column(1).slice(t.rows[0], t.n).to_pylist()], chunk), np.int64)
             yield {"doc_id": batch.column(0).slice(t.rows[0], t.n), "n_bytes": np.diff(t.off), "n_tokens": n, "over_limit": n > limit}
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

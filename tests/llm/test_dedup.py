@@ -96,6 +96,37 @@ def test_suffix_order_is_lexicographic():
         assert cut == sorted(cut) and [a == b for a, b in zip(cut, cut[1:])] == same[1:].tolist()
 
 
+def test_repeats_with_other_ids(corpus):
+    """Ids as text, in the order of their characters."""
+    from pyspark.sql import functions as F
+
+    docs = corpus().withColumn("doc_id", F.format_string("k%05d", 1000 - F.col("doc_id")))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeated_passages(docs, 7, 2).collect()}
+    assert got == brute_words(texts(docs), 7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_strings(docs, 20, 8, keep_first=True).collect()}
+    assert got == brute_keep_first(texts(docs), 20)
+
+
+def test_factors_decide_what_goes(monkeypatch):
+    """Factors are the longest matches; only windows inside a factor, or across the end of one, are found."""
+    import numpy as np
+
+    from logquarry.llm import repeats
+
+    texts_ = [b"a b c d e f g h", b"x a b c d y d e f g z", b"a b c d e f q", b"d e f g h a b c"]
+    b = repeats.Block(np.zeros(4, np.int64), np.array([6, 9, 5, 6]), np.array([len(x) for x in texts_]), np.arange(4), texts_)
+
+    def windows():
+        c, s, n = substring_dedup.duplicates(b, repeats.Spec("words", 3, 2))
+        return sorted((int(i), int(j)) for i, a, k in zip(c, s, n) for j in range(a, a + k))
+
+    context, first, size = substring_dedup.factors(substring_dedup.Reference(b), 3)
+    assert sorted((int(c), int(f), int(s)) for c, f, s in zip(context, first, size) if s >= 3) == [(1, 1, 4), (1, 6, 4), (2, 0, 6), (3, 0, 5), (3, 5, 3)]
+    assert windows() == [(1, 1), (1, 2), (1, 6), (1, 7), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (3, 1), (3, 2), (3, 5)]
+    monkeypatch.setattr(substring_dedup, "factors", lambda ref, length: (np.zeros(0, np.int64),) * 3)
+    assert windows() == []
+
+
 def test_repeats_odd(odd):
     got = substring_dedup.remove_repeated_passages(odd, 3, 2).collect()
     # the null id is smaller than any, so every later holder of its windows loses them
@@ -149,13 +180,59 @@ def test_near_star_does_not_hide_links(spark):
 
 
 def test_near_odd_and_empty(odd):
-    got = near_dedup.near_duplicates(odd, 3, 85).collect()
-    assert len(got) == 6 and [r.component_id for r in got if r.doc_id is None] == [None]
-    assert {r.component_id for r in got if r.doc_id == 2} <= {1, 2}
+    want = [(-1, 4, 1, False), (1, 4, 1, True), (1, 4, 1, True), (2, 1, 2, True), (2, 4, 1, False), (3, 0, 3, True)]
+    for n in (1, 3):
+        got = near_dedup.near_duplicates(odd.repartition(n), 3, 85).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+        kept = near_dedup.keep_one(odd.repartition(n), 3, 85)
+        assert kept.columns == odd.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f"), (2, "other text here"), (3, None)]
+    nulls = near_dedup.near_duplicates(odd.where("doc_id is null").union(odd.where("doc_id is null")), 3, 85).collect()
+    assert [(r.component_id, r.kept) for r in nulls] == [(None, True)] * 2
     for f in (near_dedup.near_duplicates, exact_dedup.exact_groups, substring_dedup.remove_repeated_passages, suffix_dedup.remove_repeated_strings):
         assert f(odd.where("false")).count() == 0
 
 
+def test_near_ids_with_several_texts(spark):
+    """Links of every text of an id are found, however the rows are split."""
+    x, y = [" ".join(f"{c}{i}" for i in range(9)) for c in "xy"]
+    rows = [(1, x), (2, x + " x9"), (2, y), (3, y + " y9"), (4, "none of these")]
+    for n in (1, 2, 3, 5):
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), 3, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+
+
+def test_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for distinct, fast in ((30, 10**9), (30, 0), (5000, 10**9), (5000, 0)):
+        sets = [np.unique(rng.integers(0, distinct, rng.integers(1, 60))) for _ in range(25)]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        asked, known = np.array([1, 4, 9]), np.arange(10, 25)
+        was, near_dedup.FAST, columns, near_dedup.COLUMNS = near_dedup.FAST, fast, near_dedup.COLUMNS, 7
+        got = near_dedup.shared(np.concatenate(sets), off, asked, known)
+        near_dedup.FAST, near_dedup.COLUMNS = was, columns
+        assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in known] for i in asked]
+
+
+def test_near_copies_that_are_not_near_enough(spark):
+    """Documents of one template that are all alike, but less than asked for, with one pair that is."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(2, 118), 3):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows.append((900, rows[137][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute_near(texts(docs), 3, 85) and got[900][1] == 137
+
+
 def test_sketch_estimates():
     import numpy as np
 

@@ -48,6 +48,15 @@ def test_decontamination(spark, corpus):
     assert decontamination.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_odd(spark, odd):
+    bench = spark.createDataFrame([(None, "B c d"), (7, "b c"), (7, "b c"), (8, None)], "item_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontamination.contamination(odd, bench).collect())
+    assert got == [(False, 1, 6, 3, 1), (False, 1, 6, 3, 1), (False, 2, 3, 0, 0), (False, 2, 6, 3, 1), (False, 3, 0, 0, 0), (True, None, 6, 3, 1)]
+    assert sorted(r.text or "" for r in decontamination.decontaminate(odd, bench).collect()) == ["", "other text here"]
+    kept = decontamination.decontaminate(odd.where("doc_id = 1").withColumn("text", F.lit("A b C-d E")), bench, remove="spans").collect()
+    assert {r.text for r in kept} == {"A  - E"}
+
+
 def test_decontamination_in_blocks(spark, corpus, monkeypatch):
     docs = corpus(48)
     t = {r.doc_id: r.text for r in docs.collect()}
@@ -91,6 +100,12 @@ def test_mixing(spark, corpus):
     assert mixing.mix_plan(docs.where("false")).count() == 0
 
 
+def test_mixing_odd(odd):
+    plan = mixing.mix_plan(odd).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in plan) == [(0, 6), (1, 6), (1, 6), (2, 3), (2, 6), (3, 0)]
+    assert len({r.copies for r in plan if r.doc_id == 1}) == 1
+
+
 def test_mixing_caps(spark):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(5, "a"), (5, "a"), (300, "b"), (40, "c"), (0, "d"), (2, None)])]
     plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -107,20 +122,47 @@ def library():
 
 def test_token_counts_on_hostile_texts(library):
     rng = random.Random(1)
-    alphabet = [*"ab's'tre vell \n\t  é1２!漢😀-́\x85\x1c", "<|endoftext|>", "'s", "'ll", "  ", "\r\n", "word ", "don't "]
+    alphabet = [*"ab's'tre vell \n\t  é1２!漢😀-́\x85\x1c", "<|endoftext|>", "'s", "'ll", "  ", "\r\n", "word ", "don't "]
     enc = bpe.Encoder(tokenizer("byte_bpe_50k.json"))
-    for _ in range(1500):
-        x = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
-        t = next(common.slices(pa.array([x, "z"], pa.large_string())))
-        assert token_counts.count(enc, t, rng.choice([5, 12, 100]))[0] == len(library.encode(x, add_special_tokens=False).ids), repr(x)
+    assert enc.forward and enc.special == ["<|endoftext|>"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(1500)]
+    want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chunk in (5, 12, 100):
+        assert token_counts.count(enc, texts, chunk) == want
 
 
-def test_resynchronisation_widens():
-    cp = np.frombuffer(("a" * 5000 + " " + "b " * 3000).encode("utf-32-le"), np.uint32)
-    whole = bpe.piece_starts(cp, np.array([0, len(cp)]))
-    parts = list(token_counts.chunk_boundaries(cp, 64, 4))
-    assert len(parts) > 3 and np.array_equal(np.concatenate([p[2] for p in parts]), whole)
-    assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]]
+def test_resynchronisation_widens(library):
+    text = "a" * 5000 + " " + "b " * 3000
+    enc = bpe.Encoder(tokenizer("byte_bpe_50k.json"))
+    parts = list(token_counts.chunk_counts(enc, text, 64, 4))
+    assert len(parts) > 3 and sum(n for _, _, n in parts) == len(library.encode(text, add_special_tokens=False).ids)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]]
+
+
+@pytest.mark.parametrize("pattern, forward", [(r"\p{N}{1,3}|\s*[\r\n]+|[^\r\n\p{L}\p{N}]?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", True), (r"(?<=a)b+|\s+|\S", False)])
+def test_token_counts_with_another_splitting_rule(tmp_path, pattern, forward):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer("byte_bpe_50k.json")))
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    enc, library = bpe.Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert enc.forward == forward
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([*"ab 12\n\t!é", "  ", "12345", "word"], k=300)) for _ in range(40)]
+    assert token_counts.count(enc, texts, 40) == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_token_counts_of_other_libraries():
+    import sentencepiece
+
+    texts = ["Hello  world", "", "a\nb " * 30]
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    assert token_counts.count(bpe.Encoder(tokenizer("piece_bpe_32k.model")), texts, 10) == [len(sp.encode(x)) for x in texts]
+    assert not bpe.Encoder(tokenizer("word_bpe_49k.json")).forward
 
 
 def test_token_counts_query(corpus, library, odd):
@@ -141,21 +183,43 @@ def test_feistel_is_a_permutation(n):
 
 def test_token_output_round_trip(corpus, library, tmp_path, spark):
     docs = corpus()
-    order = token_output.training_order(docs, tokenizer("byte_bpe_50k.tiktoken"), length=64)
+    order = token_output.training_order(docs, tokenizer("byte_bpe_50k.tiktoken"), length=64, shard_rows=50)
     rows = order.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     ids = {}
     for r in sorted(rows, key=lambda r: r.part):
-        assert len(r.tokens) == 128
+        assert len(r.tokens) == 128 and (r.shard, r.row) == divmod(r.slot, 50)
         ids.setdefault(r.doc_id, []).extend(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
     for r in docs.collect():
         assert ids[r.doc_id] == library.encode(r.text or "", add_special_tokens=False).ids + [50256]
     order.write.parquet(str(tmp_path / "o"))
     rest = token_output.resume(str(tmp_path / "o"), spark, 10).collect()
-    assert [r.slot for r in rest] == list(range(10, len(rows)))
+    assert sorted(r.slot for r in rest) == list(range(10, len(rows)))
+    # files of equal stride, read from a byte offset
+    n = token_output.write_shards(order, str(tmp_path / "shards"))
+    files = sorted((tmp_path / "shards").glob("shard-*.bin"))
+    assert n == len(rows) and len(files) == -(-n // 50) and all(f.stat().st_size == 50 * 128 for f in files[:-1])
+    by_slot = [bytes(r.tokens) for r in sorted(rows, key=lambda r: r.slot)]
+    for slot in (0, 49, 50, 73, n - 1, n):
+        assert [x.tobytes() for x in token_output.read_shards(str(tmp_path / "shards"), slot)] == by_slot[slot:]
     assert token_output.training_order(docs.where("false"), tokenizer("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_token_output_does_not_depend_on_splits(corpus, odd, monkeypatch):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(token_output, "NUMBERED", 16)
+    for docs, most in ((corpus(), 16), (odd, 7)):
+        got = [sorted((r.slot, r.doc_id, r.part, bytes(r.tokens)) for r in token_output.training_order(docs.repartition(k), path, length=16).collect()) for k in (2, 5, most)]
+        assert got[0] == got[1] == got[2] and len(got[0]) >= docs.count()
+
+
+def test_token_output_refuses_narrow_ids(corpus):
+    with pytest.raises(ValueError):
+        token_output.training_order(corpus(12), tokenizer("byte_bpe_50k.tiktoken"), end=70000)
+    wide = token_output.training_order(corpus(12), tokenizer("byte_bpe_50k.tiktoken"), end=70000, width=4, length=8).collect()
+    assert any(np.frombuffer(r.tokens, "<u4").max() == 70000 for r in wide)
+
+
 def labelled(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -180,6 +244,8 @@ def test_quality_held_out(spark):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got.values())
     assert quality.score_quality(docs.where("false"), labels).count() == 0
+    twice = docs.where("doc_id < 40").union(docs.where("doc_id < 40")).union(docs.where("doc_id < 40").withColumn("doc_id", F.lit(None).cast("long")))
+    assert len(quality.score_quality(twice, labels).collect()) == 120 and quality.keep_good(twice, labels).count() % 3 == 0
     assert quality.score_quality(docs, labels.where("false")).count() == 402
 
 
