@@ -9,6 +9,10 @@ import numpy as np
 
 #: Fixed value: the splitting pattern of byte-level vocabularies, which a .tiktoken file does not hold.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Different pieces whose counts are kept.
+KEPT = 500_000
+#: Around a character, what shows whether the library and the pattern see it alike.
+AROUND = ("a{0}a", "1{0}1", " {0} ", ".{0}.", "{0}{0}", "  {0}", "'{0}")
 #: What a pattern must not hold if its matches are to depend only on what follows: it would look back, or at the ends of the text.
 LOOKS_BACK = ("(?<", "^", "$", "\\b", "\\B", "\\A", "\\z", "\\Z", "\\G", "\\K")
 
@@ -33,6 +37,11 @@ class Encoder:
 
     ``special``: strings that the library takes for tokens wherever they stand in a text. ``forward``:
     whether pieces depend only on what follows their start, so that a text may be encoded in chunks.
+
+    Where it is so, counts of short texts come from their pieces: the pattern of the file splits a text,
+    and the library encodes each different piece once. That is only done for characters that the
+    library and the pattern have been seen to treat alike, and for pieces that the library leaves whole;
+    other texts go through the library as they are.
     """
 
     def __init__(self, path: str):
@@ -68,16 +77,54 @@ class Encoder:
             apart = not any(a[i:] == b[: len(a) - i] for a in self.special for b in self.special for i in range(1, len(a))) and not any(a != b and a in b for a in self.special for b in self.special)
             self.forward = plain and apart and spec.get("normalizer") is None and _reads_forwards(spec.get("pre_tokenizer"))
             if self.forward:  # ids stay as they are; offsets then include the space before a word
+                import regex
+
                 core.post_processor = processors.ByteLevel(trim_offsets=False)
+                pre = spec["pre_tokenizer"]
+                pattern = pre["pretokenizers"][0]["pattern"]["Regex"] if pre["type"] == "Sequence" else PATTERN
+                self._split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+                self._alike: dict[str, bool] = {}
+                self._pieces: dict[str, int] = {}  # tokens of a piece; -1 for one that is split when it stands alone
             self._ids = lambda texts: [np.array(e.ids, np.uint32) for e in core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return self._ids(texts)
 
+    def _sees_alike(self, c: str) -> bool:
+        ok = True
+        for around in AROUND:
+            text = around.format(c)
+            spans = [m.span() for m in self._split.finditer(text)]
+            ok = ok and [x for _, x in self._core.pre_tokenizer.pre_tokenize_str(text)] == spans
+        return ok
+
+    def _known(self, text: str) -> bool:
+        seen = self._alike
+        for c in set(text).difference(seen):
+            seen[c] = self._sees_alike(c)
+        return all(seen.values()) or all(seen[c] for c in set(text))
+
+    def _by_pieces(self, texts: list[str]) -> list[int]:
+        """Tokens of each text from its pieces; -1 if they cannot tell."""
+        if len(self._pieces) > KEPT:
+            self._pieces.clear()
+        kept, split = self._pieces, self._split
+        parts = [split.findall(x) if self._known(x) and not any(s in x for s in self.special) else None for x in texts]
+        new = {p for x in parts if x for p in x}.difference(kept)
+        whole = [p for p in new if split.findall(p) == [p]]
+        kept.update(dict.fromkeys(new, -1))
+        kept.update(zip(whole, map(len, self._core.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+        counts = [None if x is None else list(map(kept.__getitem__, x)) for x in parts]
+        return [-1 if n is None or n and min(n) < 0 else sum(n) for n in counts]
+
     def counts(self, texts: list[str]) -> list[int]:
-        if hasattr(self, "_core"):
-            return [len(e) for e in self._core.encode_batch_fast(texts, add_special_tokens=False)]
-        return [len(x) for x in self._ids(texts)]
+        if not hasattr(self, "_core"):
+            return [len(x) for x in self._ids(texts)]
+        out = self._by_pieces(texts) if self.forward else [-1] * len(texts)
+        rest = [i for i, n in enumerate(out) if n < 0]
+        for i, e in zip(rest, self._core.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = len(e)
+        return out
 
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The start of each piece of a text without special strings, and its tokens, from the library's offsets."""

@@ -18,7 +18,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
 #: Rows of an Arrow batch, where the session has no setting of its own: whole texts are long rows.
@@ -74,6 +75,26 @@ def owned_table(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Rows of a part are 2**PART_BITS at most; bytes of input files for a bucket of parts.
+PART_BITS, BUCKET_INPUT = 13, 16_000_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of a table's size, from its files; 0 if it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 62 else 0
+
+
+def held_rows(docs: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """part, row and columns of docs, written as a table bucketed by part: what is told of rows meets them by part, and they are not shuffled."""
+    spark = docs.sparkSession
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    base = base.select(F.shiftright("rid", PART_BITS).alias("part"), F.col("rid").bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("row"), *base.columns[1:])
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_INPUT))
+    return owned_table(base, f"{name}_{uuid.uuid4().hex[:12]}", buckets, "part")
+
+
 def tidy() -> None:
     """Give freed memory back at the end of a partition: Python workers live on, beside each other, in one executor."""
     pa.default_memory_pool().release_unused()

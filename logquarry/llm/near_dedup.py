@@ -21,21 +21,23 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, arrow_map, hash64, mix, ship, slices, split_words, stage, word_hashes
+from .common import PART_BITS, Texts, arrow_map, hash64, held_rows, mix, ship, slices, split_words, stage, word_hashes
 from .components import components, extend
 
 SEED = 901
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs that an estimate puts further below the threshold than this (five standard deviations) are not verified.
 MARGIN = 0.16
-#: Shingles that are compared in one task on either side, and members of a bucket that choose a centre together.
-GROUP, BUCKET = 400_000, 4096
+#: Shingles that are compared with one centre in a task, shingles on either side of a block, and members of a bucket that choose a centre together.
+GROUP, BLOCK, BUCKET = 100_000, 400_000, 4096
 #: A-Z to a-z, other bytes as they are.
 FOLD = bytes(range(256)).lower()
 #: Shingles whose occurrences are multiplied at once, and multiplications in the time of one look-up.
@@ -134,8 +136,32 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return _GRID[like.argmax(1)]
 
 
+def _rid() -> Column:
+    return F.shiftleft("part", PART_BITS).bitwiseOR(F.col("row").cast("long"))
+
+
+def _place(rid: str) -> list[Column]:
+    """The part and the row that a rid names."""
+    return [F.shiftright(rid, PART_BITS).alias("of_part"), F.col(rid).bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("of_row")]
+
+
+def _chosen(rows: pa.Table, places: pa.Table) -> pa.Array:
+    return pc.is_in(rows.column("row").combine_chunks(), value_set=places.column("of_row").combine_chunks())
+
+
+def texts_at(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the held rows whose rids are in reps."""
+
+    def pick(rows: pa.Table, places: pa.Table) -> pa.Table:
+        own = rows.filter(_chosen(rows, places))
+        rid = pc.bit_wise_or(pc.shift_left(own.column("part"), PART_BITS), own.column("row").cast(pa.int64()))
+        return pa.table([rid, own.column("text")], names=["rep", "text"])
+
+    return docs.select("part", "row", "text").groupBy("part").cogroup(reps.select(*_place("rep")).groupBy("of_part")).applyInArrow(pick, "rep long, text string")
+
+
 def sketches(docs: DataFrame, words: int, m: int) -> DataFrame:
-    """rid, doc_id, n (shingles), a and b (digest of the set), regs, of rows (rid, doc_id, text)."""
+    """rid, doc_id, n (shingles), a and b (digest of the set), regs, of rows (part, row, doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
@@ -147,7 +173,7 @@ def sketches(docs: DataFrame, words: int, m: int) -> DataFrame:
             own = slice(*t.rows)
             yield {"rid": batch.column(0).slice(own.start, t.n), "doc_id": batch.column(1).slice(own.start, t.n), "n": np.diff(off), "a": d1, "b": d2, "regs": [r.tobytes() for r in regs]}
 
-    return arrow_map(docs.select("rid", "doc_id", "text"), run, f"rid long, doc_id {kind}, n long, a long, b long, regs binary")
+    return arrow_map(docs.select(_rid().alias("rid"), "doc_id", "text"), run, f"rid long, doc_id {kind}, n long, a long, b long, regs binary")
 
 
 def _regs(column) -> np.ndarray:
@@ -307,7 +333,7 @@ def link_classes(classes: DataFrame, texts_of, words: int, percent: int, m: int,
     inside, many = still_open()
     if many.isEmpty():
         return labels
-    blocks = many.select("band", "key", "main", F.ceil((F.col("s") - F.col("main_s")) / GROUP).cast("int").alias("nu"), F.ceil(F.col("s") / GROUP).cast("int").alias("nv"))
+    blocks = many.select("band", "key", "main", F.ceil((F.col("s") - F.col("main_s")) / BLOCK).cast("int").alias("nu"), F.ceil(F.col("s") / BLOCK).cast("int").alias("nv"))
     rows_ = inside.join(blocks, ["band", "key"])
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     asked = rows_.where("component <> main").select("band", "key", block("nu").alias("iu"), F.explode(F.expr("sequence(0, nv - 1)")).alias("iv"), "rep", "component", F.lit(0).alias("role"))
@@ -317,13 +343,12 @@ def link_classes(classes: DataFrame, texts_of, words: int, percent: int, m: int,
 
 
 def linked_rows(docs: DataFrame, words: int, percent: int, m: int) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id and head (the rid of the component's first row) of staged rows (rid, doc_id, text)."""
+    """rid, doc_id, n_shingles, component_id and head (the rid of the component's first row) of held rows (part, row, doc_id, text)."""
     sig = stage(sketches(docs, words, m), "sketches")
     whole = sig.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     classes = stage(whole.groupBy("n", "a", "b").agg(first.alias("first"), F.first("regs").alias("regs")).withColumn("rep", F.col("first.rid")), "classes")
-    texts_of = lambda reps: docs.select(F.col("rid").alias("rep"), "text").join(reps, "rep", "left_semi")
-    labels = link_classes(classes.select("rep", "n", "regs"), texts_of, words, percent, m)
+    labels = link_classes(classes.select("rep", "n", "regs"), partial(texts_at, docs), words, percent, m)
     named = stage(_labelled(classes.select("n", "a", "b", "rep", "first"), labels), "named")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     named = stage(named.join(heads, "component").select("n", "a", "b", F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("head")), "heads")
@@ -341,12 +366,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shingles and is linked with nothing. Repeated rows share a component; rows of one id with
     different texts may have different ones. An empty table gives no rows.
     """
-    base = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "rows")
+    base = held_rows(docs, "rows", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return linked_rows(base, words, percent, m).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", m: int = 126) -> DataFrame:
     """docs without the near-copies: one row of each component stays, that of the smallest id (null the last), the first of repeated rows."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "rows")
-    gone = linked_rows(rows.select("rid", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text")), words, percent, m).where("rid <> head").select("rid")
-    return rows.select("rid", "row").join(gone, "rid", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    rows = held_rows(docs, "rows", F.struct(*docs.columns).alias("own"))
+    own = F.col("own")
+    gone = linked_rows(rows.select("part", "row", own[id_col].alias("doc_id"), own[text_col].alias("text")), words, percent, m).where("rid <> head")
+
+    def rest(held: pa.Table, places: pa.Table) -> pa.Table:
+        return held.filter(pc.invert(_chosen(held, places))).select(["own"])
+
+    kept = rows.groupBy("part").cogroup(gone.select(*_place("rid")).groupBy("of_part")).applyInArrow(rest, f"own {rows.schema['own'].dataType.simpleString()}")
+    return kept.select(*[F.col("own")[c].alias(c) for c in docs.columns])

@@ -22,7 +22,6 @@ documents a part sends each context once.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,15 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, Texts, hash64, owned_table, runs, ship, slices, tidy
+from .common import WORD_BYTE, Texts, hash64, held_rows, input_bytes, runs, ship, slices, tidy
 
 SEED = 201
 #: Anchor hashes are sent without their lowest bits: a chance collision only makes a context be compared for nothing.
 KEEP = np.uint64(16)
-#: Rows of a part are 2**PART_BITS at most.
-PART_BITS = 13
-#: Bytes of input files for a bucket of texts, and for a block of contexts.
-BUCKET_INPUT, BLOCK_INPUT = 16_000_000, 8_000_000
+#: Bytes of input files for a block of contexts.
+BLOCK_INPUT = 8_000_000
 #: Anchor hashes that a task holds before it sends them, and bytes of contexts that are compared at once.
 HELD, COMPARED = 4_000_000, 2_000_000
 #: Bits of a place in a slice, beside which 40 bits of a hash choose the anchor.
@@ -376,23 +373,6 @@ def _finish(spec: Spec, cut: Callable[[bytes, np.ndarray], tuple[int, bytes]], n
     return run
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of a table's size, from its files; 0 if it knows nothing."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 62 else 0
-
-
-def held_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """part, row, doc_id, text (null: empty), written as a table bucketed by part: each part lies in one bucket whole."""
-    spark = docs.sparkSession
-    rid = F.monotonically_increasing_id()
-    base = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select(F.shiftright("rid", PART_BITS).alias("part"), F.col("rid").bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("row"), "doc_id", "text")
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_INPUT))
-    return owned_table(base, f"texts_{uuid.uuid4().hex[:12]}", buckets, "part")
-
-
 def remove_repeats(docs: DataFrame, spec: Spec, compare, cut, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_items, spans (start and stop of what goes, in items) and kept (the bytes that stay) of every row.
 
@@ -405,7 +385,7 @@ def remove_repeats(docs: DataFrame, spec: Spec, compare, cut, keep: str, id_col:
 
     spark = docs.sparkSession
     ship(spark)
-    texts = held_texts(docs, id_col, text_col)
+    texts = held_rows(docs, "texts", F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, id_type = texts.schema["doc_id"].dataType.simpleString(), to_arrow_type(texts.schema["doc_id"].dataType)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(texts) // BLOCK_INPUT)
     repeated = texts.select("part", "text").mapInArrow(_anchors(spec), "key long, part long, many boolean").repartition(blocks, "key").mapInArrow(_repeated, "part long, key long")

@@ -6,7 +6,8 @@ boundary that both have inside the overlap. Splitting reads only forwards, so fr
 on, the later chunk has the pieces of the whole text; and the earlier chunk's boundaries are those
 of the whole text but for its last two pieces, which its end may have cut. If no such boundary
 exists the overlap is doubled, and at last the chunk. For a vocabulary whose splitting rule is not
-known to read only forwards, or that normalises texts, a text is encoded whole.
+known to read only forwards, or that normalises texts, a text is encoded whole. Of texts within a
+chunk, each different piece is encoded once (see bpe.Encoder).
 """
 
 from __future__ import annotations
