@@ -78,8 +78,8 @@ _PREFIX_KEYS = {"db": "db", "user": "user", "host": "(?:host|client)", "app": "a
 
 
 def prefix_field(message: Column, kind: str) -> Column:
-    """The last value of a whole-word key among the first 200 characters, as breakdowns by dimension use it."""
-    head = F.substring(message, 1, 200)
+    """The last value of a whole-word key among the first 200 bytes, as breakdowns by dimension use it."""
+    head = F.substring(message.cast("binary"), 1, 200).cast("string")
     key = rf"(?<![A-Za-z0-9_]){_PREFIX_KEYS[kind]}=(?!$)"
     plain = F.regexp_extract_all(head, F.lit(key + r"([^, \[\]]*)"), F.lit(1))
     value = F.try_element_at(plain, F.lit(-1))

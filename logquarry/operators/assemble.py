@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from logquarry.functions.text import pid
 from logquarry.sources import dialects
 
+from .stage import staged
+
 FILE_SHIFT = 1 << 44
 
 
@@ -29,7 +31,10 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     tools); "glue" appends them. syslog=True also joins split messages of one process.
     """
     tab = F.locate("#011", F.col("line"))
-    raw = lines.where("line is not null").select("file_idx", "split_start", "line_no", F.when(tab > 0, F.concat(F.lit(" "), F.substring(F.col("line"), tab + 4, F.length("line")))).otherwise(F.col("line")).alias("line"))
+    own = F.when(tab > 0, F.concat(F.lit(" "), F.substring(F.col("line"), tab + 4, F.length("line")))).otherwise(F.col("line"))
+    if syslog:  # a tab inside a part of a message
+        own = F.replace(F.col("line"), F.lit("#011"), F.lit("\t"))
+    raw = lines.where("line is not null").select("file_idx", "split_start", "line_no", own.alias("line"))
     indented = F.col("line").rlike(r"^[ \t]")
     # inline: the parse is evaluated once for each line, however many columns are made of it
     parsed = raw.select("*", F.inline(F.array(F.when(~indented, dialects.parse_line(F.col("line"), year)))).alias("ts", "head", "own_pid"))
@@ -55,22 +60,77 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     )
     joined = first.join(rest, ["file_idx", "entry_no"], "left")
     message = F.when(F.col("tail").isNull(), F.col("head")).otherwise(F.concat_ws(" ", "head", "tail"))
-    return canonical(joined.select((F.col("file_idx") * F.lit(FILE_SHIFT) + F.col("entry_no")).alias("seq"), "ts", message.alias("message"), "own_pid"))
+    return canonical(joined.select((F.col("file_idx").cast("long") * F.lit(FILE_SHIFT) + F.col("entry_no")).alias("seq"), "ts", message.alias("message"), "own_pid"))
+
+
+def _bases(parsed: DataFrame, flag: str, *more: Column) -> DataFrame:
+    """For each split: n (its lines with the flag) and base (those of the splits before it), a row for each."""
+    totals = parsed.groupBy("file_idx", "split_start").agg(F.sum(F.col(flag).cast("long")).alias("n"), *more)
+    before = Window.partitionBy("file_idx").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def records(parsed: DataFrame, first: list[str], between: str) -> DataFrame:
+    """Lines put together: seq, the columns ``first`` of a record's first line, and rest (its other lines; trimmed, if joined by a space).
+
+    parsed: file_idx, split_start, line_no, line, is_new and the columns of ``first``.
+    """
+    keys = ["file_idx", "split_start"]
+    own = F.when(~F.col("is_new"), F.col("line")).alias("line")
+    parsed = staged(parsed.select(*keys, "line_no", "is_new", *first, own))
+    bases = _bases(parsed, "is_new", F.min(F.when(F.col("is_new"), F.col("line_no"))).alias("opens"))
+    line = _trim(F.col("line")) if between == " " else F.col("line")
+    tail = lambda *order: F.array_sort(F.collect_list(F.when(~F.col("is_new"), F.struct(*order, line.alias("t")))))
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x.t), between))
+    # the heads of splits: they continue the last record of a split before
+    loose = parsed.join(bases, keys).where("not is_new and base > 0 and (opens is null or line_no < opens)")
+    loose = loose.groupBy("file_idx", F.col("base").alias("last")).agg(tail("split_start", "line_no").alias("c")).select("file_idx", "last", text(F.col("c")).alias("more"))
+    ends = bases.where("n > 0").withColumn("last", F.col("base") + F.col("n")).join(loose, ["file_idx", "last"], "left").select(*keys, "base", "n", "more")
+    numbered = parsed.withColumn("no", F.sum(F.col("is_new").cast("long")).over(Window.partitionBy(*keys).orderBy("line_no")))
+    grouped = numbered.where("no > 0").groupBy(*keys, "no").agg(F.max(F.when(F.col("is_new"), F.struct(*first))).alias("e"), tail("line_no").alias("c"))
+    rest = F.concat_ws(between, text(F.col("c")), F.when(F.col("no") == F.col("n"), F.col("more")))
+    none = F.col("more").isNull() | (F.col("no") != F.col("n"))
+    seq = F.col("file_idx").cast("long") * F.lit(FILE_SHIFT) + F.col("base") + F.col("no")
+    return grouped.join(ends, keys).select(seq.alias("seq"), "e.*", F.when((F.size("c") > 0) | ~none, rest).alias("rest"))
+
+
+def quoted_records(lines: DataFrame) -> DataFrame:
+    """seq, record of lines in which a quoted field may run on: a line begins a record if the quotes before it are even."""
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"')))
+    odd = lines.where("line is not null").select("file_idx", "split_start", "line_no", "line", (quotes % 2 == 1).alias("odd"))
+    before = F.sum(F.col("odd").cast("long")).over(Window.partitionBy("file_idx", "split_start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    here = odd.withColumn("before", F.coalesce(before, F.lit(0))).join(_bases(odd, "odd").select("file_idx", "split_start", "base"), ["file_idx", "split_start"])
+    parsed = here.select("file_idx", "split_start", "line_no", "line", ((F.col("before") + F.col("base")) % 2 == 0).alias("is_new"), F.col("line").alias("head"))
+    return records(parsed, ["head"], "\n").select("seq", F.concat_ws("\n", "head", "rest").alias("record"))
 
 
 def _join_chunks(parsed: DataFrame) -> DataFrame:
-    """Split syslog messages of one process put together; parts without a first one are left out; order by (ts, line)."""
+    """Split syslog messages of one process put together; parts without a first one are left out; order by (ts, line).
+
+    A line without a process id is an entry of its own.
+    """
     new = parsed.where("is_new").withColumn("chunk", dialects.is_syslog_chunk(F.col("line"))).withColumn("sp", dialects.syslog_pid(F.col("line")))
+    seq = (F.col("file_idx").cast("long") * F.lit(FILE_SHIFT) + F.col("line_no")).alias("seq")
+    alone = new.where("sp = ''").select(seq, "ts", F.col("head").alias("message"), F.lit(None).cast("string").alias("own_pid"))
     order = Window.partitionBy("file_idx", "sp").orderBy("line_no")
-    new = new.withColumn("no", F.sum((~F.col("chunk")).cast("long")).over(order)).where("no > 0")
+    new = new.where("sp <> ''").withColumn("no", F.sum((~F.col("chunk")).cast("long")).over(order)).where("no > 0")
     text = F.when(F.col("chunk"), dialects.syslog_content(F.col("line"))).otherwise(F.col("head"))
     parts = new.groupBy("file_idx", "sp", "no").agg(F.min("line_no").alias("line_no"), F.min_by("ts", "line_no").alias("ts"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("c"))
     message = F.array_join(F.transform("c", lambda x: x.t), " ")
-    seq = F.col("file_idx") * F.lit(FILE_SHIFT) + F.col("line_no")
-    return canonical(parts.select(seq.alias("seq"), "ts", message.alias("message"), F.nullif("sp", F.lit("")).alias("own_pid")), order="ts")
+    return canonical(parts.select(seq, "ts", message.alias("message"), F.col("sp").alias("own_pid")).unionByName(alone), own_first=True)
 
 
-def canonical(entries: DataFrame, structured: bool = False, order: str | None = None) -> DataFrame:
-    """seq, ts, message, is_continuation, pid; rows without a timestamp are left out. Structured formats have no continuations."""
+def canonical(entries: DataFrame, structured: bool = False, own_first: bool = False) -> DataFrame:
+    """seq, ts, message, is_continuation, pid; rows without a timestamp are left out. Structured formats have no continuations.
+
+    Messages of structured formats are put together from many fields: they are written once, so that
+    this is neither done nor planned again for every expression that reads a message.
+
+    own_first: a process id beside the message goes before one in brackets in it (which may be the number of a part).
+    """
+    if structured:
+        entries = staged(entries.where("ts is not null"))
     flag = F.lit(False) if structured else dialects.is_continuation(F.col("message"))
-    return entries.where("ts is not null").select("seq", "ts", "message", flag.alias("is_continuation"), F.coalesce(F.nullif(pid(F.col("message")), F.lit("")), "own_pid", F.lit("")).alias("pid"))
+    named, own = F.nullif(pid(F.col("message")), F.lit("")), F.nullif("own_pid", F.lit(""))
+    both = [own, named] if own_first else [named, own]
+    return entries.where("ts is not null").select("seq", "ts", "message", flag.alias("is_continuation"), F.coalesce(*both, F.lit("")).alias("pid"))

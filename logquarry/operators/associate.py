@@ -23,15 +23,20 @@ def _by(key: str = "pid", order: str = "seq"):
     return Window.partitionBy(key).orderBy(order)
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with own: the process id, or for a row without one a key that no other row has, so that such rows spread."""
+    return df.withColumn("own", F.when(F.col("pid") == "", F.concat(F.lit("@"), F.col("seq").cast("string"))).otherwise(F.col("pid")))
+
+
 def plan_of_execution(executions: DataFrame, plans: DataFrame) -> DataFrame:
     """executions with plan: the last plan of the process since its previous execution; each plan is used once."""
     both = executions.withColumn("plan", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).unionByName(
-        plans.select("seq", "pid", "plan", F.lit(0).alias("kind")), allowMissingColumns=True
+        plans.where("pid <> ''").select("seq", "pid", "plan", F.lit(0).alias("kind")), allowMissingColumns=True
     )
-    both = both.withColumn("no", F.coalesce(F.sum("kind").over(_by().rowsBetween(*BEFORE)), F.lit(0)))
-    own = Window.partitionBy("pid", "no").orderBy("seq").rowsBetween(*BEFORE)
-    out = both.withColumn("plan", F.when(F.col("pid") != "", F.last("plan", ignorenulls=True).over(own)))
-    return out.where("kind = 1").drop("kind", "no")
+    both = _keyed(both)
+    both = both.withColumn("no", F.coalesce(F.sum("kind").over(_by("own").rowsBetween(*BEFORE)), F.lit(0)))
+    mine = Window.partitionBy("own", "no").orderBy("seq").rowsBetween(*BEFORE)
+    return both.withColumn("plan", F.last("plan", ignorenulls=True).over(mine)).where("kind = 1").drop("kind", "no", "own")
 
 
 def temp_file_query(temps: DataFrame, statements: DataFrame, gate: bool = True) -> DataFrame:
@@ -39,14 +44,13 @@ def temp_file_query(temps: DataFrame, statements: DataFrame, gate: bool = True)
 
     gate: statements before the first temporary file of the log are not seen, as in a single forward pass.
     """
-    st = statements.where(~is_transaction_command(F.col("query"))).select("seq", "pid", "query", F.lit(0).alias("kind"))
+    st = statements.where("pid <> ''").where(~is_transaction_command(F.col("query"))).select("seq", "pid", "query", F.lit(0).alias("kind"))
     if gate:
         st = st.join(F.broadcast(temps.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).drop("from_")
-    both = temps.withColumn("kind", F.lit(1)).withColumn("query", F.lit(None).cast("string")).unionByName(st, allowMissingColumns=True)
-    before, later = F.last("query", ignorenulls=True).over(_by().rowsBetween(*BEFORE)), F.first("query", ignorenulls=True).over(_by().rowsBetween(*AFTER))
+    both = _keyed(temps.withColumn("kind", F.lit(1)).withColumn("query", F.lit(None).cast("string")).unionByName(st, allowMissingColumns=True))
+    before, later = F.last("query", ignorenulls=True).over(_by("own").rowsBetween(*BEFORE)), F.first("query", ignorenulls=True).over(_by("own").rowsBetween(*AFTER))
     both = both.withColumns({"b": before, "a": later})
-    named = F.when(F.col("pid") != "", F.coalesce("b", "a"))
-    return both.where("kind = 1").withColumn("query", F.coalesce(F.nullif("own_query", F.lit("")), named)).drop("kind", "a", "b", "own_query")
+    return both.where("kind = 1").withColumn("query", F.coalesce(F.nullif("own_query", F.lit("")), "b", "a")).drop("kind", "a", "b", "own_query", "own")
 
 
 def locks(messages: DataFrame, statements: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def locks(messages: DataFrame, statements: DataFrame) -> DataFrame:
 
     The query: the last one before the key is first seen, else the first one after.
     """
-    st = statements.join(F.broadcast(messages.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).select("seq", "pid", "query")
+    st = statements.where("pid <> ''").join(F.broadcast(messages.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).select("seq", "pid", "query")
     keys = messages.groupBy("lock_key").agg(
         F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"), F.min_by("pid", "seq").alias("pid"), F.min_by("lock_type", "seq").alias("lock_type"),
         F.min_by("resource_type", "seq").alias("resource_type"), F.max_by("wait_ms", "seq").alias("last_wait_ms"), F.max((F.col("event_type") == "acquired").cast("int")).alias("acquired"),
@@ -72,7 +76,7 @@ def waits(messages: DataFrame, details: DataFrame, deadlocks: DataFrame, stateme
     query is the blocking process's last one at that time, else its last one in the log.
     """
     w = messages.where("event_type = 'waiting'").select("seq", "ts", "pid", "lock_type", "resource_type", "wait_ms", "blocking_pid", "relation", F.lit(0).alias("kind"))
-    extra = details.select("seq", "pid", "blocking_pid", "relation", F.lit(1).alias("kind")).unionByName(deadlocks.select("seq", "pid", F.lit(2).alias("kind")), allowMissingColumns=True)
+    extra = details.select("seq", "pid", "blocking_pid", "relation", F.lit(1).alias("kind")).unionByName(deadlocks.where("pid <> ''").select("seq", "pid", F.lit(2).alias("kind")), allowMissingColumns=True)
     both = w.unionByName(extra, allowMissingColumns=True)
     both = both.withColumn("of", F.last(F.when(F.col("kind") == 0, F.col("seq")), ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, 0)))
     told = both.where("kind > 0 and of is not null").groupBy("of").agg(
@@ -85,7 +89,7 @@ def waits(messages: DataFrame, details: DataFrame, deadlocks: DataFrame, stateme
     )
     # as-of on another key: the blocking process's statements up to the moment it is named
     ask = out.where("blocking_pid <> ''").select(F.col("blocking_pid").alias("pid"), F.col("known_at").alias("at"), F.col("seq").alias("of"), F.lit(None).cast("string").alias("query"))
-    st = statements.select("pid", F.col("seq").alias("at"), F.lit(None).cast("long").alias("of"), "query")
+    st = statements.where("pid <> ''").select("pid", F.col("seq").alias("at"), F.lit(None).cast("long").alias("of"), "query")
     asof = ask.unionByName(st).withColumn("found", F.last("query", ignorenulls=True).over(Window.partitionBy("pid").orderBy("at", F.col("of").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
     asof = asof.withColumn("final", F.last("query", ignorenulls=True).over(Window.partitionBy("pid").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     asof = asof.where("of is not null").select("of", F.coalesce("found", "final").alias("blocking_query"))
@@ -123,9 +127,9 @@ def active_connections(connections: DataFrame) -> DataFrame:
     return running_sum(c.withColumn("delta", delta), "delta", ["seq"], F.col("seq").bitwiseAND(-65536))
 
 
-def concurrency(sessions: DataFrame) -> DataFrame:
-    """ts_us, delta, running of a sweep over sessions: starts before ends at one moment."""
-    points = [sessions.select(F.unix_micros(c).alias("ts_us"), F.lit(d).alias("delta"), "seq") for c, d in (("start_ts", 1), ("end_ts", -1))]
+def concurrency(sessions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ts_us, delta, running (and the columns in keep) of a sweep over sessions: starts before ends at one moment."""
+    points = [sessions.select(F.unix_micros(c).alias("ts_us"), F.lit(d).alias("delta"), "seq", *keep) for c, d in (("start_ts", 1), ("end_ts", -1))]
     return running_sum(reduce(DataFrame.unionByName, points), "delta", ["ts_us", F.desc("delta"), "seq"], F.expr("ts_us div 3600000000"))
 
 

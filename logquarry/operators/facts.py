@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +13,21 @@ from logquarry.functions import server as V
 from logquarry.functions import sql as Q
 from logquarry.functions import text as T
 
+from .stage import staged
+
+#: What a message holds that statements, temporary files or locks are told from.
+WORK = ["temporary file", "STATEMENT:", "QUERY:", "statement:", "execute", "still waiting for ", "acquired ", "Process holding the lock: ", 'in relation "', "deadlock detected"]
 
 
 def m():
     return F.col("message")
 
 
+def work(entries: DataFrame) -> DataFrame:
+    """The entries that statements, temporary files and locks are told from, written once for the plans that read them."""
+    return staged(entries.where(reduce(or_, [m().contains(x) for x in WORK])))
+
+
 def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
     """seq, ts, duration_ms, raw_query, norm_query, query_id, full_hash, query_type, category, pid, db, user, host, app.
 

@@ -53,3 +53,15 @@ def concurrent_bins(sessions: DataFrame) -> DataFrame:
 
     points = concurrency(sessions).withColumn("at", F.timestamp_micros("ts_us"))
     return binned(points, F.max("running").alias("most"), ts="at").drop("count")
+
+
+def concurrent_split(sessions: DataFrame, begin: str) -> DataFrame:
+    """For each bin the most sessions at once, and how many of them, at the first such moment, were open before the log begins."""
+    from logquarry.operators.associate import concurrency, running_sum
+
+    start = F.lit(begin).cast("timestamp")
+    points = concurrency(sessions.withColumn("early", F.col("start_ts") < start), keep=("early",))
+    early = running_sum(points.withColumn("early_delta", F.when(F.col("early"), F.col("delta")).otherwise(0)).withColumnRenamed("running", "total"), "early_delta", ["ts_us", F.desc("delta"), "seq"], F.expr("ts_us div 3600000000"))
+    early = early.withColumn("at", F.timestamp_micros("ts_us"))
+    first = F.struct(F.col("total"), -F.col("ts_us"), F.col("delta"), -F.col("seq"))
+    return binned(early, F.max("total").alias("most"), F.max_by("running", first).alias("before_log"), ts="at").drop("count")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logquarry.constants import PAGE_BYTES, SESSION_BUCKETS, SEVERITIES
 from logquarry.functions.events import class_description
 from logquarry.operators import associate as A
+from logquarry.operators import ranks
 
 from .sql import count_rows, bucketed, zero_filled
 
@@ -64,19 +65,26 @@ def peak(c: DataFrame) -> DataFrame:
 
 def _session_measures():
     d = F.col("dur_us")
-    return [count_rows().alias("count"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.avg(d).alias("avg_us"), F.percentile(d, F.lit(0.5)).alias("median_us"), F.sum(d).alias("sum_us")]
+    return [count_rows().alias("count"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.avg(d).alias("avg_us"), F.sum(d).alias("sum_us")]
 
 
 def session_stats(s: DataFrame) -> DataFrame:
-    return s.agg(*_session_measures())
+    return s.agg(*_session_measures()).crossJoin(ranks.median(s, "dur_us", "median_us"))
 
 
 def session_by(s: DataFrame, key: str, accuracy: int | None = None) -> DataFrame:
     """Sessions of each user, db or host; an approximate median if an accuracy is given."""
-    m = _session_measures()
+    named = s.where(F.col(key) != "")
     if accuracy:
-        m[4] = F.percentile_approx("dur_us", 0.5, accuracy).alias("median_us")
-    return s.where(F.col(key) != "").groupBy(key).agg(*m)
+        return named.groupBy(key).agg(*_session_measures(), F.percentile_approx("dur_us", 0.5, accuracy).alias("median_us"))
+    return named.groupBy(key).agg(*_session_measures()).join(ranks.median_by(named, [key], "dur_us", "median_us"), key, "left")
+
+
+def paired_sessions(c: DataFrame) -> DataFrame:
+    """pid, start_ts, end_ts: each connection received with the next disconnection of its process, if that comes before another connection."""
+    w = Window.partitionBy("pid").orderBy("seq")
+    named = c.where("pid <> ''").withColumns({"next_kind": F.lead("kind").over(w), "next_ts": F.lead("ts").over(w)})
+    return named.where("kind = 'received'").select("pid", F.col("ts").alias("start_ts"), F.when(F.col("next_kind") == "disconnected", F.col("next_ts")).alias("end_ts"))
 
 
 def session_distribution(s: DataFrame) -> DataFrame:
@@ -112,9 +120,9 @@ def temp_stats(t: DataFrame) -> DataFrame:
 
 
 def temp_queries(associated: DataFrame) -> DataFrame:
-    """Per query hash: files and bytes. associated: temporary files with their query."""
-    x = A.with_query_id(associated.where("query is not null and size > 0"))
-    return x.groupBy("full_hash").agg(F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), count_rows().alias("count"), F.sum("size").alias("total_size"), F.min("query").alias("raw_query"))
+    """Per query hash: files and bytes. associated: temporary files with their query. Each different text is normalised once."""
+    x = associated.where("query is not null and size > 0").groupBy("query").agg(F.min("seq").alias("seq"), count_rows().alias("count"), F.sum("size").alias("size"))
+    return A.with_query_id(x).groupBy("full_hash").agg(F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), F.sum("count").alias("count"), F.sum("size").alias("total_size"), F.min("query").alias("raw_query"))
 
 
 def top_temp_queries(stats: DataFrame, n: int = 10) -> DataFrame:
@@ -141,14 +149,20 @@ def lock_dimension(locks: DataFrame, key: str) -> DataFrame:
     return locks.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(count_rows().alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(everything()))
 
 
+def lock_relations(waits: DataFrame) -> DataFrame:
+    """Waits on each relation that a message of the process has named, and their share."""
+    return lock_dimension(waits, "relation")
+
+
 def lock_queries(locks: DataFrame) -> DataFrame:
-    """Per query hash: locks acquired and still waiting, with the last reported wait of each."""
-    x = A.with_query_id(locks.where("query is not null"))
+    """Per query hash: locks acquired and still waiting, with the last reported wait of each. Each different text is normalised once."""
     got, no = F.col("acquired") == 1, F.col("acquired") == 0
-    return x.groupBy("full_hash").agg(
-        F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), F.count_if(got).alias("acquired_count"), F.sum(F.when(got, F.col("last_wait_ms")).otherwise(0.0)).alias("acquired_ms"),
+    x = locks.where("query is not null").groupBy("query").agg(
+        F.min("seq").alias("seq"), F.count_if(got).alias("acquired_count"), F.sum(F.when(got, F.col("last_wait_ms")).otherwise(0.0)).alias("acquired_ms"),
         F.count_if(no).alias("waiting_count"), F.sum(F.when(no, F.col("last_wait_ms")).otherwise(0.0)).alias("waiting_ms"), F.sum("last_wait_ms").alias("total_wait_ms"),
     )
+    sums = [F.sum(c).alias(c) for c in ("acquired_count", "acquired_ms", "waiting_count", "waiting_ms", "total_wait_ms")]
+    return A.with_query_id(x).groupBy("full_hash").agg(F.min_by("query_id", "seq").alias("query_id"), F.min("norm_query").alias("norm_query"), *sums)
 
 
 def waiting_queries(stats: DataFrame, n: int = 10) -> DataFrame:
@@ -168,9 +182,9 @@ def frequent_waiters(stats: DataFrame, n: int = 10) -> DataFrame:
 
 
 def blockers(waits: DataFrame) -> DataFrame:
-    """Per blocking query: waits, time and mean; deadlocks are left out."""
-    x = A.with_query_id(waits.where("event_type = 'waiting' and blocking_query is not null"), "blocking_query")
-    return x.groupBy("query_id").agg(count_rows().alias("blocked"), F.sum("wait_ms").alias("total_ms"), F.avg("wait_ms").alias("avg_ms"))
+    """Per blocking query: waits, time and mean; deadlocks are left out. Each different text is normalised once."""
+    x = waits.where("event_type = 'waiting' and blocking_query is not null").groupBy("blocking_query").agg(count_rows().alias("blocked"), F.sum("wait_ms").alias("total_ms"))
+    return A.with_query_id(x, "blocking_query").groupBy("query_id").agg(F.sum("blocked").alias("blocked"), F.sum("total_ms").alias("total_ms"), (F.sum("total_ms") / F.sum("blocked")).alias("avg_ms"))
 
 
 def checkpoint_stats(done: DataFrame, span: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.constants import DURATION_BUCKETS
+from logquarry.operators import ranks
 
 
 def count_rows() -> Column:
@@ -17,16 +18,12 @@ def totals(x: DataFrame) -> DataFrame:
 
 
 def median(x: DataFrame) -> DataFrame:
-    return x.agg(F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"))
+    return ranks.median(x, "duration_ms", "median_ms")
 
 
 def p99(x: DataFrame, share: float = 0.99) -> DataFrame:
-    """The element at index floor(share * n) in ascending order. Distinct durations are counted first, so the ordered pass is over values."""
-    by = x.groupBy("duration_ms").agg(count_rows().alias("c"))
-    w = Window.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
-    n = by.agg(F.sum("c").alias("n"))
-    at = by.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(n), F.col("upto") > F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1))
-    return at.agg(F.min("duration_ms").alias("p99_ms"))
+    """The element at index floor(share * n) in ascending order."""
+    return ranks.element(x, "duration_ms", share, "p99_ms")
 
 
 def top_share(x: DataFrame) -> DataFrame:
@@ -128,7 +125,7 @@ def load_unit(peak_ms: float) -> tuple[str, int]:
 
 
 def detail_minmax(x: DataFrame) -> DataFrame:
-    return x.groupBy("query_id").agg(count_rows().alias("count"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"))
+    return x.groupBy("query_id").agg(count_rows().alias("count"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms")).join(ranks.median_by(x, ["query_id"], "duration_ms", "median_ms"), "query_id", "left")
 
 
 def detail(stats: DataFrame, temp: DataFrame, locks: DataFrame, ids: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ SQL never sees a log line: it computes the answer from the base columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +154,8 @@ _e("extract_pid", lambda e: e.groupBy(T.pid(m()).alias("pid")).agg(sql.count_row
 _e("filter_value", lambda e: e.groupBy(*[T.filter_value(m(), k).alias(k) for k in ("db", "user", "app")]).agg(sql.count_rows().alias("count")), "SELECT 'db' || user_id % 4 AS db, 'u' || user_id % 10 AS \"user\", 'svc' || user_id % 3 AS app, count(*) AS count FROM entries GROUP BY ALL")
 _e("time_filter", lambda e: _show(Filters(TimeRange("2024-01-05 00:00:00", "2024-01-08 12:00:00")).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-05' AND '2024-01-08 12:00:00'")
 _e("window_filter", lambda e: _show(Filters(TimeRange(begin="2024-01-05 00:00:00", window="2d12h")).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-05' AND '2024-01-07 12:00:00'")
+_e("end_window_filter", lambda e: _show(Filters(TimeRange(end="2024-01-08 12:00:00", window="36h")).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-07' AND '2024-01-08 12:00:00'")
+_e("last_filter", lambda e: _show(Filters(TimeRange(last="1d12h", now=datetime(2024, 1, 20, 6))).apply(e)), _ENTRY + " WHERE ts BETWEEN '2024-01-18 18:00:00' AND '2024-01-20 06:00:00'")
 _e("db_filter", lambda e: _show(Filters(db=["db1", "db3"]).apply(e)), _ENTRY + " WHERE user_id % 4 IN (1, 3)")
 _e("user_filter", lambda e: _show(Filters(user=["u2"]).apply(e)), _ENTRY + " WHERE user_id % 10 = 2")
 _e("exclude_user", lambda e: _show(Filters(exclude_user=["u2", "u3"]).apply(e)), _ENTRY + " WHERE user_id % 10 NOT IN (2, 3)")
@@ -219,6 +222,11 @@ _s("concurrent_hist", server.concurrent_hist, """
     SELECT c.i::BIGINT AS bucket_index, greatest(coalesce(most, 0), coalesce(carried, 0))::BIGINT AS most FROM c LEFT JOIN b ON b.i = c.i""")
 _s("concurrent_peak", lambda s: A.concurrency(s).agg(F.max("running").alias("peak")), "SELECT max(n)::BIGINT AS peak FROM sweep")
 _s("bin_concurrent", bins.concurrent_bins, ", g AS (SELECT min(t) AS lo, max(t) AS hi FROM sweep) SELECT (t - lo) // greatest(3600000000, (hi - lo) // 200 + 1) AS bin, max(n)::BIGINT AS most FROM sweep, g GROUP BY 1")
+_s("bin_concurrent_split", lambda s: bins.concurrent_split(s, "1995-01-01 00:00:00"), """
+    , pts AS (SELECT a AS t, 1 AS d, a < epoch_us(TIMESTAMP '1995-01-01') AS early FROM s UNION ALL SELECT z, -1, a < epoch_us(TIMESTAMP '1995-01-01') FROM s),
+    run AS (SELECT t, d, sum(d) OVER w AS n, sum(CASE WHEN early THEN d ELSE 0 END) OVER w AS e FROM pts WINDOW w AS (ORDER BY t, d DESC ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT min(t) AS lo, max(t) AS hi FROM run), p AS (SELECT (t - lo) // greatest(3600000000, (hi - lo) // 200 + 1) AS bin, n, t, d, e FROM run, g)
+    SELECT bin, max(n)::BIGINT AS most, arg_max(e, {n: n, t: -t, d: d})::BIGINT AS before_log FROM p GROUP BY 1""")
 _register("avg_concurrent", lambda e: server.average_concurrent(facts.sessions(facts.connection_events(e)), e), samples.connection_log, _C + "SELECT round((SELECT sum(us) FROM s) * 1.0 / (max(t) - min(t)), 3) AS avg_concurrent FROM points")
 _s("refilter_sessions", lambda s: server.session_stats(bins.overlapping(s, "1996-01-01 00:00:00", "1996-06-01 00:00:00")), f"SELECT {_M6} FROM s WHERE a <= epoch_us(TIMESTAMP '1996-06-01') AND z >= epoch_us(TIMESTAMP '1996-01-01')")
 
@@ -245,7 +253,7 @@ _W = """
 
 
 def _w(name: str, plan: Callable[[DataFrame], DataFrame], oracle: str | None) -> None:
-    _register(name, plan, samples.work_log, oracle and _W + oracle)
+    _register(name, lambda e: plan(facts.work(e)), samples.work_log, oracle and _W + oracle)
 
 
 def _locks(e: DataFrame) -> DataFrame:
@@ -323,11 +331,13 @@ def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def sql_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two(spark, sf_dir)
+    b = facts.work(b)
     return _plain(sql.detail(sql.query_stats(facts.executions(a)), server.temp_queries(_temps(b)), server.lock_queries(_locks(b))).drop("norm_query"))
 
 
 def no_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two(spark, sf_dir)
+    b = facts.work(b)
     both = server.temp_queries(_temps(b)).select("full_hash", "query_id").union(server.lock_queries(_locks(b)).select("full_hash", "query_id"))
     return _plain(sql.without_duration(sql.query_stats(facts.executions(a)), both))
 

@@ -17,6 +17,7 @@ from logquarry.constants import SECTIONS
 from logquarry.functions.events import class_description
 from logquarry.operators import associate as A
 from logquarry.operators import facts
+from logquarry.operators.stage import staged
 from logquarry.plans import server, sql
 from logquarry.render.units import rate, size, span_us, time_ms
 
@@ -39,10 +40,10 @@ def _ts(t: datetime | None) -> str:
 
 
 class Report:
-    """The fact tables of one set of entries, and its sections."""
+    """The fact tables of one set of entries, which are written once, and its sections."""
 
     def __init__(self, entries: DataFrame, events: bool = False, top: int | None = None):
-        self.entries, self.events, self.top = entries, events, top
+        self.entries, self.events, self.top = staged(entries), events, top
 
     @cached_property
     def span(self):
@@ -95,7 +96,7 @@ class Report:
         rank = lambda df: [{"id": r.query_id, "normalized_query": r.norm_query, "count": r["count"], "total_time": time_ms(r.total_ms), "avg_time": time_ms(r.avg_ms), "max_time": time_ms(r.max_ms)} for r in df.collect()]
         head |= {"slowest_queries": rank(sql.slowest(main, self.top or 10)), "most_frequent_queries": rank(sql.most_frequent(main, self.top or 15)), "most_time_consuming": rank(sql.time_consuming(main, self.top or 10)), "transactions": rank(transactions.orderBy(F.desc("count"), "norm_query"))}
         if self.events:
-            head["executions"] = [{"timestamp": _ts(r.ts), "duration_ms": r.duration_ms, "query_id": r.query_id} for r in self.executions.orderBy("seq").collect()]
+            head["executions"] = [{"timestamp": _ts(r.ts), "duration_ms": r.duration_ms, "query_id": r.query_id} for r in self.executions.orderBy("seq").toLocalIterator()]
             head["queries"] = [{"id": r.query_id, "normalized_query": r.norm_query, "raw_query": r.raw_query, "type": r.query_type, "count": r["count"], "total_time_ms": r.total_ms, "avg_time_ms": r.avg_ms, "max_time_ms": r.max_ms, **({"plan": r.plan} if r.plan else {})} for r in self.stats.orderBy("query_id").collect()]
         return head
 
@@ -168,7 +169,7 @@ class Report:
         out = {"total_messages": t["count"], "total_size": size(t.total_size), "avg_size": size(t.avg_size), "queries": [{"id": r.query_id, "normalized_query": r.norm_query, "raw_query": r.raw_query, "count": r["count"], "total_size": size(r.total_size)} for r in q]}
         out["histogram"] = [r.asDict() for r in server.temp_hist(self.temps).orderBy("bucket_index").collect()]
         if self.events:
-            named = A.with_query_id(self.temps).orderBy("seq").collect()
+            named = A.with_query_id(self.temps).orderBy("seq").toLocalIterator()
             out["events"] = [{"timestamp": _ts(r.ts), "size": size(r.size), **({"query_id": r.query_id} if r.query else {})} for r in named]
         return out
 

@@ -31,29 +31,175 @@ def _s(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events: each an execution (value as milliseconds), errors as ERROR messages followed by their statement."""
+def event_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as the fields of log entries: an execution each (value as milliseconds), errors as ERROR or FATAL with their statement.
+
+    ts, event_id, pid, db, usr, app, host, sev, body, tail (a second line of the statement), code, statement (of an error).
+    """
     e = table(spark, sf_dir, "events")
-    uid, kind = F.col("user_id").cast("string"), F.col("event_type")
-    pid = (F.col("user_id") + 1000).cast("string")
-    who = _s("db=db", (F.col("user_id") % 4).cast("string"), ",user=u", (F.col("user_id") % 10).cast("string"), ",app=svc", (F.col("user_id") % 3).cast("string"), ",client=10.0.0.", (F.col("user_id") % 5).cast("string"))
-    head = _s(_clock(F.col("ts")), " UTC [", pid, "]: ", who, " ")
+    uid, kind, eid = F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id").cast("string")
+    part = lambda before, n: _s(before, (F.col("user_id") % n).cast("string"))
     ms = F.format_string("%.3f", F.col("value"))
-    eid = F.col("event_id").cast("string")
     query = (
         F.when(kind == "click", _s("SELECT * FROM clicks WHERE id = ", eid, " AND name = 'n''", uid, "'"))
         .when(kind == "view", _s("select  count(*) from view_", (F.col("user_id") % 2).cast("string"), " where x in (", uid, ", ", eid, ")"))
         .when(kind == "signup", _s("INSERT INTO signups VALUES (", eid, ", 'a b', ", ms, ")"))
         .when(kind == "purchase", F.when(F.col("user_id") % 2 == 0, _s("/* c */ UPDATE purchases SET total = ", ms, " WHERE user_id = $1")).otherwise(F.lit("COMMIT")))
     )
-    run = F.when(kind != "error", _s(head, "LOG:  duration: ", ms, " ms  ", F.when(F.col("event_id") % 2 == 0, "statement: ").otherwise("execute s1: "), query))
-    tail = F.when((kind == "click") & (F.col("event_id") % 5 == 0), F.lit("\tORDER BY 1"))
-    fatal = F.col("user_id") % 3 == 0
-    code = F.when(F.col("user_id") % 2 == 0, "42P01").otherwise("23505")
+    run = _s("duration: ", ms, " ms  ", F.when(F.col("event_id") % 2 == 0, "statement: ").otherwise("execute s1: "), query)
     text = F.when(F.col("user_id") % 2 == 0, _s('relation "t', uid, '" does not exist at character ', eid)).otherwise(_s('duplicate key value violates unique constraint "k', uid, '"'))
-    error = F.when(kind == "error", _s(_clock(F.col("ts")), " UTC [", pid, "]: ", who, " ", F.when(fatal, "FATAL").otherwise("ERROR"), ":  ", text, " SQLSTATE = '", code, "'"))
-    statement = F.when(kind == "error", _s(_clock(F.col("ts")), " UTC [", pid, "]: ", who, " STATEMENT:  SELECT ", eid))
-    return _lines(e, "ts", F.pmod(F.col("event_id"), F.lit(64)), [run, tail, error, statement])
+    failed = kind == "error"
+    return e.select(
+        "ts", "event_id", (F.col("user_id") + 1000).cast("string").alias("pid"), part("db", 4).alias("db"), part("u", 10).alias("usr"), part("svc", 3).alias("app"), part("10.0.0.", 5).alias("host"),
+        F.when(~failed, "LOG").when(F.col("user_id") % 3 == 0, "FATAL").otherwise("ERROR").alias("sev"), F.when(failed, text).otherwise(run).alias("body"),
+        F.when((kind == "click") & (F.col("event_id") % 5 == 0), "ORDER BY 1").alias("tail"), F.when(~failed, "00000").when(F.col("user_id") % 2 == 0, "42P01").otherwise("23505").alias("code"), F.when(failed, _s("SELECT ", eid)).alias("statement"),
+    )
+
+
+def _tie() -> Column:
+    return F.pmod(F.col("event_id"), F.lit(64))
+
+
+def _texts(head: Column, between: str = "  ") -> list[Column]:
+    """A line for the entry and one for the statement of an error, after a head; severities and text as the server writes them."""
+    code = F.when(F.col("code") != "00000", _s(" SQLSTATE = '", F.col("code"), "'")).otherwise("")
+    return [_s(head, F.col("sev"), ":", between, F.col("body"), code), F.when(F.col("statement").isNotNull(), _s(head, "STATEMENT:", between, F.col("statement")))]
+
+
+def _who() -> Column:
+    return _s("db=", F.col("db"), ",user=", F.col("usr"), ",app=", F.col("app"), ",client=", F.col("host"))
+
+
+def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts as a log of the server's standard error."""
+    entry, statement = _texts(_s(_clock(F.col("ts")), " UTC [", F.col("pid"), "]: ", _who(), " "))
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+
+
+def rds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts in the lines of a managed service: time, host(port), user@db, [process]."""
+    entry, statement = _texts(_s(_clock(F.col("ts")), " UTC:", F.col("host"), "(5432):", F.col("usr"), "@", F.col("db"), ":[", F.col("pid"), "]:"))
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+
+
+def azure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts in lines that name a session, and no process or client."""
+    entry, statement = _texts(_s(_clock(F.col("ts")), " UTC-65f.", F.hex("event_id"), "-"))
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+
+
+def syslog(flavour: str):
+    """A function that renders event_parts as syslog: bsd, iso or rfc5424; a second line is a part with a number of its own."""
+
+    def render(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ts, pid = F.col("ts"), F.col("pid")
+        month = F.element_at(F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()]), F.month(ts))
+        iso = _s(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "Z")
+        head = {
+            "bsd": _s(month, " ", F.lpad(F.dayofmonth(ts).cast("string"), 2, " "), " ", F.date_format(ts, "HH:mm:ss.SSSSSS"), " db1 postgres[", pid, "]: "),
+            "iso": _s(iso, " db1 postgres[", pid, "]: "),
+            "rfc5424": _s("<134>1 ", iso, " db1 postgres ", pid, " - - "),
+        }[flavour]
+        number = F.col("event_id").cast("string")
+        entry, _ = _texts(_s(head, "[", number, "-1] ", _who(), " "))
+        _, statement = _texts(_s(head, "[", number, "1-1] ", _who(), " "))
+        return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s(head, "[", number, "-2] #011", F.col("tail")), statement])
+
+    return render
+
+
+def marked_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sql_log as a relay writes it that numbers no parts: a second line has a header and a tab marker, and lines of another tool stand between."""
+    head = _s(_clock(F.col("ts")), " UTC [", F.col("pid"), "]: ", _who(), " ")
+    entry, statement = _texts(head)
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s(head, "#011", F.col("tail")), statement])
+
+
+def csv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts as csvlog: 23 fields, quotes doubled, a second line inside the quotes; and rows that are too short."""
+    from logquarry.constants import CSV_COLUMNS
+
+    quoted = lambda c: _s('"', F.replace(c, F.lit('"'), F.lit('""')), '"')
+    own = {
+        "log_time": _s(_clock(F.col("ts")), " UTC"), "user_name": quoted(F.col("usr")), "database_name": quoted(F.col("db")), "process_id": F.col("pid"), "connection_from": quoted(F.col("host")),
+        "error_severity": F.col("sev"), "sql_state_code": F.col("code"), "query": F.coalesce(quoted(F.col("statement")), F.lit("")), "application_name": quoted(F.col("app")),
+    }
+    at = CSV_COLUMNS.index("message")
+    before = F.concat_ws(",", *[own.get(c, F.lit("")) for c in CSV_COLUMNS[:at]])
+    after = F.concat_ws(",", *[own.get(c, F.lit("")) for c in CSV_COLUMNS[at + 1 : 23]])
+    body = F.replace(F.col("body"), F.lit('"'), F.lit('""'))
+    one = _s(before, ',"', body, F.when(F.col("tail").isNull(), _s('",', after)).otherwise(""))
+    short = F.when(F.col("event_id") % 50 == 0, _s(_clock(F.col("ts")), " UTC,a,b,1,c,LOG,a row that is cut off"))
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [one, _s("\t", F.col("tail"), '",', after), short])
+
+
+def _json(spark: SparkSession, sf_dir: str, *texts: Column) -> DataFrame:
+    return _lines(event_parts(spark, sf_dir), "ts", _tie(), list(texts))
+
+
+def _full() -> Column:
+    return F.when(F.col("tail").isNull(), F.col("body")).otherwise(_s(F.col("body"), "\n\t", F.col("tail")))
+
+
+def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts as jsonlog, an object a line; and lines that are cut off."""
+    fields = {"timestamp": _s(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), " UTC"), "user": F.col("usr"), "dbname": F.col("db"), "pid": F.col("pid").cast("long"), "remote_host": F.col("host"), "application_name": F.col("app"), "error_severity": F.col("sev"), "state_code": F.col("code"), "message": _full(), "statement": F.col("statement")}
+    cut = F.when(F.col("event_id") % 40 == 0, F.lit('{"timestamp": "2024-01-01 00:00:00 UTC", "mess'))
+    return _json(spark, sf_dir, F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])), cut)
+
+
+def _record() -> Column:
+    fields = {"log_time": _s(_clock(F.col("ts")), " UTC"), "user_name": F.col("usr"), "database_name": F.col("db"), "process_id": F.col("pid"), "connection_from": _s(F.col("host"), ":5432"), "error_severity": F.col("sev"), "sql_state_code": F.col("code"), "message": _full(), "application_name": F.col("app"), "query": F.col("statement")}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def operator_log(wrapped: bool = False):
+    """A function that renders event_parts as a cluster operator's log: records in an envelope (in another one, if wrapped), among lines of other loggers."""
+
+    def render(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = F.struct(F.lit("info").alias("level"), F.lit("postgres").alias("logger"), F.lit("record").alias("msg"), F.lit("db-1").alias("logging_pod"), _record().alias("record"))
+        other = F.struct(F.lit("info").alias("level"), F.lit("instance-manager").alias("logger"), F.lit("db-1").alias("logging_pod"), F.lit("duration: 9999.0 ms  statement: SELECT 'not a record'").alias("msg"), _clock(F.col("ts")).alias("ts"))
+        if wrapped:
+            own, other = (F.struct(F.lit("F").alias("logtag"), x.alias("message")) for x in (own, other))
+        return _json(spark, sf_dir, F.to_json(own), F.when(F.col("event_id") % 7 == 0, F.to_json(other)))
+
+    return render
+
+
+def payload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts as a cloud's objects, whose text payload is the line of the server."""
+    head = _s("[", F.col("pid"), "]: ", _who(), " ")
+    entry, statement = _texts(head)
+    entry = F.when(F.col("tail").isNull(), entry).otherwise(_s(entry, "\n\t", F.col("tail")))
+    wrap = lambda x: F.when(x.isNotNull(), F.to_json(F.struct(F.col("event_id").cast("string").alias("insertId"), x.alias("textPayload"), _s(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "Z").alias("timestamp"))))
+    return _json(spark, sf_dir, wrap(entry), wrap(statement))
+
+
+def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_parts as objects whose time is a number: milliseconds since 1970, or seconds (every other one)."""
+    us = F.unix_micros("ts")
+    number = F.when(F.col("event_id") % 2 == 0, F.expr("unix_micros(ts) div 1000")).otherwise(F.expr("unix_micros(ts) div 1000000"))
+    return _json(spark, sf_dir, F.when(us.isNotNull(), F.to_json(F.struct(number.alias("ts"), F.col("pid").alias("pid"), F.col("sev").alias("error_severity"), F.col("body").alias("message")))))
+
+
+def plan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: the plan of a statement (of every third event), then its execution."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    head = _s(_clock(F.col("ts")), " UTC [", uid, "]: db=d LOG:  duration: 1.000 ms  ")
+    plan = F.when(F.col("event_id") % 3 == 0, _s(head, "plan: Query Text: SELECT ", eid, " Seq Scan on t", eid, "  (cost=0.00..1.00 rows=", uid, ")"))
+    return _lines(e, "ts", _tie(), [plan, _s(head, "statement: SELECT ", eid)])
+
+
+def wait_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders: a process that waits for a lock, then says where (by status F), or is told of a deadlock (by status P)."""
+    o = table(spark, sf_dir, "orders").withColumn("ts", F.timestamp_micros(F.unix_micros("o_orderdate") + F.col("o_orderkey") % 86400 * 1_000_000))
+    key = F.col("o_orderkey").cast("string")
+    head = _s(_clock(F.col("ts")), " UTC [", key, "]: db=d ")
+    wait = _s(head, "LOG:  process ", key, " still waiting for ShareLock on transaction ", F.col("o_custkey").cast("string"), " after ", F.format_string("%.2f", F.col("o_totalprice")), " ms")
+    context = F.when(F.col("o_orderstatus") == "F", _s(head, 'CONTEXT:  while updating tuple (0,1) in relation "acc_', (F.col("o_custkey") % 9).cast("string"), '"'))
+    dead = F.when(F.col("o_orderstatus") == "P", _s(head, "ERROR:  deadlock detected"))
+    return _lines(o, "ts", F.pmod(F.col("o_orderkey"), F.lit(64)), [wait, context, dead])
 
 
 def connection_log(spark: SparkSession, sf_dir: str) -> DataFrame:

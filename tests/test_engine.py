@@ -226,8 +226,9 @@ def test_csv_and_json(spark, tmp_path):
     assert packed.count() == 2
 
 
-def test_detection(tmp_path):
+def test_detection(tmp_path, spark):
     from logquarry.sources import detect
+    from logquarry.sources.storage import Storage
 
     assert detect.is_rotated("x.log.2026-03-23") and not detect.is_rotated("x.log.old")
     assert detect.detect_text(CSV.encode(), "x") == "csv" and detect.detect_text(STDERR.encode()) == "log"
@@ -239,7 +240,10 @@ def test_detection(tmp_path):
         detect.detect_text(STDERR.encode(), "x.csv")
     (tmp_path / "a.log").write_text("x")
     (tmp_path / "b.txt").write_text("x")
-    assert detect.collect_files([str(tmp_path)]) == [str(tmp_path / "a.log")]
+    assert detect.collect_files([str(tmp_path)], Storage(spark)) == [str(tmp_path / "a.log")]
+    assert detect.collect_files([f"file://{tmp_path}/*.log", str(tmp_path / "b.txt")], Storage(spark)) == [f"file:{tmp_path}/a.log", str(tmp_path / "b.txt")]
+    with pytest.raises(FileNotFoundError):
+        detect.collect_files([str(tmp_path / "none*")], Storage(spark))
     assert detect.syslog_flavour("Jan  1 10:00:00 h p") == "bsd"
 
 
