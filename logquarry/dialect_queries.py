@@ -88,7 +88,7 @@ _query(
 _query(
     "syslog_parts",
     lambda s, d: samples.syslog("bsd")(s, d).select(dialects.is_syslog_chunk(F.col("line")).alias("part"), dialects.syslog_pid(F.col("line")).alias("pid"), F.trim(F.translate(dialects.syslog_content(F.col("line")), "#01", "")).alias("content")).groupBy("part", "pid", "content").agg(sql.count_rows().alias("count")),
-    _X + _E + "SELECT part, (user_id + 1000)::VARCHAR AS pid, content, count(*) AS count FROM (SELECT false AS part, user_id, '' AS content FROM entries UNION ALL SELECT true, user_id, 'ORDER BY ' FROM x WHERE norm LIKE '%order by ?') GROUP BY ALL",
+    _X + _E + "SELECT part, (user_id + 1000)::VARCHAR AS pid, content, count(*) AS count FROM (SELECT false AS part, user_id, '' AS content FROM entries UNION ALL SELECT true, user_id, 'ORDER BY' FROM x WHERE norm LIKE '%order by ?') GROUP BY ALL",
 )
 
 # --- associations ----------------------------------------------------------------------------------------------
@@ -126,7 +126,7 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", Q.context_statement(message).alias("statement"))
 
 
-_query("context_text", _contexts, "SELECT p_partkey, 'SELECT ' || p_partkey AS statement FROM part")
+_query("context_text", _contexts, "SELECT p_partkey, 'SELECT ' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '' ELSE '\" and more' END AS statement FROM part")
 _query("transaction_command", lambda s, d: samples.event_parts(s, d).select("event_id", Q.is_transaction_command(F.regexp_extract("body", "(?:statement|execute s1): (.*)", 1)).alias("command")), "SELECT event_id, event_type = 'purchase' AND user_id % 2 = 1 AS command FROM events")
 
 
@@ -241,12 +241,15 @@ for _name, _only in {"plain_files": ("a.log", "b.csv", "c.jsonl", "d.json"), "co
     _query(_name, _one_by_one(_only), _each_of(_only))
 
 
+_MIXED = ("a.log", "b.csv", "c.jsonl", "e.log.gz", "l.zip", "m.log.2024-03-01")
+
+
 def _folder_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _file_kinds(spark, sf_dir) | {"notes.txt": b"not a log", "old.log.bak": b"2024-03-01 10:00:00 UTC [1]: LOG:  x\n", "sub/deep.log": b"2024-03-01 10:00:00 UTC [1]: LOG:  x\n"}
+    files = {k: v for k, v in _file_kinds(spark, sf_dir).items() if k in _MIXED} | {"notes.txt": b"not a log", "old.log.bak": b"2024-03-01 10:00:00 UTC [1]: LOG:  x\n", "sub/deep.log": b"2024-03-01 10:00:00 UTC [1]: LOG:  x\n"}
     return _read(spark, [_folder(spark, files)])
 
 
-_query("folder_input", _folder_of_files, f"SELECT {_FACTS} FROM nation, range({sum(_COPIES.values())}) r(i)")
+_query("folder_input", _folder_of_files, f"SELECT {_FACTS} FROM nation, range({sum(_COPIES[n] for n in _MIXED)}) r(i)")
 
 
 def _bad_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
