@@ -1,14 +1,16 @@
 """Lines to entries.
 
-``lines``: file_idx, split_start, line_no, line. ``entries``: seq, ts, message, is_continuation, pid;
-seq orders all entries of all files. An entry number is a prefix sum over lines: running sums within
-each split of a file, plus the totals of the splits before it (a row for each split), so no task ever
-orders a whole file.
+``lines``: file_idx, split_start, line_no, line; no two lines have one place. ``entries``: seq, ts,
+message, is_continuation, pid; seq orders all entries of all files. Of text, it is the number of an
+entry's first line (line_seq), so lines are parsed once and neither shuffled nor sorted; only lines
+that continue an entry look for it, among numbers, within each split of a file and then over the
+splits before it (a row for each split), so no task ever orders a whole file. Elsewhere it is a
+prefix sum over lines, in the same two phases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import pid
@@ -19,6 +21,11 @@ from .stage import staged
 FILE_SHIFT = 1 << 44
 
 
+def line_seq(file_idx, split_start, line_no):
+    """A number for a line that grows with its place: a line has a byte at least, so its number in a split stays below the next split's start."""
+    return file_idx.cast("long") * F.lit(FILE_SHIFT) + split_start + line_no.bitwiseAND((1 << 33) - 1)
+
+
 def _trim(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
@@ -43,24 +50,28 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
         parsed = parsed.where(F.col("is_new") | ~F.col("line").rlike("^[0-9]"))
     if syslog:
         return _join_chunks(parsed)
-    local = Window.partitionBy("file_idx", "split_start").orderBy("line_no")
-    numbered = parsed.withColumn("local_no", F.sum(F.col("is_new").cast("long")).over(local))
-    # from the numbered lines, so that the lines are parsed and shuffled once for both
-    totals = numbered.groupBy("file_idx", "split_start").agg(F.max("local_no").alias("n"))
+    seen = Observation()
+    own = F.when(~F.col("is_new"), _trim(F.col("line"))).alias("t")
+    parsed = parsed.select("file_idx", "split_start", line_seq(F.col("file_idx"), F.col("split_start"), F.col("line_no")).alias("seq"), "is_new", "ts", "head", "own_pid", own)
+    parsed = staged(parsed.observe(seen, F.count_if(~F.col("is_new")).alias("more")))
+    first = parsed.where("is_new").select("seq", "ts", F.col("head").alias("message"), "own_pid")
+    if not seen.get["more"]:
+        return canonical(first)
+    tails = _tails(parsed).select(F.col("of").alias("seq"), "tail")
+    message = F.when(F.col("tail").isNull(), F.col("message")).otherwise(F.concat_ws(" ", "message", "tail"))
+    return canonical(first.join(tails, "seq", "left").select("seq", "ts", message.alias("message"), "own_pid"))
+
+
+def _tails(parsed: DataFrame) -> DataFrame:
+    """of (the entry's seq) and tail: the lines that continue it, joined by spaces. Those before the first entry of a file are left out."""
+    keys = ["file_idx", "split_start"]
+    lines = parsed.select(*keys, "seq", "t", F.when(F.col("is_new"), F.col("seq")).alias("new"))
+    here = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file_idx").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("file_idx", "split_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = numbered.join(offsets, ["file_idx", "split_start"]).withColumn("entry_no", F.col("local_no") + F.col("base"))
-    first = placed.where("is_new").select("file_idx", "entry_no", "ts", "head", "own_pid")
-    # most entries are one line: only the lines that continue one are grouped
-    rest = (
-        placed.where("not is_new and entry_no > 0")
-        .groupBy("file_idx", "entry_no")
-        .agg(F.array_sort(F.collect_list(F.struct("split_start", "line_no", _trim(F.col("line")).alias("t")))).alias("c"))
-        .select("file_idx", "entry_no", F.array_join(F.transform("c", lambda x: x.t), " ").alias("tail"))
-    )
-    joined = first.join(rest, ["file_idx", "entry_no"], "left")
-    message = F.when(F.col("tail").isNull(), F.col("head")).otherwise(F.concat_ws(" ", "head", "tail"))
-    return canonical(joined.select((F.col("file_idx").cast("long") * F.lit(FILE_SHIFT) + F.col("entry_no")).alias("seq"), "ts", message.alias("message"), "own_pid"))
+    carried = lines.groupBy(*keys).agg(F.max("new").alias("last")).select(*keys, F.max("last").over(before).alias("carried"))
+    more = lines.withColumn("of", F.max("new").over(here)).where("new is null").join(carried, keys).withColumn("of", F.coalesce("of", "carried"))
+    c = more.where("of is not null").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("c"))
+    return c.select("of", F.array_join(F.transform("c", lambda x: x.t), " ").alias("tail"))
 
 
 def _bases(parsed: DataFrame, flag: str, *more: Column) -> DataFrame:
@@ -110,14 +121,14 @@ def _join_chunks(parsed: DataFrame) -> DataFrame:
     A line without a process id is an entry of its own.
     """
     new = parsed.where("is_new").withColumn("chunk", dialects.is_syslog_chunk(F.col("line"))).withColumn("sp", dialects.syslog_pid(F.col("line")))
-    seq = (F.col("file_idx").cast("long") * F.lit(FILE_SHIFT) + F.col("line_no")).alias("seq")
-    alone = new.where("sp = ''").select(seq, "ts", F.col("head").alias("message"), F.lit(None).cast("string").alias("own_pid"))
-    order = Window.partitionBy("file_idx", "sp").orderBy("line_no")
+    new = new.withColumn("seq", line_seq(F.col("file_idx"), F.col("split_start"), F.col("line_no")))
+    alone = new.where("sp = ''").select("seq", "ts", F.col("head").alias("message"), F.lit(None).cast("string").alias("own_pid"))
+    order = Window.partitionBy("file_idx", "sp").orderBy("seq")
     new = new.where("sp <> ''").withColumn("no", F.sum((~F.col("chunk")).cast("long")).over(order)).where("no > 0")
     text = F.when(F.col("chunk"), dialects.syslog_content(F.col("line"))).otherwise(F.col("head"))
-    parts = new.groupBy("file_idx", "sp", "no").agg(F.min("line_no").alias("line_no"), F.min_by("ts", "line_no").alias("ts"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("c"))
+    parts = new.groupBy("file_idx", "sp", "no").agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"), F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))).alias("c"))
     message = F.array_join(F.transform("c", lambda x: x.t), " ")
-    return canonical(parts.select(seq, "ts", message.alias("message"), F.col("sp").alias("own_pid")).unionByName(alone), own_first=True)
+    return canonical(parts.select("seq", "ts", message.alias("message"), F.col("sp").alias("own_pid")).unionByName(alone), own_first=True)
 
 
 def canonical(entries: DataFrame, structured: bool = False, own_first: bool = False) -> DataFrame:

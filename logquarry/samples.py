@@ -1,12 +1,12 @@
 """Log lines rendered from relational tables, inside Spark: inputs with known answers, of any size.
 
-Each function returns ``lines`` (file_idx, split_start, line_no, line). line_no follows the time, so
+Each function returns ``lines`` (file_idx, split_start, line_no, line). Lines follow the time, so
 what the engine must find is a plain query over the base columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,17 @@ def _clock(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def _lines(df: DataFrame, ts: str, tie: Column, texts: list[Column], width: int = 1 << 8) -> DataFrame:
-    """Rows with texts become lines in the order of (ts, tie); tie lies below width / number of texts."""
-    micro = F.unix_micros(ts)
-    each = F.posexplode(F.array(*texts))
-    out = df.select(micro.alias("us"), tie.alias("tie"), each.alias("k", "line")).where("line is not null")
-    return out.select(F.lit(0).alias("file_idx"), F.expr("us div 86400000000").alias("split_start"), (F.col("us") * width + F.col("tie") * len(texts) + F.col("k")).alias("line_no"), "line")
+#: A day is a split of the file; so many lines fit in one.
+DAY_SHIFT = 28
+
+
+def _lines(df: DataFrame, ts: str, keys: list, texts: list[Column]) -> DataFrame:
+    """Rows with texts become lines in the order of (ts, keys), which tell rows apart. Lines are counted in a day, so no two have one number."""
+    day = F.expr("us div 86400000000")
+    rows = df.withColumn("us", F.unix_micros(ts)).withColumn("day", day).where("day is not null")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("day").orderBy("us", *keys)))
+    out = rows.select("day", "at", F.posexplode(F.array(*texts)).alias("k", "line")).where("line is not null")
+    return out.select(F.lit(0).alias("file_idx"), F.shiftleft("day", DAY_SHIFT).alias("split_start"), (F.col("at").cast("long") * len(texts) + F.col("k")).alias("line_no"), "line")
 
 
 def _s(*parts) -> Column:
@@ -56,10 +61,6 @@ def event_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tie() -> Column:
-    return F.pmod(F.col("event_id"), F.lit(64))
-
-
 def _texts(head: Column, between: str = "  ") -> list[Column]:
     """A line for the entry and one for the statement of an error, after a head; severities and text as the server writes them."""
     code = F.when(F.col("code") != "00000", _s(" SQLSTATE = '", F.col("code"), "'")).otherwise("")
@@ -73,19 +74,19 @@ def _who() -> Column:
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_parts as a log of the server's standard error."""
     entry, statement = _texts(_s(_clock(F.col("ts")), " UTC [", F.col("pid"), "]: ", _who(), " "))
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s("\t", F.col("tail")), statement])
 
 
 def rds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_parts in the lines of a managed service: time, host(port), user@db, [process]."""
     entry, statement = _texts(_s(_clock(F.col("ts")), " UTC:", F.col("host"), "(5432):", F.col("usr"), "@", F.col("db"), ":[", F.col("pid"), "]:"))
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s("\t", F.col("tail")), statement])
 
 
 def azure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_parts in lines that name a session, and no process or client."""
     entry, statement = _texts(_s(_clock(F.col("ts")), " UTC-65f.", F.hex("event_id"), "-"))
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s("\t", F.col("tail")), statement])
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s("\t", F.col("tail")), statement])
 
 
 def syslog(flavour: str):
@@ -103,7 +104,7 @@ def syslog(flavour: str):
         number = F.col("event_id").cast("string")
         entry, _ = _texts(_s(head, "[", number, "-1] ", _who(), " "))
         _, statement = _texts(_s(head, "[", number, "1-1] ", _who(), " "))
-        return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s(head, "[", number, "-2] #011", F.col("tail")), statement])
+        return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s(head, "[", number, "-2] #011", F.col("tail")), statement])
 
     return render
 
@@ -112,7 +113,7 @@ def marked_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sql_log as a relay writes it that numbers no parts: a second line has a header and a tab marker, and lines of another tool stand between."""
     head = _s(_clock(F.col("ts")), " UTC [", F.col("pid"), "]: ", _who(), " ")
     entry, statement = _texts(head)
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [entry, _s(head, "#011", F.col("tail")), statement])
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s(head, "#011", F.col("tail")), statement])
 
 
 def csv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +131,11 @@ def csv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(F.col("body"), F.lit('"'), F.lit('""'))
     one = _s(before, ',"', body, F.when(F.col("tail").isNull(), _s('",', after)).otherwise(""))
     short = F.when(F.col("event_id") % 50 == 0, _s(_clock(F.col("ts")), " UTC,a,b,1,c,LOG,a row that is cut off"))
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), [one, _s("\t", F.col("tail"), '",', after), short])
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [one, _s("\t", F.col("tail"), '",', after), short])
 
 
 def _json(spark: SparkSession, sf_dir: str, *texts: Column) -> DataFrame:
-    return _lines(event_parts(spark, sf_dir), "ts", _tie(), list(texts))
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], list(texts))
 
 
 def _full() -> Column:
@@ -188,7 +189,7 @@ def plan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     head = _s(_clock(F.col("ts")), " UTC [", uid, "]: db=d LOG:  duration: 1.000 ms  ")
     plan = F.when(F.col("event_id") % 3 == 0, _s(head, "plan: Query Text: SELECT ", eid, " Seq Scan on t", eid, "  (cost=0.00..1.00 rows=", uid, ")"))
-    return _lines(e, "ts", _tie(), [plan, _s(head, "statement: SELECT ", eid)])
+    return _lines(e, "ts", ["event_id"], [plan, _s(head, "statement: SELECT ", eid)])
 
 
 def wait_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +200,7 @@ def wait_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     wait = _s(head, "LOG:  process ", key, " still waiting for ShareLock on transaction ", F.col("o_custkey").cast("string"), " after ", F.format_string("%.2f", F.col("o_totalprice")), " ms")
     context = F.when(F.col("o_orderstatus") == "F", _s(head, 'CONTEXT:  while updating tuple (0,1) in relation "acc_', (F.col("o_custkey") % 9).cast("string"), '"'))
     dead = F.when(F.col("o_orderstatus") == "P", _s(head, "ERROR:  deadlock detected"))
-    return _lines(o, "ts", F.pmod(F.col("o_orderkey"), F.lit(64)), [wait, context, dead])
+    return _lines(o, "ts", ["o_orderkey"], [wait, context, dead])
 
 
 def connection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +212,7 @@ def connection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     end_ts = F.timestamp_micros(F.unix_micros("at") + F.col("ms") * 1000)
     span = _s((F.expr("ms div 3600000")).cast("string"), ":", F.lpad(F.expr("ms div 60000 % 60").cast("string"), 2, "0"), ":", F.lpad(F.expr("ms div 1000 % 60").cast("string"), 2, "0"), ".", F.lpad(F.expr("ms % 1000").cast("string"), 3, "0"))
     end = o.where("not open").select("o_orderkey", end_ts.alias("ts"), _s(_clock(end_ts), " UTC [", pid, "]: LOG:  disconnection: session time: ", span, " ", who).alias("line"))
-    return _lines(start.unionByName(end), "ts", F.pmod(F.col("o_orderkey"), F.lit(256)), [F.col("line")])
+    return _lines(start.unionByName(end), "ts", [F.pmod(F.col("o_orderkey"), F.lit(256)), "o_orderkey", "line"], [F.col("line")])
 
 
 def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +233,7 @@ def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     detail = F.when(blocked, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u DETAIL:  Process holding the lock: ", other, ". Wait queue: ", pid, "."))
     got = F.when(locked & (F.col("q") % 8 == 0), _s(head, "process ", pid, " acquired ", mode, " on ", resource, " after ", F.format_string("%.2f", F.col("price") / 50), " ms"))
     dead = F.when(F.col("q") == 49, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u ERROR:  deadlock detected"))
-    return _lines(x, "ts", F.pmod(F.col("l_orderkey"), F.lit(16)), [temp, statement, busy, wait, detail, got, dead])
+    return _lines(x, "ts", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [temp, statement, busy, wait, detail, got, dead])
 
 
 def upkeep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,4 +251,4 @@ def upkeep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _s("checkpoint complete: wrote ", key, " buffers (1.0%); 0 WAL file(s) added; write=1.000 s, sync=0.1 s, total=", F.format_string("%.3f", (F.col("c_nationkey") + 1) / 8), " s; sync files=1; distance=", (F.col("c_nationkey") * 100).cast("string"), " kB, estimate=", (F.col("c_nationkey") * 100 + 50).cast("string"), " kB")
     done = c.select(F.col("end").alias("ts"), _s(_clock(F.col("end")), " UTC [78]: LOG:  ", text).alias("line"), F.lit(0).alias("tie"))
     warn = c.where("c_nationkey = 7").select(F.col("end").alias("ts"), _s(_clock(F.col("end")), " UTC [78]: LOG:  checkpoints are occurring too frequently (", (F.col("c_custkey") % 29 + 1).cast("string"), " seconds apart)").alias("line"), F.lit(1).alias("tie"))
-    return _lines(up.unionByName(start).unionByName(done).unionByName(warn), "ts", F.col("tie"), [F.col("line")])
+    return _lines(up.unionByName(start).unionByName(done).unionByName(warn), "ts", ["tie", "line"], [F.col("line")])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.constants import CSV_COLUMNS
-from logquarry.operators.assemble import FILE_SHIFT, canonical, entries_from_lines, quoted_records
+from logquarry.operators.assemble import FILE_SHIFT, canonical, entries_from_lines, line_seq, quoted_records
 
 from . import archive, detect, dialects
 from .storage import Storage
@@ -28,11 +28,6 @@ def read_lines(spark: SparkSession, paths: list[str], indexes: list[int] | None
     return raw.select(F.element_at(index, F.col("_metadata.file_name")).alias("file_idx"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def line_seq(file_idx, split_start, line_no):
-    """A number for a line that grows with its place: a line has a byte at least, so its number in a split stays below the next split's start."""
-    return file_idx.cast("long") * F.lit(FILE_SHIFT) + split_start + line_no.bitwiseAND((1 << 33) - 1)
-
-
 def entries_from_csv(rows: DataFrame, seq=None) -> DataFrame:
     """Entries of csvlog rows as strings (23 or 26 columns in their order, and seq if there is one); rows without a time are left out."""
     columns = [c for c in rows.columns if c != "seq"]

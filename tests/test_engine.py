@@ -314,3 +314,22 @@ def test_bins(lines, spark):
     assert bins.interval(x).first().width_us == 60_000_000
     b = bins.binned(x, F.sum("duration_ms").alias("ms"))
     assert b.first()["count"] == 2 and bins.upper_median(b).first().median == 2
+
+
+def _orders(spark, tmp_path, rows):
+    path = str(tmp_path / "sf")
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp"
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/orders.parquet")
+    return path
+
+
+def test_orders_at_one_moment_stay_apart(spark, tmp_path):
+    """Keys that are equal modulo a day of seconds and 64: their lines had one number, and a lock, its context and a deadlock went to several waits."""
+    from logquarry.dialect_queries import QUERIES
+
+    day = datetime(1996, 1, 2)
+    path = _orders(spark, tmp_path, [(5, 1, "F", 10.0, day), (5 + 86400, 2, "P", 20.0, day), (5 + 2 * 86400, 3, "O", 40.0, day)])
+    got = {r.pid: (r.relation, r.wait_ms) for r in QUERIES["relation_ctx"](spark, path).collect()}
+    assert got == {"5": ("acc_1", 10.0), "86405": ("", 20.0), "172805": ("", 40.0)}
+    assert {(r.event_type, r["count"], r.wait_ms) for r in QUERIES["deadlock_mark"](spark, path).collect()} == {("waiting", 2, 50.0), ("deadlock", 1, 20.0)}
+    assert [(r.relation, r["count"]) for r in QUERIES["lock_relations"](spark, path).collect()] == [("acc_1", 1)]
