@@ -16,13 +16,21 @@ from logquarry.functions.sql import is_transaction_command
 from .facts import identified
 
 BEFORE = (Window.unboundedPreceding, -1)
-AFTER = (1, Window.unboundedFollowing)
 
 
-def _by(key: str = "pid", order: str = "seq"):
+def _by(key: str = "pid", order: str | Column = "seq"):
     return Window.partitionBy(key).orderBy(order)
 
 
+def _last_before(column: str, key: str) -> Column:
+    return F.last(column, ignorenulls=True).over(_by(key).rowsBetween(*BEFORE))
+
+
+def _next_after(column: str, key: str) -> Column:
+    """Runs backwards: a frame that ends with the partition is computed anew for every row, in the square of its rows."""
+    return F.last(column, ignorenulls=True).over(_by(key, F.desc("seq")).rowsBetween(*BEFORE))
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """df with own: the process id, or for a row without one a key that no other row has, so that such rows spread."""
     return df.withColumn("own", F.when(F.col("pid") == "", F.concat(F.lit("@"), F.col("seq").cast("string"))).otherwise(F.col("pid")))
@@ -48,8 +56,7 @@ def temp_file_query(temps: DataFrame, statements: DataFrame, gate: bool = True)
     if gate:
         st = st.join(F.broadcast(temps.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).drop("from_")
     both = _keyed(temps.withColumn("kind", F.lit(1)).withColumn("query", F.lit(None).cast("string")).unionByName(st, allowMissingColumns=True))
-    before, later = F.last("query", ignorenulls=True).over(_by("own").rowsBetween(*BEFORE)), F.first("query", ignorenulls=True).over(_by("own").rowsBetween(*AFTER))
-    both = both.withColumns({"b": before, "a": later})
+    both = both.withColumns({"b": _last_before("query", "own"), "a": _next_after("query", "own")})
     return both.where("kind = 1").withColumn("query", F.coalesce(F.nullif("own_query", F.lit("")), "b", "a")).drop("kind", "a", "b", "own_query", "own")
 
 
@@ -65,8 +72,7 @@ def locks(messages: DataFrame, statements: DataFrame) -> DataFrame:
         F.max("relation").alias("relation"),
     )
     both = keys.withColumn("query", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).unionByName(st.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    before, later = F.last("query", ignorenulls=True).over(_by().rowsBetween(*BEFORE)), F.first("query", ignorenulls=True).over(_by().rowsBetween(*AFTER))
-    return both.withColumns({"b": before, "a": later}).where("kind = 1").withColumn("query", F.coalesce("b", "a")).drop("kind", "a", "b")
+    return both.withColumns({"b": _last_before("query", "pid"), "a": _next_after("query", "pid")}).where("kind = 1").withColumn("query", F.coalesce("b", "a")).drop("kind", "a", "b")
 
 
 def waits(messages: DataFrame, details: DataFrame, deadlocks: DataFrame, statements: DataFrame) -> DataFrame:

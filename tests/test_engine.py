@@ -333,3 +333,25 @@ def test_orders_at_one_moment_stay_apart(spark, tmp_path):
     assert got == {"5": ("acc_1", 10.0), "86405": ("", 20.0), "172805": ("", 40.0)}
     assert {(r.event_type, r["count"], r.wait_ms) for r in QUERIES["deadlock_mark"](spark, path).collect()} == {("waiting", 2, 50.0), ("deadlock", 1, 20.0)}
     assert [(r.relation, r["count"]) for r in QUERIES["lock_relations"](spark, path).collect()] == [("acc_1", 1)]
+
+
+def test_next_statement_takes_one_pass(lines):
+    """A frame from the next row to the end of the process is computed anew for each row: 150000 statements of a process took their square."""
+    e = entries_from_lines(lines(STDERR))
+    st, temps, msgs = facts.statements(e), facts.temp_events(e), facts.lock_messages(e)
+    for df in (A.temp_file_query(temps, st), A.locks(msgs, st)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "specifiedwindowframe(RowFrame" in plan and "unboundedfollowing" not in plan
+
+
+def test_next_statement_is_the_nearest(lines):
+    text = """
+2025-01-01 10:00:00 UTC [1]: LOG:  temporary file: path "a", size 10
+2025-01-01 10:00:00 UTC [1]: LOG:  process 1 still waiting for ShareLock on relation 1 after 1.0 ms
+2025-01-01 10:00:01 UTC [1]: STATEMENT:  select 1
+2025-01-01 10:00:02 UTC [1]: STATEMENT:  select 2
+"""
+    e = entries_from_lines(lines(text))
+    st = facts.statements(e)
+    assert A.temp_file_query(facts.temp_events(e), st).first()["query"] == "select 1"
+    assert A.locks(facts.lock_messages(e), st).first()["query"] == "select 1"
