@@ -355,3 +355,16 @@ def test_next_statement_is_the_nearest(lines):
     st = facts.statements(e)
     assert A.temp_file_query(facts.temp_events(e), st).first()["query"] == "select 1"
     assert A.locks(facts.lock_messages(e), st).first()["query"] == "select 1"
+
+
+def test_work_at_one_moment_stays_apart(spark, tmp_path):
+    """Two items whose lines had one number: the holder of each lock runs a statement of its own."""
+    from logquarry.queries import QUERIES
+
+    rows = [(k, p, 1, 2, "A", 4.0, price, datetime(1996, 1, 2)) for k, p, price in ((1, 1, 10.0), (1 + 86400, 1001, 40.0))]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/lineitem.parquet")
+    assert sorted((r.blocked, r.total_ms) for r in QUERIES["blockers"](spark, path).collect()) == [(1, 10.0), (1, 40.0)]
+    got = QUERIES["blocking_pid"](spark, path).collect()
+    assert len({r.pid for r in got}) == 2 and [(r.blocking_pid, r.event_type) for r in got] == [("2", "waiting")] * 2
