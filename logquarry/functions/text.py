@@ -20,8 +20,7 @@ def first_filled(*columns: Column) -> Column:
 
 def after(text: Column, marker: str) -> Column:
     """What follows the first occurrence of a marker; null without one."""
-    at = F.locate(marker, text)
-    return F.when(at > 0, F.substring(text, at + len(marker), F.length(text)))
+    return F.when(text.contains(marker), F.substring(text, F.locate(marker, text) + len(marker), F.length(text)))
 
 
 def pid(message: Column) -> Column:

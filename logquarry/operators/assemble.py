@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import pid
+from logquarry.functions.text import after, pid
 from logquarry.sources import dialects
 
 from .stage import staged
@@ -37,14 +37,19 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     foreign="drop" leaves out lines that start with a digit but do not parse (output of backup
     tools); "glue" appends them. syslog=True also joins split messages of one process.
     """
-    tab = F.locate("#011", F.col("line"))
-    own = F.when(tab > 0, F.concat(F.lit(" "), F.substring(F.col("line"), tab + 4, F.length("line")))).otherwise(F.col("line"))
+    tab = after(F.col("line"), "#011")
+    own = F.when(F.col("line").contains("#011"), F.concat(F.lit(" "), tab)).otherwise(F.col("line"))
     if syslog:  # a tab inside a part of a message
         own = F.replace(F.col("line"), F.lit("#011"), F.lit("\t"))
     raw = lines.where("line is not null").select("file_idx", "split_start", "line_no", own.alias("line"))
     indented = F.col("line").rlike(r"^[ \t]")
-    # inline: the parse is evaluated once for each line, however many columns are made of it
-    parsed = raw.select("*", F.inline(F.array(F.when(~indented, dialects.parse_line(F.col("line"), year)))).alias("ts", "head", "own_pid"))
+    # explode, inline: the parse is evaluated once for each line, however many columns are made of it
+    parsed = raw.select("*", F.explode(F.array(dialects.stderr_head(F.col("line")))).alias("zone"))
+    parsed = parsed.select("*", F.inline(F.array(F.when(F.col("zone") != "", dialects.stderr(F.col("line"), F.col("zone"))))).alias("ts", "head", "own_pid"))
+    # transform: the other dialects stay out of the generated method, which is compiled only while it is small
+    other = F.transform(F.array(F.when((F.col("zone") == "") & ~indented, F.col("line"))), lambda line: dialects.parse_line(line, year))
+    parsed = parsed.select("*", F.inline(other).alias("ts2", "head2", "pid2"))
+    parsed = parsed.select("file_idx", "split_start", "line_no", "line", *[F.coalesce(a, b).alias(a) for a, b in (("ts", "ts2"), ("head", "head2"), ("own_pid", "pid2"))])
     parsed = parsed.withColumn("is_new", F.col("ts").isNotNull() & F.col("head").isNotNull())
     if foreign == "drop":
         parsed = parsed.where(F.col("is_new") | ~F.col("line").rlike("^[0-9]"))

@@ -27,8 +27,8 @@ def _last_before(column: str, key: str) -> Column:
 
 
 def _next_after(column: str, key: str) -> Column:
-    """Runs backwards: a frame that ends with the partition is computed anew for every row, in the square of its rows."""
-    return F.last(column, ignorenulls=True).over(_by(key, F.desc("seq")).rowsBetween(*BEFORE))
+    """Looks ahead in the order of _last_before: a frame that ends with the partition is computed anew for every row, in the square of its rows."""
+    return F.expr(f"lead({column}) ignore nulls over (partition by {key} order by seq)")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -81,25 +81,29 @@ def waits(messages: DataFrame, details: DataFrame, deadlocks: DataFrame, stateme
     A detail goes to the latest waiting event of its process; a deadlock relabels it. The blocking
     query is the blocking process's last one at that time, else its last one in the log.
     """
-    w = messages.where("event_type = 'waiting'").select("seq", "ts", "pid", "lock_type", "resource_type", "wait_ms", "blocking_pid", "relation", F.lit(0).alias("kind"))
+    what = ["seq", "ts", "pid", "lock_type", "resource_type", "wait_ms", "blocking_pid", "relation"]
+    w = messages.where("event_type = 'waiting'").select(*what, F.lit(0).alias("kind"))
     extra = details.select("seq", "pid", "blocking_pid", "relation", F.lit(1).alias("kind")).unionByName(deadlocks.where("pid <> ''").select("seq", "pid", F.lit(2).alias("kind")), allowMissingColumns=True)
     both = w.unionByName(extra, allowMissingColumns=True)
     both = both.withColumn("of", F.last(F.when(F.col("kind") == 0, F.col("seq")), ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, 0)))
-    told = both.where("kind > 0 and of is not null").groupBy("of").agg(
-        F.max_by("blocking_pid", F.when(F.col("blocking_pid") != "", F.col("seq"))).alias("b"), F.min_by("relation", F.when(F.col("relation") != "", F.col("seq"))).alias("r"),
-        F.min(F.when(F.col("blocking_pid") != "", F.col("seq"))).alias("at"), F.max((F.col("kind") == 2).cast("int")).alias("dead"),
+    # a wait and what is told of it have one process, whose rows are in one place already
+    told = F.col("kind") > 0
+    both = both.where("of is not null").groupBy("pid", "of").agg(
+        F.max(F.when(~told, F.struct(*[c for c in what if c != "pid"]))).alias("w"), F.max_by("blocking_pid", F.when(told & (F.col("blocking_pid") != ""), F.col("seq"))).alias("b"),
+        F.min_by("relation", F.when(told & (F.col("relation") != ""), F.col("seq"))).alias("r"), F.min(F.when(told & (F.col("blocking_pid") != ""), F.col("seq"))).alias("known_at"), F.max((F.col("kind") == 2).cast("int")).alias("dead"),
     )
-    out = w.drop("kind").join(told, w.seq == told.of, "left").select(
-        "seq", "ts", "pid", "lock_type", "resource_type", "wait_ms", F.when(F.col("dead") == 1, "deadlock").otherwise("waiting").alias("event_type"),
-        F.coalesce(F.nullif("blocking_pid", F.lit("")), "b", F.lit("")).alias("blocking_pid"), F.coalesce(F.nullif("relation", F.lit("")), "r", F.lit("")).alias("relation"), F.coalesce("at", "seq").alias("known_at"),
+    filled = lambda own, other: F.coalesce(F.nullif(f"w.{own}", F.lit("")), other, F.lit("")).alias(own)
+    out = both.select(
+        "w.seq", "w.ts", "pid", "w.lock_type", "w.resource_type", "w.wait_ms", F.when(F.col("dead") == 1, "deadlock").otherwise("waiting").alias("event_type"),
+        filled("blocking_pid", "b"), filled("relation", "r"), F.coalesce("known_at", "w.seq").alias("at"),
     )
-    # as-of on another key: the blocking process's statements up to the moment it is named
-    ask = out.where("blocking_pid <> ''").select(F.col("blocking_pid").alias("pid"), F.col("known_at").alias("at"), F.col("seq").alias("of"), F.lit(None).cast("string").alias("query"))
-    st = statements.where("pid <> ''").select("pid", F.col("seq").alias("at"), F.lit(None).cast("long").alias("of"), "query")
-    asof = ask.unionByName(st).withColumn("found", F.last("query", ignorenulls=True).over(Window.partitionBy("pid").orderBy("at", F.col("of").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-    asof = asof.withColumn("final", F.last("query", ignorenulls=True).over(Window.partitionBy("pid").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    asof = asof.where("of is not null").select("of", F.coalesce("found", "final").alias("blocking_query"))
-    return out.drop("known_at").join(asof, out.seq == asof.of, "left").drop("of")
+    # as-of on another key: the blocking process's statements up to the moment it is named; waits without one spread
+    holder = F.when(F.col("blocking_pid") == "", F.concat(F.lit("@"), F.col("seq").cast("string"))).otherwise(F.col("blocking_pid")).alias("holder")
+    st = statements.where("pid <> ''").select(F.col("pid").alias("holder"), F.col("seq").alias("at"), "query")
+    asof = out.select("*", holder).unionByName(st, allowMissingColumns=True)
+    found = F.last("query", ignorenulls=True).over(Window.partitionBy("holder").orderBy("at", F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    final = F.last("query", ignorenulls=True).over(Window.partitionBy("holder").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return asof.withColumn("found", found).withColumn("final", final).where("seq is not null").withColumn("blocking_query", F.coalesce("found", "final")).drop("at", "holder", "query", "found", "final")
 
 
 def checkpoint_kinds(checkpoints: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from logquarry.functions import server as V
 from logquarry.functions import sql as Q
 from logquarry.functions import text as T
 
-from .stage import staged
+from .stage import on_disk, staged
 
 #: What a message holds that statements, temporary files or locks are told from.
 WORK = ["temporary file", "STATEMENT:", "QUERY:", "statement:", "execute", "still waiting for ", "acquired ", "Process holding the lock: ", 'in relation "', "deadlock detected"]
@@ -24,8 +24,9 @@ def m():
 
 
 def work(entries: DataFrame) -> DataFrame:
-    """The entries that statements, temporary files and locks are told from, written once for the plans that read them."""
-    return staged(entries.where(reduce(or_, [m().contains(x) for x in WORK])))
+    """seq, ts, message, pid of the entries that statements, temporary files and locks are told from; written once for the plans that read them, if they are not on disk yet."""
+    kept = entries.select("seq", "ts", "message", "pid")
+    return kept if on_disk(entries) else staged(kept.where(reduce(or_, [m().contains(x) for x in WORK])))
 
 
 def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
@@ -61,7 +62,8 @@ def statements(entries: DataFrame, lower: bool = True) -> DataFrame:
     has = m().contains("STATEMENT:") | m().contains("QUERY:")
     if lower:
         has = has | m().contains("statement:") | (m().contains("duration:") & m().contains("execute"))
-    return entries.where(has).select("seq", "pid", Q.normalize_ws(Q.statement_text(m())).alias("query")).where("query <> ''")
+    # explode, inline (below): a filter on what is made of a message does not make it again
+    return entries.where(has).select("seq", "pid", F.explode(F.array(Q.normalize_ws(Q.statement_text(m())))).alias("query")).where("query <> ''")
 
 
 def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
@@ -73,17 +75,18 @@ def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
 def lock_messages(entries: DataFrame) -> DataFrame:
     """seq, ts, event_type, log_pid, pid, lock_type, resource, resource_type, wait_ms, lock_key, relation, blocking_pid."""
     e = entries.where(m().contains("process ") & (m().contains("still waiting for ") | m().contains("acquired ")))
-    e = e.withColumn("l", V.lock_event(m())).where("l.wait_ms is not null")
+    e = e.select("seq", "ts", "message", F.col("pid").alias("log_pid"), F.inline(F.array(V.lock_event(m())))).where("wait_ms is not null")
     return e.select(
-        "seq", "ts", "l.event_type", F.col("pid").alias("log_pid"), "l.pid", "l.lock_type", "l.resource", V.resource_type(F.col("l.resource")).alias("resource_type"), "l.wait_ms",
-        F.concat_ws("-", "l.pid", "l.lock_type", "l.resource").alias("lock_key"), V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid"),
+        "seq", "ts", "event_type", "log_pid", "pid", "lock_type", "resource", V.resource_type(F.col("resource")).alias("resource_type"), "wait_ms",
+        F.concat_ws("-", "pid", "lock_type", "resource").alias("lock_key"), V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid"),
     )
 
 
 def lock_details(entries: DataFrame) -> DataFrame:
     """seq, pid, blocking_pid, relation of DETAIL and CONTEXT lines about a wait."""
     e = entries.where((m().contains("Process holding the lock: ") | m().contains('in relation "')) & ~m().contains("still waiting for ") & ~m().contains("acquired "))
-    return e.select("seq", "pid", V.blocking_pid(m()).alias("blocking_pid"), V.relation(m()).alias("relation")).where("pid <> '' and (blocking_pid <> '' or relation <> '')")
+    e = e.select("seq", "pid", F.inline(F.array(F.struct(V.blocking_pid(m()).alias("blocking_pid"), V.relation(m()).alias("relation")))))
+    return e.where("pid <> '' and (blocking_pid <> '' or relation <> '')")
 
 
 def deadlocks(entries: DataFrame) -> DataFrame:

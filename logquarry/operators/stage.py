@@ -43,3 +43,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def on_disk(df: DataFrame) -> bool:
+    """Whether the rows of df come one by one from a table of files, so that to read them again is no more than a scan."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"

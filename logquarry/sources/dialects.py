@@ -16,7 +16,7 @@ _CLOCK = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?"
 _ZONE = r"(?:[A-Z]{3,5}|GMT[+-]\d{1,2}|[+-]\d{2}(?:\d{2})?)"
 _ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?"
 
-STDERR = rf"(?s)^({_CLOCK})[ \t]+{_ZONE}(?:[ \t]+(.*))?$"
+STDERR = rf"^{_CLOCK}[ \t]+{_ZONE}(?:[ \t]+|$)"
 RDS = rf"(?s)^({_CLOCK})[ \t]+{_ZONE}:([^:]*):([^:]*):(?:\[([^\]]*)\]:?)?(.*)$"
 AZURE = rf"(?s)^({_CLOCK})[ \t]+[A-Z]{{3,5}}-([^-]*)-(.*)$"
 BSD = r"(?s)^([A-Z][a-z]{2}) ([ 0-9]\d) (\d{2}:\d{2}:\d{2}(?:\.\d+)?)[ \t]*(.*)$"
@@ -32,8 +32,14 @@ def _part(line: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(line, pattern, i)
 
 
-def stderr(line: Column) -> Column:
-    return _entry(_part(line, STDERR, 1).try_cast("timestamp"), _part(line, STDERR, 2))
+def stderr_head(line: Column) -> Column:
+    """Clock, zone and the space after them, in front of a line of the server's standard error; else empty."""
+    return _part(line, STDERR, 0)
+
+
+def stderr(line: Column, head: Column) -> Column:
+    """The entry of a line with its stderr_head."""
+    return _entry(_part(head, f"^{_CLOCK}", 0).try_cast("timestamp"), F.substring(line, F.length(head) + 1, F.length(line)))
 
 
 def rds(line: Column) -> Column:
@@ -69,12 +75,11 @@ def rfc5424(line: Column) -> Column:
 
 
 def parse_line(line: Column, year: int | None = None) -> Column:
-    """A struct (ts, message, pid) by the first dialect that fits; null if none does. Fixed positions choose what is tried."""
+    """A struct (ts, message, pid) by the first dialect that fits but stderr; null if none does. Fixed positions choose what is tried."""
     dated = (F.substring(line, 5, 1) == "-") & (F.substring(line, 8, 1) == "-")
     spaced = dated & (F.substring(line, 11, 1) == " ")
     return (
-        F.when(spaced & line.rlike(STDERR), stderr(line))
-        .when(spaced & line.rlike(RDS), rds(line))
+        F.when(spaced & line.rlike(RDS), rds(line))
         .when(spaced & line.rlike(AZURE), azure(line))
         .when(dated & (F.substring(line, 11, 1) == "T") & line.rlike(ISO) & line.contains("]: "), iso(line))
         .when(line.startswith("<") & line.rlike(RFC5424), rfc5424(line))
@@ -105,7 +110,7 @@ def is_continuation(message: Column) -> Column:
     out = is_syslog_chunk(message)
     for k in CONTINUATIONS:
         at = F.locate(k, message)
-        out = out | (at == 1) | ((at > 1) & (F.substring(message, at - 1, F.lit(1)) == " "))
+        out = out | (message.contains(k) & ((at == 1) | (F.substring(message, at - 1, F.lit(1)) == " ")))
     return out | message.contains("redirecting log output to logging collector process")
 
 

@@ -368,3 +368,31 @@ def test_work_at_one_moment_stays_apart(spark, tmp_path):
     assert sorted((r.blocked, r.total_ms) for r in QUERIES["blockers"](spark, path).collect()) == [(1, 10.0), (1, 40.0)]
     got = QUERIES["blocking_pid"](spark, path).collect()
     assert len({r.pid for r in got}) == 2 and [(r.blocking_pid, r.event_type) for r in got] == [("2", "waiting")] * 2
+
+
+def test_parse_stays_small(spark):
+    """A generated method of more than 8000 bytes is never compiled: all dialects in one took 16912, and each line was parsed by the interpreter."""
+    import re
+
+    from logquarry.operators import assemble
+
+    plans, staged = [], assemble.staged
+    lines = spark.createDataFrame([(0, 0, 1, "2025-01-01 10:00:00 UTC [1]: LOG:  x")], "file_idx int, split_start long, line_no long, line string")
+    assemble.staged = lambda df: plans.append(df) or staged(df)
+    try:
+        entries_from_lines(lines).collect()
+    finally:
+        assemble.staged = staged
+    text = spark._jvm.PythonSQLUtils.explainString(plans[0]._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_work_is_sorted_once(lines):
+    """The statement before and the one after come from one order of a process's rows; two orders sorted all rows twice."""
+    e = facts.work(entries_from_lines(lines(STDERR)))
+    st, temps, msgs = facts.statements(e), facts.temp_events(e), facts.lock_messages(e)
+    for df in (A.temp_file_query(temps, st), A.locks(msgs, st)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    plan = A.waits(msgs, facts.lock_details(e), facts.deadlocks(e), st)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
