@@ -17,7 +17,17 @@ def temp_size(message: Column) -> Column:
 
 def lock_event(message: Column) -> Column:
     """A struct (event_type, pid, lock_type, resource, wait_ms); fields are null if the message is no lock message."""
-    part = lambda i: F.nullif(F.regexp_extract(message, _LOCK, i), F.lit(""))
+    return lock_event_of(lock_parts(message))
+
+
+def lock_parts(message: Column) -> Column:
+    """The five groups of a lock message, as an array of strings; empty strings if it is none."""
+    return F.array(*[F.regexp_extract(message, _LOCK, i) for i in range(1, 6)])
+
+
+def lock_event_of(parts: Column) -> Column:
+    """lock_event of its lock_parts."""
+    part = lambda i: F.nullif(parts[i - 1], F.lit(""))
     return F.struct(
         F.when(part(2) == "acquired", "acquired").when(part(2).isNotNull(), "waiting").alias("event_type"),
         part(1).alias("pid"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +55,8 @@ def plan_text(message: Column) -> Column:
 
 
 def normalize_ws(query: Column) -> Column:
-    return F.trim(F.regexp_replace(query, r"[ \t\r\n]+", " "))
+    more = reduce(or_, [query.contains(x) for x in ("  ", "\t", "\r", "\n")])
+    return F.trim(F.when(more, F.regexp_replace(query, r"[ \t\r\n]+", " ")).otherwise(query))
 
 
 def normalize_query(query: Column) -> Column:
@@ -119,7 +123,7 @@ def statement_text(message: Column) -> Column:
     """The statement a message carries: after QUERY:, STATEMENT:, statement: or an executed one; else empty."""
     executed = F.regexp_extract(after(message, "duration:"), r"(?s)^.*?execute[^:]*:(.*)$", 1)
     parts = [after(message, "QUERY:"), after(message, "STATEMENT:"), after(message, "statement:"), F.nullif(executed, F.lit(""))]
-    return F.coalesce(F.trim(F.regexp_replace(F.coalesce(*parts), r"^[ \t\r\n]+|[ \t\r\n]+$", "")), F.lit(""))
+    return F.coalesce(F.btrim(F.coalesce(*parts), F.lit(" \t\r\n")), F.lit(""))
 
 
 def context_statement(message: Column) -> Column:

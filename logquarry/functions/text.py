@@ -18,9 +18,14 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(""))
 
 
+def drop_bytes(text: Column, n: Column) -> Column:
+    """text without its first n bytes: no character is counted, which takes a pass over a text."""
+    return F.substring(text.cast("binary"), n + 1, F.octet_length(text)).cast("string")
+
+
 def after(text: Column, marker: str) -> Column:
     """What follows the first occurrence of a marker; null without one."""
-    return F.when(text.contains(marker), F.substring(text, F.locate(marker, text) + len(marker), F.length(text)))
+    return F.when(text.contains(marker), drop_bytes(text, F.octet_length(F.substring_index(text, marker, 1)) + len(marker.encode())))
 
 
 def pid(message: Column) -> Column:

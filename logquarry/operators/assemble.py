@@ -46,9 +46,9 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     # explode, inline: the parse is evaluated once for each line, however many columns are made of it
     parsed = raw.select("*", F.explode(F.array(dialects.stderr_head(F.col("line")))).alias("zone"))
     parsed = parsed.select("*", F.inline(F.array(F.when(F.col("zone") != "", dialects.stderr(F.col("line"), F.col("zone"))))).alias("ts", "head", "own_pid"))
-    # transform: the other dialects stay out of the generated method, which is compiled only while it is small
-    other = F.transform(F.array(F.when((F.col("zone") == "") & ~indented, F.col("line"))), lambda line: dialects.parse_line(line, year))
-    parsed = parsed.select("*", F.inline(other).alias("ts2", "head2", "pid2"))
+    # transform: the other dialects stay out of the generated method, which is compiled only while it is small; no array, no call
+    other = F.transform(F.when((F.col("zone") == "") & ~indented, F.array("line")), lambda line: dialects.parse_line(line, year))
+    parsed = parsed.select("*", F.inline_outer(other).alias("ts2", "head2", "pid2"))
     parsed = parsed.select("file_idx", "split_start", "line_no", "line", *[F.coalesce(a, b).alias(a) for a, b in (("ts", "ts2"), ("head", "head2"), ("own_pid", "pid2"))])
     parsed = parsed.withColumn("is_new", F.col("ts").isNotNull() & F.col("head").isNotNull())
     if foreign == "drop":

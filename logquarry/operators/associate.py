@@ -22,13 +22,21 @@ def _by(key: str = "pid", order: str | Column = "seq"):
     return Window.partitionBy(key).orderBy(order)
 
 
-def _last_before(column: str, key: str) -> Column:
-    return F.last(column, ignorenulls=True).over(_by(key).rowsBetween(*BEFORE))
+def _around(df: DataFrame, column: str, key: str) -> DataFrame:
+    """df with b and a: the last value of column before a row of its key that is not null, and the next one after.
+
+    Looks ahead in the same order: a frame that ends with the partition is computed anew for every row, in the square of its rows.
+    """
+    before = F.last(column, ignorenulls=True).over(_by(key).rowsBetween(*BEFORE))
+    return df.withColumns({"b": before, "a": F.expr(f"lead({column}) ignore nulls over (partition by {key} order by seq)")})
 
 
-def _next_after(column: str, key: str) -> Column:
-    """Looks ahead in the order of _last_before: a frame that ends with the partition is computed anew for every row, in the square of its rows."""
-    return F.expr(f"lead({column}) ignore nulls over (partition by {key} order by seq)")
+def _since_first(statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """Statements from the first of rows on. Any row bounds the first one, so that the search for it skips the files and row groups behind."""
+    some = rows.select("seq").first()
+    if some is None:
+        return statements.where(F.lit(False))
+    return statements.where(F.col("seq") >= rows.where(F.col("seq") <= some.seq).agg(F.min("seq")).first()[0])
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -54,9 +62,9 @@ def temp_file_query(temps: DataFrame, statements: DataFrame, gate: bool = True)
     """
     st = statements.where("pid <> ''").where(~is_transaction_command(F.col("query"))).select("seq", "pid", "query", F.lit(0).alias("kind"))
     if gate:
-        st = st.join(F.broadcast(temps.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).drop("from_")
+        st = _since_first(st, temps)
     both = _keyed(temps.withColumn("kind", F.lit(1)).withColumn("query", F.lit(None).cast("string")).unionByName(st, allowMissingColumns=True))
-    both = both.withColumns({"b": _last_before("query", "own"), "a": _next_after("query", "own")})
+    both = _around(both, "query", "own")
     return both.where("kind = 1").withColumn("query", F.coalesce(F.nullif("own_query", F.lit("")), "b", "a")).drop("kind", "a", "b", "own_query", "own")
 
 
@@ -65,14 +73,15 @@ def locks(messages: DataFrame, statements: DataFrame) -> DataFrame:
 
     The query: the last one before the key is first seen, else the first one after.
     """
-    st = statements.where("pid <> ''").join(F.broadcast(messages.agg(F.min("seq").alias("from_"))), F.col("seq") >= F.col("from_")).select("seq", "pid", "query")
-    keys = messages.groupBy("lock_key").agg(
-        F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"), F.min_by("pid", "seq").alias("pid"), F.min_by("lock_type", "seq").alias("lock_type"),
+    st = _since_first(statements.where("pid <> ''"), messages).select("seq", "pid", "query")
+    # a key begins with its process; texts that are only grouped by leave the aggregation to hashes, where min_by would sort
+    keys = messages.groupBy("pid", "lock_key").agg(
+        F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"), F.min_by("lock_type", "seq").alias("lock_type"),
         F.min_by("resource_type", "seq").alias("resource_type"), F.max_by("wait_ms", "seq").alias("last_wait_ms"), F.max((F.col("event_type") == "acquired").cast("int")).alias("acquired"),
         F.max("relation").alias("relation"),
     )
     both = keys.withColumn("query", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).unionByName(st.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    return both.withColumns({"b": _last_before("query", "pid"), "a": _next_after("query", "pid")}).where("kind = 1").withColumn("query", F.coalesce("b", "a")).drop("kind", "a", "b")
+    return _around(both, "query", "pid").where("kind = 1").withColumn("query", F.coalesce("b", "a")).drop("kind", "a", "b")
 
 
 def waits(messages: DataFrame, details: DataFrame, deadlocks: DataFrame, statements: DataFrame) -> DataFrame:

@@ -62,20 +62,23 @@ def statements(entries: DataFrame, lower: bool = True) -> DataFrame:
     has = m().contains("STATEMENT:") | m().contains("QUERY:")
     if lower:
         has = has | m().contains("statement:") | (m().contains("duration:") & m().contains("execute"))
-    # explode, inline (below): a filter on what is made of a message does not make it again
-    return entries.where(has).select("seq", "pid", F.explode(F.array(Q.normalize_ws(Q.statement_text(m())))).alias("query")).where("query <> ''")
+    # explode, inline (below): what is made of a message is not made again where it is used again
+    text = entries.where(has).select("seq", "pid", F.explode(F.array(Q.statement_text(m()))).alias("query"))
+    return text.select("seq", "pid", Q.normalize_ws(F.col("query")).alias("query")).where("query <> ''")
 
 
 def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
     """seq, ts, size, pid, own_query of temporary files; in compat also of messages about them without a path."""
     e = entries.where(m().contains("temporary file") & (F.lit(True) if compat else m().contains("path")))
-    return e.select("seq", "ts", V.temp_size(m()).alias("size"), "pid", Q.normalize_ws(Q.statement_text(m())).alias("own_query"))
+    e = e.select("seq", "ts", V.temp_size(m()).alias("size"), "pid", F.explode(F.array(Q.statement_text(m()))).alias("own_query"))
+    return e.withColumn("own_query", Q.normalize_ws(F.col("own_query")))
 
 
 def lock_messages(entries: DataFrame) -> DataFrame:
     """seq, ts, event_type, log_pid, pid, lock_type, resource, resource_type, wait_ms, lock_key, relation, blocking_pid."""
     e = entries.where(m().contains("process ") & (m().contains("still waiting for ") | m().contains("acquired ")))
-    e = e.select("seq", "ts", "message", F.col("pid").alias("log_pid"), F.inline(F.array(V.lock_event(m())))).where("wait_ms is not null")
+    e = e.select("seq", "ts", "message", F.col("pid").alias("log_pid"), F.explode(F.array(V.lock_parts(m()))).alias("parts"))
+    e = e.select("seq", "ts", "message", "log_pid", V.lock_event_of(F.col("parts")).alias("event")).select("seq", "ts", "message", "log_pid", "event.*").where("wait_ms is not null")
     return e.select(
         "seq", "ts", "event_type", "log_pid", "pid", "lock_type", "resource", V.resource_type(F.col("resource")).alias("resource_type"), "wait_ms",
         F.concat_ws("-", "pid", "lock_type", "resource").alias("lock_key"), V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid"),

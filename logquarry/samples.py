@@ -23,11 +23,14 @@ def _clock(ts: Column) -> Column:
 DAY_SHIFT = 28
 
 
-def _lines(df: DataFrame, ts: str, keys: list, texts: list[Column]) -> DataFrame:
-    """Rows with texts become lines in the order of (ts, keys), which tell rows apart. Lines are counted in a day, so no two have one number."""
+def _lines(df: DataFrame, ts: str, keys: list, texts: list[Column], parts: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with texts become lines in the order of (ts, keys), which tell rows apart. Lines are counted in a day, so no two have one number.
+
+    parts: columns that several texts are made of, rendered once for a row when it has its place.
+    """
     day = F.expr("us div 86400000000")
     rows = df.withColumn("us", F.unix_micros(ts)).withColumn("day", day).where("day is not null")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("day").orderBy("us", *keys)))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("day").orderBy("us", *keys))).withColumns(parts or {})
     out = rows.select("day", "at", F.posexplode(F.array(*texts)).alias("k", "line")).where("line is not null")
     return out.select(F.lit(0).alias("file_idx"), F.shiftleft("day", DAY_SHIFT).alias("split_start"), (F.col("at").cast("long") * len(texts) + F.col("k")).alias("line_no"), "line")
 
@@ -73,8 +76,8 @@ def _who() -> Column:
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_parts as a log of the server's standard error."""
-    entry, statement = _texts(_s(_clock(F.col("ts")), " UTC [", F.col("pid"), "]: ", _who(), " "))
-    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s("\t", F.col("tail")), statement])
+    entry, statement = _texts(_s(F.col("clock"), " UTC [", F.col("pid"), "]: ", _who(), " "))
+    return _lines(event_parts(spark, sf_dir), "ts", ["event_id"], [entry, _s("\t", F.col("tail")), statement], {"clock": _clock(F.col("ts"))})
 
 
 def rds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,20 +223,22 @@ def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
     x = x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.timestamp_micros(F.unix_micros("l_shipdate") + (F.col("l_orderkey") % 86400) * 1_000_000 + F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("ts"))
     pid = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).cast("string")
+    parts = {"clock": _clock(F.col("ts")), "pid": pid}
+    clock, pid = F.col("clock"), F.col("pid")
     other = (F.col("l_orderkey") % 50 + 1).cast("string")
-    head = _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u LOG:  ")
+    head = _s(clock, " UTC [", pid, "]: db=d,user=u LOG:  ")
     temp = _s(head, 'temporary file: path "base/pgsql_tmp/t', pid, '.0", size ', F.col("price").cast("string"))
-    statement = _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u STATEMENT:  SELECT ", (F.col("q") % 5).cast("string"), " FROM part_", (F.col("l_partkey") % 8).cast("string"), " WHERE k = ", F.col("l_partkey").cast("string"))
+    statement = _s(clock, " UTC [", pid, "]: db=d,user=u STATEMENT:  SELECT ", (F.col("q") % 5).cast("string"), " FROM part_", (F.col("l_partkey") % 8).cast("string"), " WHERE k = ", F.col("l_partkey").cast("string"))
     locked = F.col("q") % 4 == 0
     mode = F.when(F.col("l_linenumber") % 2 == 0, "ShareLock").otherwise("ExclusiveLock")
     resource = F.when(F.col("l_returnflag") == "R", _s("relation ", F.col("l_partkey").cast("string"), " of database 5")).when(F.col("l_returnflag") == "A", _s("transaction ", F.col("l_partkey").cast("string"))).otherwise(F.lit("tuple (0,1) of relation 7"))
     wait = F.when(locked, _s(head, "process ", pid, " still waiting for ", mode, " on ", resource, " after ", F.format_string("%.2f", F.col("price") / 100), " ms"))
     blocked = locked & (F.col("l_linenumber") > 1)
-    busy = F.when(blocked, _s(_clock(F.col("ts")), " UTC [", other, "]: db=d,user=h LOG:  duration: 1.000 ms  statement: SELECT 7 FROM holder_", (F.col("l_partkey") % 3).cast("string")))
-    detail = F.when(blocked, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u DETAIL:  Process holding the lock: ", other, ". Wait queue: ", pid, "."))
+    busy = F.when(blocked, _s(clock, " UTC [", other, "]: db=d,user=h LOG:  duration: 1.000 ms  statement: SELECT 7 FROM holder_", (F.col("l_partkey") % 3).cast("string")))
+    detail = F.when(blocked, _s(clock, " UTC [", pid, "]: db=d,user=u DETAIL:  Process holding the lock: ", other, ". Wait queue: ", pid, "."))
     got = F.when(locked & (F.col("q") % 8 == 0), _s(head, "process ", pid, " acquired ", mode, " on ", resource, " after ", F.format_string("%.2f", F.col("price") / 50), " ms"))
-    dead = F.when(F.col("q") == 49, _s(_clock(F.col("ts")), " UTC [", pid, "]: db=d,user=u ERROR:  deadlock detected"))
-    return _lines(x, "ts", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [temp, statement, busy, wait, detail, got, dead])
+    dead = F.when(F.col("q") == 49, _s(clock, " UTC [", pid, "]: db=d,user=u ERROR:  deadlock detected"))
+    return _lines(x, "ts", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [temp, statement, busy, wait, detail, got, dead], parts)
 
 
 def upkeep_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import after
+from logquarry.functions.text import after, drop_bytes
 
 _CLOCK = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?"
 _ZONE = r"(?:[A-Z]{3,5}|GMT[+-]\d{1,2}|[+-]\d{2}(?:\d{2})?)"
@@ -39,7 +39,9 @@ def stderr_head(line: Column) -> Column:
 
 def stderr(line: Column, head: Column) -> Column:
     """The entry of a line with its stderr_head."""
-    return _entry(_part(head, f"^{_CLOCK}", 0).try_cast("timestamp"), F.substring(line, F.length(head) + 1, F.length(line)))
+    # a clock has one space inside, and a space or tab behind it
+    clock = F.substring_index(F.when(head.contains("\t"), F.substring_index(head, "\t", 1)).otherwise(head), " ", 2)
+    return _entry(clock.try_cast("timestamp"), drop_bytes(line, F.octet_length(head)))
 
 
 def rds(line: Column) -> Column:

@@ -396,3 +396,34 @@ def test_work_is_sorted_once(lines):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     plan = A.waits(msgs, facts.lock_details(e), facts.deadlocks(e), st)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_first_of_a_kind_is_no_join(lines):
+    """Statements before the first temporary file or lock are left out by its number; a join with it parsed all lock messages once more. Locks meet by hashes, not by a sort."""
+    e = facts.work(entries_from_lines(lines(STDERR + "2025-01-01 11:00:00 UTC [1]: LOG:  process 1 still waiting for ShareLock on relation 1 after 1.0 ms\n")))
+    st, temps, msgs = facts.statements(e), facts.temp_events(e), facts.lock_messages(e)
+    for df in (A.temp_file_query(temps, st), A.locks(msgs, st)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    plan = A.locks(msgs, st).select("query", "seq", "acquired", "last_wait_ms")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_no_lock_and_no_temporary_file(lines):
+    e = entries_from_lines(lines("2025-01-01 10:00:00 UTC [1]: STATEMENT:  select 1\n"))
+    st = facts.statements(e)
+    assert A.temp_file_query(facts.temp_events(e), st).count() == 0 and A.locks(facts.lock_messages(e), st).count() == 0
+
+
+def test_clock_is_rendered_once(spark):
+    """Each text of a row rendered its time anew."""
+    from logquarry import samples
+
+    plan = samples.work_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format") == 1
+
+
+def test_heads_of_lines(lines):
+    text = "2025-01-01 10:00:00.25\tUTC\t[1]: LOG:  größer 😀 statement: select 'é'\n2025-01-01 10:00:01 UTC\n2025-01-01 10:00:02 +02 [2]: LOG:  é\n"
+    got = [(str(r.ts), r.message, r.pid) for r in entries_from_lines(lines(text)).orderBy("seq").collect()]
+    assert [g[1:] for g in got] == [("[1]: LOG:  größer 😀 statement: select 'é'", "1"), ("", ""), ("[2]: LOG:  é", "2")]
+    assert got[0][0].endswith("10:00:00.250000")
