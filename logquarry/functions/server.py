@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .text import after
 
 _LOCK = r"process ([0-9]+).*?(still waiting for|acquired) (.*?) on (.*?) after ([0-9]+\.?[0-9]*|\.[0-9]+)"
+#: Stands between the groups of a lock message.
+_BETWEEN = "\x1f"
 
 
 def temp_size(message: Column) -> Column:
@@ -21,8 +23,14 @@ def lock_event(message: Column) -> Column:
 
 
 def lock_parts(message: Column) -> Column:
-    """The five groups of a lock message, as an array of strings; empty strings if it is none."""
-    return F.array(*[F.regexp_extract(message, _LOCK, i) for i in range(1, 6)])
+    """The five groups of a lock message, as an array of strings; empty strings if it is none.
+
+    One search gives all of them, put together with a character between that messages do not hold; for one that does, each is searched for.
+    """
+    one = F.regexp_replace(message, rf"^(?s:.*?){_LOCK}(?s:.*)$", _BETWEEN.join(f"${i}" for i in range(1, 6)))
+    parts = F.split(one, _BETWEEN)
+    each = F.array(*[F.regexp_extract(message, _LOCK, i) for i in range(1, 6)])
+    return F.when(message.contains(_BETWEEN), each).when(one.contains(_BETWEEN), parts).otherwise(F.array(*[F.lit("")] * 5))
 
 
 def lock_event_of(parts: Column) -> Column:

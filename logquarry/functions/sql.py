@@ -14,6 +14,7 @@ from .text import after, first_filled
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKENS = r"""(?s)'(?:[^']++|'')*+'?|"[^"]*+"?|[ \t\r\n]++|\$[0-9]*|(?<![A-Za-z0-9_])-?[0-9][0-9.]*|[A-Za-z0-9_]+|."""
+_LITERALS = r"""(?s)'(?:[^']++|'')*+'?|\$[0-9]*|(?<![A-Za-z0-9_])-?[0-9][0-9.]*"""
 _EXECUTION = r"(?s)^(.*?)(execute|statement)([^:]*):( *)(.*)$"
 
 
@@ -54,16 +55,27 @@ def plan_text(message: Column) -> Column:
     return F.trim(F.when(text.startswith("Query Text:"), F.when(text.contains("\n"), lined).otherwise(flat)).otherwise(text))
 
 
+def _spaced(text: Column) -> Column:
+    """Whether a text has white space other than single spaces."""
+    return reduce(or_, [text.contains(x) for x in ("  ", "\t", "\r", "\n")])
+
+
 def normalize_ws(query: Column) -> Column:
-    more = reduce(or_, [query.contains(x) for x in ("  ", "\t", "\r", "\n")])
-    return F.trim(F.when(more, F.regexp_replace(query, r"[ \t\r\n]+", " ")).otherwise(query))
+    return F.trim(F.when(_spaced(query), F.regexp_replace(query, r"[ \t\r\n]+", " ")).otherwise(query))
 
 
 def normalize_query(query: Column) -> Column:
-    """Literals, parameters and numbers as ?, one space for white space, ASCII letters lower, temporary schemas without numbers."""
+    """Literals, parameters and numbers as ?, one space for white space, ASCII letters lower, temporary schemas without numbers.
+
+    Only a quoted name can hold what looks like a literal and is none; a text without one needs no tokens.
+    """
     one = lambda t: F.when(t.rlike(r"^(?:'|\$|-?[0-9])"), "?").when(t.rlike(r"^[ \t\r\n]"), " ").otherwise(ascii_lower(t))
     text = F.array_join(F.transform(F.regexp_extract_all(query, F.lit(_TOKENS), F.lit(0)), one), "")
-    return F.regexp_replace(text, r"pg_(temp|toast)(?:_[0-9]+)+", r"pg_$1_?")
+    # conditions ask the query, so that nothing made of it is made twice
+    bare = F.regexp_replace(query, _LITERALS, "?")
+    bare = F.when(_spaced(query), F.regexp_replace(bare, r"[ \t\r\n]+", " ")).otherwise(bare)
+    bare = F.when(F.length(query) == F.octet_length(query), F.lower(bare)).otherwise(ascii_lower(bare))
+    return F.regexp_replace(F.when(query.contains('"'), text).otherwise(bare), r"pg_(temp|toast)(?:_[0-9]+)+", r"pg_$1_?")
 
 
 _INNER = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"

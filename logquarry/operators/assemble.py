@@ -10,6 +10,8 @@ prefix sum over lines, in the same two phases.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +32,16 @@ def _trim(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
-def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str = "drop", syslog: bool = False) -> DataFrame:
+def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str = "drop", syslog: bool = False, items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Entries of text lines of any dialect.
 
     A line that starts with white space, or that no dialect parses, continues the entry before it.
     foreign="drop" leaves out lines that start with a digit but do not parse (output of backup
     tools); "glue" appends them. syslog=True also joins split messages of one process.
+
+    items: what is made of entries, each by itself; it is written and returned in place of them. While
+    lines are parsed it is made of their heads, and stands if no line of the log goes on; otherwise
+    it is made anew of whole entries.
     """
     tab = after(F.col("line"), "#011")
     own = F.when(F.col("line").contains("#011"), F.concat(F.lit(" "), tab)).otherwise(F.col("line"))
@@ -54,12 +60,17 @@ def entries_from_lines(lines: DataFrame, year: int | None = None, foreign: str =
     if foreign == "drop":
         parsed = parsed.where(F.col("is_new") | ~F.col("line").rlike("^[0-9]"))
     if syslog:
-        return _join_chunks(parsed)
+        return _join_chunks(parsed) if items is None else staged(items(_join_chunks(parsed)))
     seen = Observation()
     own = F.when(~F.col("is_new"), _trim(F.col("line"))).alias("t")
     parsed = parsed.select("file_idx", "split_start", line_seq(F.col("file_idx"), F.col("split_start"), F.col("line_no")).alias("seq"), "is_new", "ts", "head", "own_pid", own)
-    parsed = staged(parsed.observe(seen, F.count_if(~F.col("is_new")).alias("more")))
-    first = parsed.where("is_new").select("seq", "ts", F.col("head").alias("message"), "own_pid")
+    parsed = parsed.observe(seen, F.count_if(~F.col("is_new")).alias("more"))
+    heads = lambda df: df.where("is_new").select("seq", "ts", F.col("head").alias("message"), "own_pid")
+    if items is not None:
+        made = staged(items(canonical(heads(parsed))))
+        return staged(items(entries_from_lines(lines, year, foreign))) if seen.get["more"] else made
+    parsed = staged(parsed)
+    first = heads(parsed)
     if not seen.get["more"]:
         return canonical(first)
     tails = _tails(parsed).select(F.col("of").alias("seq"), "tail")

@@ -39,6 +39,18 @@ def _since_first(statements: DataFrame, rows: DataFrame) -> DataFrame:
     return statements.where(F.col("seq") >= rows.where(F.col("seq") <= some.seq).agg(F.min("seq")).first()[0])
 
 
+#: Bits of the hashes of keys that are sent to every task: 16 MB.
+BITS = 1 << 27
+
+
+def near(rows: DataFrame, of: DataFrame, key: str = "pid") -> DataFrame:
+    """Rows whose key may be one of those in ``of``, and all whose key is: told by bits of hashes, so that the others are not shuffled. What an association then finds is the same."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words = of.select(bit.alias("bit_")).groupBy(F.shiftright("bit_", 6).alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(bit_ & 63 as int)))").alias("bits_"))
+    marked = rows.withColumn("bit_", bit).withColumn("word_", F.shiftright("bit_", 6))
+    return marked.join(F.broadcast(words), "word_").where(F.expr("getbit(bits_, cast(bit_ & 63 as int)) = 1")).select(*rows.columns)
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """df with own: the process id, or for a row without one a key that no other row has, so that such rows spread."""
     return df.withColumn("own", F.when(F.col("pid") == "", F.concat(F.lit("@"), F.col("seq").cast("string"))).otherwise(F.col("pid")))

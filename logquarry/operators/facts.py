@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import events as E
@@ -29,6 +30,44 @@ def work(entries: DataFrame) -> DataFrame:
     return kept if on_disk(entries) else staged(kept.where(reduce(or_, [m().contains(x) for x in WORK])))
 
 
+def work_items(*kinds: str) -> Callable[[DataFrame], DataFrame]:
+    """A function from entries to seq, ts, pid and what they hold of the kinds (statement, temp, lock, detail, deadlock), in one pass.
+
+    What it gives is read by statements_of, temps_of, lock_messages_of, lock_details_of and deadlocks_of.
+    """
+
+    def items(entries: DataFrame) -> DataFrame:
+        # a search passes over the whole text: what is not of a kind is told by as few as there can be
+        e = entries.select("seq", "ts", "message", "pid")
+        columns, some = ["seq", "ts", "pid"], []
+        if "statement" in kinds or "temp" in kinds:
+            e = e.select("*", F.explode(F.array(Q.statement_text(m()))).alias("query"))
+            e = e.withColumn("query", F.nullif(Q.normalize_ws(F.col("query")), F.lit("")))
+            columns.append("query")
+        if "statement" in kinds:
+            some.append(F.col("query").isNotNull())
+        if "temp" in kinds:
+            e = e.withColumn("size", F.when(m().contains("temporary file") & m().contains("path"), V.temp_size(m())))
+            columns.append("size")
+            some.append(F.col("size").isNotNull())
+        if "lock" in kinds:
+            e = e.select("*", F.explode(F.array(F.when(is_lock(), V.lock_parts(m())))).alias("parts"))
+            e = e.withColumns({"event": F.when(F.col("parts").isNotNull(), V.lock_event_of(F.col("parts"))), "r": F.when(F.col("parts").isNotNull(), V.relation(m())), "b": F.when(F.col("parts").isNotNull(), V.blocking_pid(m()))})
+            columns += ["event", F.col("r").alias("relation"), F.col("b").alias("blocking_pid")]
+            some.append(F.col("event.wait_ms").isNotNull())
+        if "detail" in kinds:
+            e = e.withColumn("detail", F.when(is_detail(), detail()))
+            columns.append("detail")
+            some.append(F.col("detail").isNotNull())
+        if "deadlock" in kinds:
+            e = e.withColumn("dead", is_deadlock())
+            columns.append("dead")
+            some.append(F.col("dead"))
+        return e.where(reduce(or_, some)).select(*columns)
+
+    return items
+
+
 def executions(entries: DataFrame, memo: bool = False) -> DataFrame:
     """seq, ts, duration_ms, raw_query, norm_query, query_id, full_hash, query_type, category, pid, db, user, host, app.
 
@@ -67,6 +106,11 @@ def statements(entries: DataFrame, lower: bool = True) -> DataFrame:
     return text.select("seq", "pid", Q.normalize_ws(F.col("query")).alias("query")).where("query <> ''")
 
 
+def statements_of(items: DataFrame) -> DataFrame:
+    """statements of the entries that work_items are made of."""
+    return items.where("query is not null").select("seq", "pid", "query")
+
+
 def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
     """seq, ts, size, pid, own_query of temporary files; in compat also of messages about them without a path."""
     e = entries.where(m().contains("temporary file") & (F.lit(True) if compat else m().contains("path")))
@@ -74,26 +118,68 @@ def temp_events(entries: DataFrame, compat: bool = False) -> DataFrame:
     return e.withColumn("own_query", Q.normalize_ws(F.col("own_query")))
 
 
+def temps_of(items: DataFrame) -> DataFrame:
+    """temp_events of the entries that work_items are made of; own_query is null, not empty, where there is none."""
+    return items.where("size is not null").select("seq", "ts", "size", "pid", F.col("query").alias("own_query"))
+
+
+def is_lock() -> Column:
+    return m().contains("process ") & (m().contains("still waiting for ") | m().contains("acquired "))
+
+
 def lock_messages(entries: DataFrame) -> DataFrame:
     """seq, ts, event_type, log_pid, pid, lock_type, resource, resource_type, wait_ms, lock_key, relation, blocking_pid."""
-    e = entries.where(m().contains("process ") & (m().contains("still waiting for ") | m().contains("acquired ")))
-    e = e.select("seq", "ts", "message", F.col("pid").alias("log_pid"), F.explode(F.array(V.lock_parts(m()))).alias("parts"))
-    e = e.select("seq", "ts", "message", "log_pid", V.lock_event_of(F.col("parts")).alias("event")).select("seq", "ts", "message", "log_pid", "event.*").where("wait_ms is not null")
+    e = entries.where(is_lock()).select("seq", "ts", "message", F.col("pid").alias("log_pid"), F.explode(F.array(V.lock_parts(m()))).alias("parts"))
+    e = e.select("seq", "ts", "message", "log_pid", V.lock_event_of(F.col("parts")).alias("event"))
+    return _lock_rows(e.select("seq", "ts", "log_pid", "event", V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid")))
+
+
+def _lock_rows(events: DataFrame) -> DataFrame:
+    e = events.select("seq", "ts", "log_pid", "event.*", "relation", "blocking_pid").where("wait_ms is not null")
     return e.select(
         "seq", "ts", "event_type", "log_pid", "pid", "lock_type", "resource", V.resource_type(F.col("resource")).alias("resource_type"), "wait_ms",
-        F.concat_ws("-", "pid", "lock_type", "resource").alias("lock_key"), V.relation(m()).alias("relation"), V.blocking_pid(m()).alias("blocking_pid"),
+        F.concat_ws("-", "pid", "lock_type", "resource").alias("lock_key"), "relation", "blocking_pid",
     )
 
 
+def lock_messages_of(items: DataFrame) -> DataFrame:
+    """lock_messages of the entries that work_items are made of."""
+    return _lock_rows(items.withColumnRenamed("pid", "log_pid"))
+
+
 def lock_details(entries: DataFrame) -> DataFrame:
     """seq, pid, blocking_pid, relation of DETAIL and CONTEXT lines about a wait."""
-    e = entries.where((m().contains("Process holding the lock: ") | m().contains('in relation "')) & ~m().contains("still waiting for ") & ~m().contains("acquired "))
-    e = e.select("seq", "pid", F.inline(F.array(F.struct(V.blocking_pid(m()).alias("blocking_pid"), V.relation(m()).alias("relation")))))
-    return e.where("pid <> '' and (blocking_pid <> '' or relation <> '')")
+    return _detail_rows(entries.where(is_detail()).select("seq", "pid", F.explode(F.array(detail())).alias("detail")))
+
+
+def is_detail() -> Column:
+    return (m().contains("Process holding the lock: ") | m().contains('in relation "')) & ~m().contains("still waiting for ") & ~m().contains("acquired ")
+
+
+def detail() -> Column:
+    return F.struct(V.blocking_pid(m()).alias("blocking_pid"), V.relation(m()).alias("relation"))
+
+
+def _detail_rows(details: DataFrame) -> DataFrame:
+    return details.select("seq", "pid", "detail.*").where("pid <> '' and (blocking_pid <> '' or relation <> '')")
+
+
+def lock_details_of(items: DataFrame) -> DataFrame:
+    """lock_details of the entries that work_items are made of."""
+    return _detail_rows(items.where("detail is not null"))
+
+
+def is_deadlock() -> Column:
+    return m().contains("deadlock detected") & m().contains("ERROR:")
 
 
 def deadlocks(entries: DataFrame) -> DataFrame:
-    return entries.where(m().contains("deadlock detected") & m().contains("ERROR:")).select("seq", "ts", "pid")
+    return entries.where(is_deadlock()).select("seq", "ts", "pid")
+
+
+def deadlocks_of(items: DataFrame) -> DataFrame:
+    """deadlocks of the entries that work_items are made of."""
+    return items.where("dead").select("seq", "ts", "pid")
 
 
 def connection_events(entries: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[(kinds[k](c).alias(c) if k in kinds else F.col(c)) for c, k in df.dtypes])
 
 
-def _register(name: str, plan: Callable[[DataFrame], DataFrame], log: Callable, oracle: str | None) -> None:
+def _register(name: str, plan: Callable[[DataFrame], DataFrame], log: Callable, oracle: str | None, items: Callable[[DataFrame], DataFrame] | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return _plain(plan(entries_from_lines(log(spark, sf_dir))))
+        return _plain(plan(entries_from_lines(log(spark, sf_dir), items=items)))
 
     query.__name__ = name
     QUERIES[name] = query
@@ -252,44 +252,46 @@ _W = """
 """
 
 
-def _w(name: str, plan: Callable[[DataFrame], DataFrame], oracle: str | None) -> None:
-    _register(name, lambda e: plan(facts.work(e)), samples.work_log, oracle and _W + oracle)
+def _w(name: str, plan: Callable[[DataFrame], DataFrame], oracle: str | None, *kinds: str) -> None:
+    _register(name, plan, samples.work_log, oracle and _W + oracle, facts.work_items(*kinds))
 
 
 def _locks(e: DataFrame) -> DataFrame:
-    return A.locks(facts.lock_messages(e), facts.statements(e))
+    messages = facts.lock_messages_of(e)
+    return A.locks(messages, A.near(facts.statements_of(e), messages))
 
 
 def _waits(e: DataFrame) -> DataFrame:
-    return A.waits(facts.lock_messages(e), facts.lock_details(e), facts.deadlocks(e), facts.statements(e))
+    return A.waits(facts.lock_messages_of(e), facts.lock_details_of(e), facts.deadlocks_of(e), facts.statements_of(e))
 
 
-_temps = lambda e: A.temp_file_query(facts.temp_events(e), facts.statements(e))
-_w("temp_size", lambda e: facts.temp_events(e).select("ts", "pid", "size"), "SELECT make_timestamp(t) AS ts, pid::VARCHAR AS pid, price AS size FROM l")
-_w("stmt_text", lambda e: facts.statements(e).select("pid", "query"), "SELECT pid::VARCHAR AS pid, raw AS query FROM l UNION ALL SELECT (ok % 50 + 1)::VARCHAR, 'SELECT 7 FROM holder_' || pk % 3 FROM l WHERE locked AND ln > 1")
-_w("tempfile_stats", lambda e: server.temp_stats(facts.temp_events(e)), "SELECT count(*) AS count, sum(price)::BIGINT AS total_size, (sum(price) // count(*))::BIGINT AS avg_size FROM l")
-_w("tempfile_assoc", lambda e: _temps(e).select("pid", "size", "query"), "SELECT pid::VARCHAR AS pid, price AS size, raw AS query FROM l")
+_TEMPS, _LOCKS, _WAITS = ("temp", "statement"), ("lock", "statement"), ("lock", "detail", "deadlock", "statement")
+_temps = lambda e: A.temp_file_query(facts.temps_of(e), facts.statements_of(e))
+_w("temp_size", lambda e: facts.temps_of(e).select("ts", "pid", "size"), "SELECT make_timestamp(t) AS ts, pid::VARCHAR AS pid, price AS size FROM l", "temp")
+_w("stmt_text", lambda e: facts.statements_of(e).select("pid", "query"), "SELECT pid::VARCHAR AS pid, raw AS query FROM l UNION ALL SELECT (ok % 50 + 1)::VARCHAR, 'SELECT 7 FROM holder_' || pk % 3 FROM l WHERE locked AND ln > 1", "statement")
+_w("tempfile_stats", lambda e: server.temp_stats(facts.temps_of(e)), "SELECT count(*) AS count, sum(price)::BIGINT AS total_size, (sum(price) // count(*))::BIGINT AS avg_size FROM l", "temp")
+_w("tempfile_assoc", lambda e: _temps(e).select("pid", "size", "query"), "SELECT pid::VARCHAR AS pid, price AS size, raw AS query FROM l", *_TEMPS)
 _TQ = "SELECT hash AS full_hash, min(id) AS query_id, min(norm) AS norm_query, count(*) AS count, sum(price)::BIGINT AS total_size, min(raw) AS raw_query FROM h GROUP BY 1"
-_w("tempfile_queries", lambda e: server.temp_queries(_temps(e)), _TQ)
-_w("top_temp_queries", lambda e: server.top_temp_queries(server.temp_queries(_temps(e)), 3), _TQ + " ORDER BY total_size DESC, query_id LIMIT 3")
+_w("tempfile_queries", lambda e: server.temp_queries(_temps(e)), _TQ, *_TEMPS)
+_w("top_temp_queries", lambda e: server.top_temp_queries(server.temp_queries(_temps(e)), 3), _TQ + " ORDER BY total_size DESC, query_id LIMIT 3", *_TEMPS)
 _TH = ", s AS (SELECT min(t) AS lo, max(t) AS hi FROM l)"
-_w("temp_hist", lambda e: server.temp_hist(facts.temp_events(e)), _TH + " SELECT least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM l, s GROUP BY 1")
-_w("q_temp_hist", lambda e: server.temp_hist(A.with_query_id(_temps(e)), keys=("query_id",)), ", s AS (SELECT id AS sid, min(t) AS lo, max(t) AS hi FROM h GROUP BY 1) SELECT id AS query_id, least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM h JOIN s ON id = sid GROUP BY 1, 2")
-_w("bin_temp", lambda e: bins.binned(facts.temp_events(e), F.sum("size").alias("bytes")), _TH + ", b AS (SELECT lo, greatest(CASE WHEN hi - lo < 3600000000 THEN 60000000 WHEN hi - lo < 21600000000 THEN 300000000 WHEN hi - lo < 86400000000 THEN 900000000 ELSE 3600000000 END, (hi - lo) // 200 + 1) AS width FROM s) SELECT (t - lo) // width AS bin, count(*) AS count, sum(price)::BIGINT AS bytes FROM l, b GROUP BY 1")
-_w("lock_parse", lambda e: facts.lock_messages(e).select("ts", "event_type", "pid", "lock_type", "resource", "resource_type", "wait_ms"), "SELECT make_timestamp(t) AS ts, 'waiting' AS event_type, pid::VARCHAR AS pid, mode AS lock_type, res AS resource, kind AS resource_type, round(price / 100, 3) AS wait_ms FROM l WHERE locked UNION ALL SELECT make_timestamp(t), 'acquired', pid::VARCHAR, mode, res, kind, round(price / 50, 3) FROM l WHERE got")
-_w("lock_totals", lambda e: server.lock_totals(facts.lock_messages(e), facts.deadlocks(e)), "SELECT count(*) FILTER (locked) AS locks, count(*) FILTER (got) AS acquired, round(sum(price / 50) FILTER (got), 3) AS total_wait_ms, count(*) FILTER (locked) - count(*) FILTER (got) AS waiting, round(sum(price / 50) FILTER (got) / count(*) FILTER (locked), 3) AS avg_wait_ms, count(*) FILTER (q = 49) AS deadlocks FROM l")
+_w("temp_hist", lambda e: server.temp_hist(facts.temps_of(e)), _TH + " SELECT least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM l, s GROUP BY 1", "temp")
+_w("q_temp_hist", lambda e: server.temp_hist(A.with_query_id(_temps(e)), keys=("query_id",)), ", s AS (SELECT id AS sid, min(t) AS lo, max(t) AS hi FROM h GROUP BY 1) SELECT id AS query_id, least((t - lo) // greatest(greatest(hi - lo, 1000000) // 6, 1), 5) AS bucket_index, sum(price)::BIGINT AS bytes, count(*) AS count FROM h JOIN s ON id = sid GROUP BY 1, 2", *_TEMPS)
+_w("bin_temp", lambda e: bins.binned(facts.temps_of(e), F.sum("size").alias("bytes")), _TH + ", b AS (SELECT lo, greatest(CASE WHEN hi - lo < 3600000000 THEN 60000000 WHEN hi - lo < 21600000000 THEN 300000000 WHEN hi - lo < 86400000000 THEN 900000000 ELSE 3600000000 END, (hi - lo) // 200 + 1) AS width FROM s) SELECT (t - lo) // width AS bin, count(*) AS count, sum(price)::BIGINT AS bytes FROM l, b GROUP BY 1", "temp")
+_w("lock_parse", lambda e: facts.lock_messages_of(e).select("ts", "event_type", "pid", "lock_type", "resource", "resource_type", "wait_ms"), "SELECT make_timestamp(t) AS ts, 'waiting' AS event_type, pid::VARCHAR AS pid, mode AS lock_type, res AS resource, kind AS resource_type, round(price / 100, 3) AS wait_ms FROM l WHERE locked UNION ALL SELECT make_timestamp(t), 'acquired', pid::VARCHAR, mode, res, kind, round(price / 50, 3) FROM l WHERE got", "lock")
+_w("lock_totals", lambda e: server.lock_totals(facts.lock_messages_of(e), facts.deadlocks_of(e)), "SELECT count(*) FILTER (locked) AS locks, count(*) FILTER (got) AS acquired, round(sum(price / 50) FILTER (got), 3) AS total_wait_ms, count(*) FILTER (locked) - count(*) FILTER (got) AS waiting, round(sum(price / 50) FILTER (got) / count(*) FILTER (locked), 3) AS avg_wait_ms, count(*) FILTER (q = 49) AS deadlocks FROM l", "lock", "deadlock")
 for _k, _v, _n in (("lock_type", "mode", "lock_types"), ("resource_type", "kind", "resource_types")):
-    _w(_n, lambda e, k=_k: server.lock_dimension(_locks(e), k), f"SELECT {_v} AS {_k}, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 3) AS percent FROM l WHERE locked GROUP BY 1")
-_w("lock_query_assoc", lambda e: _locks(e).where("query is not null").select("pid", "lock_key", "last_wait_ms", "query"), "SELECT pid::VARCHAR AS pid, pid || '-' || mode || '-' || res AS lock_key, round(wait, 3) AS last_wait_ms, raw AS query FROM h WHERE locked AND seen")
+    _w(_n, lambda e, k=_k: server.lock_dimension(_locks(e), k), f"SELECT {_v} AS {_k}, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 3) AS percent FROM l WHERE locked GROUP BY 1", *_LOCKS)
+_w("lock_query_assoc", lambda e: _locks(e).where("query is not null").select("pid", "lock_key", "last_wait_ms", "query"), "SELECT pid::VARCHAR AS pid, pid || '-' || mode || '-' || res AS lock_key, round(wait, 3) AS last_wait_ms, raw AS query FROM h WHERE locked AND seen", *_LOCKS)
 _KR = "hash AS full_hash, id AS query_id, acquired_count, round(acquired_ms, 3) AS acquired_ms, waiting_count, round(waiting_ms, 3) AS waiting_ms, round(total_wait_ms, 3) AS total_wait_ms"
 _lq = lambda e: server.lock_queries(_locks(e)).drop("norm_query")
-_w("lock_queries", _lq, f"SELECT {_KR} FROM k")
-_w("waiting_queries", lambda e: server.waiting_queries(_lq(e), 3), f"SELECT {_KR} FROM k ORDER BY k.total_wait_ms DESC, id LIMIT 3")
-_w("acquired_queries", lambda e: server.acquired_queries(_lq(e), 3).drop("avg_ms"), f"SELECT {_KR} FROM k WHERE acquired_count > 0 ORDER BY k.acquired_ms DESC, id LIMIT 3")
-_w("still_waiting_queries", lambda e: server.still_waiting_queries(_lq(e), 3), f"SELECT {_KR} FROM k WHERE waiting_count > 0 ORDER BY k.waiting_ms DESC, id LIMIT 3")
-_w("frequent_waiters", lambda e: server.frequent_waiters(_lq(e), 3).select("query_id", "locks"), "SELECT id AS query_id, acquired_count + waiting_count AS locks FROM k ORDER BY 2 DESC, 1 LIMIT 3")
-_w("blocking_pid", lambda e: _waits(e).select("pid", "blocking_pid", "event_type"), "SELECT pid::VARCHAR AS pid, CASE WHEN ln > 1 THEN (ok % 50 + 1)::VARCHAR ELSE '' END AS blocking_pid, 'waiting' AS event_type FROM l WHERE locked")
-_w("blockers", lambda e: server.blockers(_waits(e)), "SELECT 'se-' || substr(regexp_replace(base64(unhex(md5('select ? from holder_' || pk % 3))), '[+/=]', '', 'g'), 1, 6) AS query_id, count(*) AS blocked, round(sum(price / 100), 3) AS total_ms, round(avg(price / 100), 3) AS avg_ms FROM l WHERE locked AND ln > 1 GROUP BY 1")
+_w("lock_queries", _lq, f"SELECT {_KR} FROM k", *_LOCKS)
+_w("waiting_queries", lambda e: server.waiting_queries(_lq(e), 3), f"SELECT {_KR} FROM k ORDER BY k.total_wait_ms DESC, id LIMIT 3", *_LOCKS)
+_w("acquired_queries", lambda e: server.acquired_queries(_lq(e), 3).drop("avg_ms"), f"SELECT {_KR} FROM k WHERE acquired_count > 0 ORDER BY k.acquired_ms DESC, id LIMIT 3", *_LOCKS)
+_w("still_waiting_queries", lambda e: server.still_waiting_queries(_lq(e), 3), f"SELECT {_KR} FROM k WHERE waiting_count > 0 ORDER BY k.waiting_ms DESC, id LIMIT 3", *_LOCKS)
+_w("frequent_waiters", lambda e: server.frequent_waiters(_lq(e), 3).select("query_id", "locks"), "SELECT id AS query_id, acquired_count + waiting_count AS locks FROM k ORDER BY 2 DESC, 1 LIMIT 3", *_LOCKS)
+_w("blocking_pid", lambda e: _waits(e).select("pid", "blocking_pid", "event_type"), "SELECT pid::VARCHAR AS pid, CASE WHEN ln > 1 THEN (ok % 50 + 1)::VARCHAR ELSE '' END AS blocking_pid, 'waiting' AS event_type FROM l WHERE locked", *_WAITS)
+_w("blockers", lambda e: server.blockers(_waits(e)), "SELECT 'se-' || substr(regexp_replace(base64(unhex(md5('select ? from holder_' || pk % 3))), '[+/=]', '', 'g'), 1, 6) AS query_id, count(*) AS blocked, round(sum(price / 100), 3) AS total_ms, round(avg(price / 100), 3) AS avg_ms FROM l WHERE locked AND ln > 1 GROUP BY 1", *_WAITS)
 
 # --- maintenance and checkpoints ----------------------------------------------------------------------------------
 
@@ -323,21 +325,19 @@ _u("bin_ckpt", lambda e: bins.checkpoint_series(_done(e)), "SELECT time_bucket(I
 # --- several logs together ----------------------------------------------------------------------------------------
 
 
-def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _two(spark: SparkSession, sf_dir: str, items: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     a = entries_from_lines(samples.sql_log(spark, sf_dir))
-    return a, entries_from_lines(samples.work_log(spark, sf_dir).withColumn("file_idx", F.lit(1)))
+    return a, entries_from_lines(samples.work_log(spark, sf_dir).withColumn("file_idx", F.lit(1)), items=items)
 
 
 def sql_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two(spark, sf_dir)
-    b = facts.work(b)
+    a, b = _two(spark, sf_dir, facts.work_items("temp", *_LOCKS))
     return _plain(sql.detail(sql.query_stats(facts.executions(a)), server.temp_queries(_temps(b)), server.lock_queries(_locks(b))).drop("norm_query"))
 
 
 def no_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two(spark, sf_dir)
-    b = facts.work(b)
+    a, b = _two(spark, sf_dir, facts.work_items("temp", *_LOCKS))
     both = server.temp_queries(_temps(b)).select("full_hash", "query_id").union(server.lock_queries(_locks(b)).select("full_hash", "query_id"))
     return _plain(sql.without_duration(sql.query_stats(facts.executions(a)), both))
 

@@ -427,3 +427,59 @@ def test_heads_of_lines(lines):
     got = [(str(r.ts), r.message, r.pid) for r in entries_from_lines(lines(text)).orderBy("seq").collect()]
     assert [g[1:] for g in got] == [("[1]: LOG:  größer 😀 statement: select 'é'", "1"), ("", ""), ("[2]: LOG:  é", "2")]
     assert got[0][0].endswith("10:00:00.250000")
+
+
+WORK = """
+2025-01-01 10:00:00 UTC [1]: LOG:  duration: 1.0 ms  execute p1: select  0
+2025-01-01 10:00:01 UTC [2]: LOG:  temporary file: path "base/a", size 10
+2025-01-01 10:00:02 UTC [2]: STATEMENT:  commit
+2025-01-01 10:00:03 UTC [2]: STATEMENT:  select 2
+2025-01-01 10:00:04 UTC [3]: LOG:  temporary file: path "base/b", size 20 STATEMENT: select 3
+2025-01-01 10:00:05 UTC LOG:  temporary file: path "base/c", size 30 QUERY: select 4
+2025-01-01 10:00:06 UTC [5]: LOG:  process 5 still waiting for ShareLock on transaction 9 after 10.5 ms
+2025-01-01 10:00:07 UTC [5]: DETAIL:  Process holding the lock: 1. Wait queue: 5.
+2025-01-01 10:00:08 UTC [5]: CONTEXT:  while updating tuple (0,1) in relation "acc"
+2025-01-01 10:00:09 UTC [5]: STATEMENT:  update acc set a = 1
+2025-01-01 10:00:10 UTC [5]: LOG:  process 5 acquired ShareLock on transaction 9 after 12 ms
+2025-01-01 10:00:11 UTC [6]: ERROR:  deadlock detected
+2025-01-01 10:00:12 UTC [7]: LOG:  process 7 acquired nothing
+"""
+
+
+@pytest.mark.parametrize("more", ["", "2025-01-01 10:00:13 UTC [5]: STATEMENT:  select 8\n\tfrom t\n\t, temporary file path size 7"])
+def test_work_items_are_made_of_lines(lines, more):
+    """Messages were written before statements, temporary files and locks were looked for in them. Lines that go on belong to them."""
+    text = lines(WORK + more)
+    e = entries_from_lines(text)
+    w = entries_from_lines(text, items=facts.work_items("temp", "statement", "lock", "detail", "deadlock"))
+    assert "message" not in w.columns
+    rows = lambda df: sorted(str([v or "" for v in r]) for r in df.collect())
+    both = [(facts.statements(e), facts.statements_of(w)), (facts.temp_events(e), facts.temps_of(w)), (facts.lock_messages(e), facts.lock_messages_of(w)), (facts.lock_details(e), facts.lock_details_of(w)), (facts.deadlocks(e), facts.deadlocks_of(w))]
+    for (a, b), n in zip(both, (6 + bool(more), 3 + bool(more), 2, 2, 1)):
+        assert a.columns == b.columns and a.count() == n and rows(a) == rows(b)
+    st, msgs = facts.statements_of(w), facts.lock_messages_of(w)
+    assert rows(A.locks(msgs, A.near(st, msgs))) == rows(A.locks(msgs, st)) == rows(A.locks(both[2][0], both[0][0]))
+    assert rows(A.temp_file_query(facts.temps_of(w), st)) == rows(A.temp_file_query(both[1][0], both[0][0]))
+
+
+def test_statements_near_locks(spark):
+    """No statement of a process that has a lock is left out, and few others are kept: all statements were sorted with the locks."""
+    st = spark.range(100_000).selectExpr("cast(id as string) pid", "id seq")
+    few = st.where("seq % 50 = 0")
+    got = A.near(st, few)
+    assert got.columns == st.columns and got.where("seq % 50 = 0").count() == 2000 and got.count() < 2200
+    assert A.near(st, few.where("false")).count() == 0
+
+
+def test_plain_texts_need_no_tokens(spark):
+    from logquarry.functions import server as V
+    from logquarry.functions import sql as Q
+
+    texts = ["SELECT  'a\t''b' ,\n-5.x1 FROM É_9 WHERE a-5 = $1 AND pg_temp_3_4.x='", 'select "A 1\'", 1', "9x x9 1._5 --5", "", "pg_toast_12"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(Q.normalize_query(F.col("t"))).collect()]
+    assert got == ["select ? , ?x1 from É_9 where a-? = ? and pg_temp_?.x=?", 'select "a 1\'", ?', "?x x9 ?_5 -?", "", "pg_toast_?"]
+    odd = ["process 5 acquired A on b after 1", "x\nprocess 9 x process 5 still waiting for A\x1f on b\nc after .5 process 6 acquired C on d after 2.", "process 5 acquired A on b after x", "process 6 acquired C\x1fD on d after 2. ms\n"]
+    parts = [list(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(V.lock_parts(F.col("t"))).collect()]
+    assert parts[0] == ["5", "acquired", "A", "b", "1"] and parts[1] == ["6", "acquired", "C", "d", "2."] and parts[2] == [""] * 5 and parts[3] == ["6", "acquired", "C\x1fD", "d", "2."]
+    plan = spark.range(1).select(V.lock_parts(F.lit("x"))).schema
+    assert plan[0].dataType.simpleString() == "array<string>"
